@@ -189,18 +189,24 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Memory from pre-token to ids; what it forgets when full is made again by the transducer."""
+    """Memory from pre-token to ids, in two generations: when the younger is full it becomes the
+    older one, and what was used meanwhile moves back.  What is forgotten is made again by the
+    transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 700_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.max_pieces = max_pieces
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 48:
             if len(self) >= self.max_pieces:
+                self.older = self.copy()
                 self.clear()
             self[piece] = ids
         return ids
