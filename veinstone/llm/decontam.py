@@ -50,7 +50,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFra
     """``key, start, size, items``: every occurrence of a window in ``docs(key, text)``."""
     windows = written(windows_of(benchmark, length), "windows")
     fits = windows.count() <= BROADCAST_WINDOWS
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
+    vocabulary = windows.select(F.explode("words").alias("word"))
     counts = (
         docs.select(F.explode_outer(words_of(F.col("text"))).alias("word"))
         .join(_small(vocabulary, fits), "word", "left_semi")
@@ -59,7 +59,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFra
     # every occurrence of a word in a window is a candidate anchor; the rarest one, first in ties, is kept
     keyed = (
         windows.withColumn("id", F.monotonically_increasing_id()).select("id", "words", "size", "items", F.posexplode("words").alias("offset", "word"))
-        .join(counts, "word", "left")
+        .join(_small(counts, fits), "word", "left")
         .groupBy("id", "words", "size", "items")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("offset"))).alias("rare"))
         .where("rare.n > 0")
@@ -86,12 +86,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, *
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     found = hits(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, length)
-    at = found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"), F.lit(None).cast("string").alias("item"))
-    of = found.select("key", F.lit(None).cast("int").alias("at"), F.explode(F.col("items").cast("array<string>")).alias("item"))
+    # a document's hits come from one task, so the sets are all but final before the shuffle
     per_doc = (
-        at.union(of).groupBy("key", "at", "item").agg(F.lit(1).alias("one"))
-        .groupBy("key").agg(F.count("at").alias("n_hit"), F.array_sort(F.collect_list("item")).alias("items"))
-        .select(F.col("key.id").alias("hit_id"), F.col("key.h").alias("hit_h"), "n_hit", "items")
+        found.select("key", "items", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
+        .groupBy("key").agg(F.size(F.collect_set("at")).cast("long").alias("n_hit"), F.flatten(F.collect_set(F.col("items").cast("array<string>"))).alias("items"))
+        .select(F.col("key.id").alias("hit_id"), F.col("key.h").alias("hit_h"), "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
     )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
