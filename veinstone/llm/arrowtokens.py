@@ -31,30 +31,47 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 LENGTH, ROWS = 2048, 256
-MAX_KEPT_WORDS = 500_000
+MAX_KEPT_WORDS = 600_000
+#: Marks that may close a word of letters.
+CLOSING = frozenset(",.;:!?")
 
 
 class WordEncoder(dict):
     """Ids of a text from the tokenizers library, through a memory of words.
 
     The tokenizer of the file reads words apart: it drops white space, and neither its normaliser
-    nor its merges look across a space, tab or line end.
+    nor its merges look across a space, tab or line end.  It also reads letters apart from the
+    mark that closes a word.  The memory has two generations: when the younger is full it becomes
+    the older one, and what is used again moves back.
     """
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
         self.tokenizer, self.dtype = tokenizer, dtype
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii() and not word.islower() and "<" not in word:
+                ids = self[word.lower()] if word.lower() != word else self._ids(word)
+            elif word[-1:] in CLOSING and word[:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1]]
+            else:
+                ids = self._ids(word)
+        if len(word) <= 64:
+            if len(self) >= MAX_KEPT_WORDS:
+                self.older = self.copy()
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self) > MAX_KEPT_WORDS:
-            self.clear()
-        new = sorted({w for words in split for w in words if w not in self})
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[word] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        kept = self.__getitem__
+        return [b"".join(map(kept, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)
