@@ -5,11 +5,521 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nodes as N
+from ..operators import allocate, audit, graph, projection, scores, symbols, tasks
+from ..operators import blobs as B
+from ..sources import oplog
+from ..versions import diff
+from . import adapters as A
+from .adapters import t
 
-def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").cast("binary").alias("data"))
-    return texts.where(F.col("data").isNotNull()).groupBy(F.sha2("data", 256).alias("cid")).agg(F.count(F.lit(1)).alias("puts"), F.min(F.octet_length("data")).cast("long").alias("size"))
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 
 
-QUERIES = {"blob_dedup": blob_dedup}
-ORACLES = {"blob_dedup": "SELECT sha256(text) AS cid, count(*) AS puts, min(strlen(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1"}
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Contents
+
+
+@query("SELECT sha256(text) AS cid, count(*) AS puts, min(strlen(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def blob_dedup(spark: SparkSession, d: str) -> DataFrame:
+    texts = t(spark, d, "documents").select(F.col("text").cast("binary").alias("data")).where("data IS NOT NULL")
+    return texts.groupBy(F.sha2("data", 256).alias("cid")).agg(F.count(F.lit(1)).alias("puts"), F.min(F.octet_length("data")).cast("long").alias("size"))
+
+
+@query(A.BLOBS_SQL + "SELECT cid, size FROM blobs")
+def blob_list(spark, d):
+    return A.all_blobs(spark, d).select("cid", "size")
+
+
+@query(A.BLOBS_SQL + "SELECT sum(size)::BIGINT AS total_size FROM blobs")
+def blob_total_size(spark, d):
+    return B.total_size(A.all_blobs(spark, d))
+
+
+@query("SELECT doc_id, sha256(text) AS cid, doc_id % 7 <> 0 AS valid FROM documents WHERE text IS NOT NULL")
+def blob_verify(spark, d):
+    """Every seventh stored content was changed after it was put."""
+    rows = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("cid"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("data"))
+    return rows.select("doc_id", "cid", (F.sha2("data", 256) == F.col("cid")).alias("valid"))
+
+
+@query("SELECT DISTINCT sha256(x) AS cid, strlen(x) AS size FROM (SELECT text AS x FROM conversations UNION ALL SELECT html FROM pages) WHERE sha256(x) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)")
+def blob_put_new(spark, d):
+    puts = B.blobs_of(t(spark, d, "conversations").select("text").union(t(spark, d, "pages").select("html")), F.col("text"))
+    return B.new_blobs(puts, B.blobs_of(t(spark, d, "documents"), F.col("text"))).select("cid", "size")
+
+
+@query(A.BLOBS_SQL + "SELECT cid FROM blobs WHERE cid NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)")
+def blob_delete(spark, d):
+    return B.delete(A.all_blobs(spark, d), B.blobs_of(t(spark, d, "documents"), F.col("text"))).select("cid")
+
+
+@query("SELECT sha256(html) AS cid, sha256(html) IN (SELECT sha256(text) FROM conversations) AS stored FROM pages")
+def blob_exists(spark, d):
+    return B.exists(t(spark, d, "pages").select(F.sha2("html", 256).alias("cid")), B.blobs_of(t(spark, d, "conversations"), F.col("text")))
+
+
+# Nodes and edges
+
+
+@query(A.NODES_SQL + "SELECT conv_id, turn, cid FROM n")
+def merkle_nodes(spark, d):
+    return A.conversation_nodes(spark, d).select("conv_id", "turn", "cid")
+
+
+@query(A.NODES_SQL + "SELECT conv_id, arg_max(cid, turn) AS head, count(*) AS length FROM n GROUP BY 1")
+def merkle_heads(spark, d):
+    return A.conversation_nodes(spark, d).groupBy("conv_id").agg(F.max_by("cid", "turn").alias("head"), F.count(F.lit(1)).alias("length"))
+
+
+@query(A.NODES_SQL + "SELECT DISTINCT cid, json_extract_string(json, '$.kind') AS kind, json_extract_string(json, '$.agent') AS agent, json_extract_string(json, '$.output_cid') AS output_cid, json_array_length(json, '$.parents')::INT AS n_parents FROM n")
+def nodes_parsed(spark, d):
+    """Of all blobs those that are nodes, by parsing them."""
+    return A.nodes(spark, d).select("cid", "kind", "agent", "output_cid", F.size("parents").alias("n_parents"))
+
+
+@query(A.ORDER_EDGES_SQL + "SELECT output_cid, ps[ordinal + 1] AS parent_cid, ordinal::INT AS ordinal, CASE WHEN ordinal = 0 THEN 'derives' ELSE 'grounds' END AS edge_kind FROM i")
+def edges_from_nodes(spark, d):
+    nodes = graph.nodes_of(A.order_node_blobs(spark, d))
+    return graph.edges_of(nodes).join(nodes.select(F.col("cid").alias("child_cid"), "output_cid"), "child_cid").select("output_cid", "parent_cid", "ordinal", "edge_kind")
+
+
+_LINE_ORDER = ["l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+
+
+@query(f"SELECT l_partkey, l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS n FROM lineitem) WHERE n = 1")
+def edges_insert_ignore(spark, d):
+    return graph.keep_first(t(spark, d, "lineitem"), ["l_partkey", "l_orderkey"], _LINE_ORDER).select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("SELECT l_partkey, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS l_orderkey FROM lineitem GROUP BY 1")
+def replace_into_last(spark, d):
+    rows = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return graph.keep_last(rows, ["l_partkey"], ["seq"]).select("l_partkey", "l_orderkey")
+
+
+_WALK_SQL = A.STAR_SQL + ", w AS (SELECT cid AS start, cid, 0 AS depth FROM nodes WHERE kind = 'orders' UNION SELECT w.start, e.parent_cid, w.depth + 1 FROM w JOIN edges e ON e.child_cid = w.cid{bound}) SELECT start, cid, min(depth)::INT AS depth FROM w GROUP BY 1, 2"
+
+
+def _ancestors(spark, d, bound=None):
+    nodes = A.star_nodes(spark, d)
+    up = A.star_edges(spark, d).select(F.col("child_cid").alias("src"), F.col("parent_cid").alias("dst"))
+    return graph.walk(nodes.where("kind = 'orders'").select(F.col("cid").alias("start")), up, bound)
+
+
+@query(_WALK_SQL.format(bound=""))
+def lineage(spark, d):
+    return _ancestors(spark, d)
+
+
+@query(_WALK_SQL.format(bound=" WHERE w.depth < 2"))
+def lineage_bounded(spark, d):
+    return _ancestors(spark, d, 2)
+
+
+@query(A.NODES_SQL + ", h AS (SELECT conv_id, max(turn) AS last FROM n GROUP BY 1) SELECT DISTINCT z.cid AS start, n.cid, (h.last - n.turn)::INT AS depth FROM n JOIN h USING (conv_id) JOIN n z ON z.conv_id = n.conv_id AND z.turn = h.last")
+def lineage_of_heads(spark, d):
+    heads = A.conversation_nodes(spark, d).groupBy("conv_id").agg(F.max_by("cid", "turn").alias("start"))
+    return graph.lineage(A.nodes(spark, d), heads.select("start")).select("start", "cid", "depth")
+
+
+@query(A.STAR_SQL + "SELECT parent_cid, child_cid, ordinal, kind, agent FROM edges JOIN nodes ON nodes.cid = child_cid")
+def children(spark, d):
+    nodes = A.star_nodes(spark, d)
+    return graph.children_of(A.star_edges(spark, d), nodes, nodes).select("parent_cid", "child_cid", "ordinal", "kind", "agent")
+
+
+@query(A.STAR_SQL + "SELECT child_cid, parent_cid, ordinal, kind, agent FROM edges JOIN nodes ON nodes.cid = parent_cid")
+def parents(spark, d):
+    nodes = A.star_nodes(spark, d)
+    return graph.parents_of(A.star_edges(spark, d), nodes, nodes).select("child_cid", "parent_cid", "ordinal", "kind", "agent")
+
+
+@query(A.STAR_SQL + "SELECT cid, kind FROM nodes WHERE cid NOT IN (SELECT child_cid FROM edges)")
+def roots(spark, d):
+    return graph.roots(A.star_nodes(spark, d), A.star_edges(spark, d)).select("cid", "kind")
+
+
+@query(A.STAR_SQL + "SELECT cid, kind FROM nodes WHERE cid NOT IN (SELECT parent_cid FROM edges)")
+def leaves(spark, d):
+    return graph.leaves(A.star_nodes(spark, d), A.star_edges(spark, d)).select("cid", "kind")
+
+
+@query(A.STAR_SQL + "SELECT kind, count(*) AS n FROM nodes GROUP BY 1")
+def counts_by_kind(spark, d):
+    return projection.counts_by(A.star_nodes(spark, d), "kind")
+
+
+@query("SELECT source AS agent, count(*) AS n FROM documents GROUP BY 1")
+def counts_by_agent(spark, d):
+    return projection.counts_by(A.document_nodes(spark, d), "agent")
+
+
+@query(A.NODES_SQL + "SELECT cid FROM n UNION SELECT json_extract_string(json, '$.output_cid') FROM n UNION SELECT unnest(from_json(json_extract(json, '$.parents'), '[\"VARCHAR\"]')) FROM n")
+def referenced(spark, d):
+    return B.referenced(A.nodes(spark, d))
+
+
+_ORPHANS = A.BLOBS_SQL + ", refs AS (SELECT cid FROM n UNION SELECT json_extract_string(json, '$.output_cid') FROM n) "
+
+
+@query(_ORPHANS + "SELECT cid, size FROM blobs WHERE cid NOT IN (SELECT cid FROM refs)")
+def gc_orphans(spark, d):
+    blobs = A.all_blobs(spark, d)
+    return B.orphans(blobs, graph.nodes_of(blobs)).select("cid", "size")
+
+
+@query(_ORPHANS + "SELECT count(*) AS orphans, coalesce(sum(size), 0)::BIGINT AS orphan_bytes FROM blobs WHERE cid NOT IN (SELECT cid FROM refs)")
+def gc_report(spark, d):
+    blobs = A.all_blobs(spark, d)
+    return B.gc_report(blobs, graph.nodes_of(blobs))
+
+
+@query(_ORPHANS + "SELECT count(*) AS total, sum(size)::BIGINT AS bytes, count(*) FILTER (cid IN (SELECT cid FROM n)) AS nodes, count(*) FILTER (cid NOT IN (SELECT cid FROM n) AND cid IN (SELECT cid FROM refs)) AS content, count(*) FILTER (cid NOT IN (SELECT cid FROM refs)) AS orphan FROM blobs")
+def cas_stats(spark, d):
+    blobs = A.all_blobs(spark, d)
+    return B.cas_stats(blobs, graph.nodes_of(blobs))
+
+
+@query("SELECT lang AS schema_cid, count(*) AS total_nodes, count(DISTINCT sha256(text)) AS unique_outputs, printf('%.2f', count(*)::DOUBLE / count(DISTINCT sha256(text))) AS dedup_ratio FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def schema_stats(spark, d):
+    return graph.schema_stats(A.document_nodes(spark, d))
+
+
+@query(A.NODES_SQL + "SELECT DISTINCT cid, json_extract_string(json, '$.kind') AS kind FROM n WHERE json_extract_string(json, '$.kind') = 'reasoning' ORDER BY cid LIMIT 50")
+def dag_ls(spark, d):
+    return graph.list_nodes(A.nodes(spark, d), "reasoning", 50).select("cid", "kind")
+
+
+# Projection
+
+
+def _actual_edges(spark, d):
+    e = A.star_edges(spark, d)
+    k = F.crc32(F.concat("parent_cid", "child_cid").cast("binary")) % 10
+    changed = e.where(k != 0).withColumn("edge_kind", F.when(k == 1, "proposes").otherwise(F.col("edge_kind")))
+    extra = e.where(k == 2).withColumn("parent_cid", F.concat(F.lit("x"), "parent_cid"))
+    return e, changed.union(extra)
+
+
+@query(None)
+def projection_diff(spark, d):
+    """A projection that lost, changed and gained edges, against what the nodes say."""
+    return projection.diff_edges(*_actual_edges(spark, d))
+
+
+@query(A.STAR_SQL + ", a AS (SELECT CASE WHEN length(child_cid) % 3 = 1 THEN 'x' ELSE '' END || parent_cid AS parent_cid, child_cid, ordinal, CASE WHEN length(parent_cid) % 3 = 0 THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges) SELECT * FROM (SELECT coalesce(e.parent_cid, a.parent_cid) AS parent_cid, coalesce(e.child_cid, a.child_cid) AS child_cid, CASE WHEN a.parent_cid IS NULL THEN 'missing' WHEN e.parent_cid IS NULL THEN 'extra' WHEN e.ordinal <> a.ordinal OR e.edge_kind <> a.edge_kind THEN 'mismatched' END AS status FROM edges e FULL JOIN a ON e.parent_cid = a.parent_cid AND e.child_cid = a.child_cid) WHERE status IS NOT NULL")
+def projection_audit(spark, d):
+    e = A.star_edges(spark, d)
+    a = e.select(F.concat(F.when(F.length("child_cid") % 3 == 1, "x").otherwise(""), "parent_cid").alias("parent_cid"), "child_cid", "ordinal", F.when(F.length("parent_cid") % 3 == 0, "proposes").otherwise(F.col("edge_kind")).alias("edge_kind"))
+    return projection.diff_edges(e, a)
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS purged, (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS written")
+def projection_rebuild(spark, d):
+    nodes = graph.nodes_of(A.order_node_blobs(spark, d))
+    return projection.rebuild(nodes, t(spark, d, "orders"))[1]
+
+
+@query(A.NODES_SQL + "SELECT DISTINCT cid, json_extract_string(json, '$.kind') AS kind, json_extract_string(json, '$.agent') AS agent FROM n WHERE turn > 0 AND cid NOT IN (SELECT cid FROM n WHERE turn = 0)")
+def repair_missing(spark, d):
+    """Nodes that a projection with the first turns only lacks."""
+    first = A.conversation_nodes(spark, d).where("turn = 0").select("cid")
+    return projection.repair(A.nodes(spark, d), first).select("cid", "kind", "agent")
+
+
+@query("SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages")
+def stats(spark, d):
+    return projection.stats({n: t(spark, d, n) for n in ("documents", "labels", "pages")})
+
+
+_LINKS_SQL = "WITH f AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY 1), l AS (SELECT 'doc:' || first AS from_cid, 'doc:' || doc_id AS to_cid, 'duplicates' AS relation FROM documents JOIN f USING (text) WHERE doc_id <> first)\n"
+
+
+def _links(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "h").where("doc_id <> first").select(F.concat(F.lit("doc:"), "first").alias("from_cid"), F.concat(F.lit("doc:"), "doc_id").alias("to_cid"), F.lit("duplicates").alias("relation"), F.lit(A.TS).alias("created_at"))
+
+
+@query(_LINKS_SQL + "SELECT * FROM l")
+def soft_links(spark, d):
+    return _links(spark, d).select("from_cid", "to_cid", "relation")
+
+
+for _direction, _where in (("from", "from_cid = 'doc:2'"), ("to", "to_cid = 'doc:2'"), ("both", "from_cid = 'doc:2' OR to_cid = 'doc:2'")):
+
+    def _one(spark, d, direction=_direction):
+        return projection.soft_links(_links(spark, d), "doc:2", direction, "duplicates").select("from_cid", "to_cid", "relation")
+
+    _one.__name__ = f"soft_links_{_direction}"
+    query(_LINKS_SQL + f"SELECT * FROM l WHERE {_where}")(_one)
+
+
+# Search
+
+
+@query(A.BLOBS_SQL + "SELECT cid, left(data, 200) AS snippet FROM blobs WHERE contains(lower(data), 'thou') ORDER BY cid LIMIT 20")
+def search(spark, d):
+    return graph.search(A.all_blobs(spark, d), "Thou")
+
+
+@query("WITH b AS (SELECT DISTINCT text FROM documents), s AS (SELECT sha256(text) AS cid, string_split(text, chr(10)) AS ls FROM b WHERE contains(lower(text), 'rights reserved')), u AS (SELECT cid, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM s) SELECT cid, line_no::INT AS line_no, line FROM u WHERE contains(lower(line), 'rights reserved')")
+def search_lines(spark, d):
+    return graph.search_lines(B.blobs_of(t(spark, d, "documents"), F.col("text")), "Rights Reserved", None)
+
+
+@query(A.NODES_SQL + "SELECT DISTINCT n.cid, c.text AS content FROM n JOIN conversations c USING (conv_id, turn)")
+def reasoning_text(spark, d):
+    blobs = A.all_blobs(spark, d)
+    nodes = graph.nodes_of(blobs)
+    return graph.reasoning(nodes, blobs, nodes.select("cid")).select("cid", "content")
+
+
+@query(A.NODES_SQL + "SELECT DISTINCT n.cid AS node_cid, to_base64(encode(json)) AS node_bytes, sha256(text) AS output_cid, to_base64(encode(text)) AS output_bytes FROM n JOIN conversations c USING (conv_id, turn)")
+def export_bundle(spark, d):
+    """Bundle entries of all nodes."""
+    blobs = A.all_blobs(spark, d)
+    nodes = graph.nodes_of(blobs)
+    plain = lambda c: F.translate(F.base64(c), "\r\n", "")
+    of = lambda c, x: blobs.select(F.col("cid").alias(c), F.col("data").alias(x))
+    return nodes.select(F.col("cid").alias("node_cid"), "output_cid").join(of("node_cid", "a"), "node_cid").join(of("output_cid", "b"), "output_cid").select("node_cid", plain(F.col("a")).alias("node_bytes"), "output_cid", plain(F.col("b")).alias("output_bytes"))
+
+
+@query(A.BLOBS_SQL + "SELECT DISTINCT x.cid, strlen(x.data) AS size FROM blobs x WHERE x.cid IN (SELECT cid FROM n UNION SELECT sha256(text) FROM conversations)")
+def import_bundle(spark, d):
+    return graph.unbundle(export_bundle(spark, d)).select("cid", "size")
+
+
+@query(A.STAR_SQL + "SELECT '  \"' || left(child_cid, 12) || '\" -> \"' || left(parent_cid, 12) || '\";' AS line FROM edges")
+def dot_edges(spark, d):
+    return graph.dot(A.star_nodes(spark, d), A.star_edges(spark, d)).where("part = 2").select("line")
+
+
+# Scores
+
+
+@query(A.SCORES_SQL + "SELECT agent, dimension, round(avg(value), 3) AS avg_score, count(*) AS n FROM s GROUP BY 1, 2")
+def score_profile(spark, d):
+    return scores.profile(A.document_scores(spark, d))
+
+
+@query(A.SCORES_SQL + ", p AS (SELECT agent, dimension, round(avg(value), 3) AS avg_score FROM s GROUP BY 1, 2) SELECT dimension, agent, avg_score FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY avg_score DESC, agent) AS k FROM p) WHERE k = 1")
+def best_agent(spark, d):
+    return scores.best_agents(A.document_scores(spark, d))
+
+
+@query(A.SCORES_SQL + "SELECT agent, round(avg(value) FILTER (dimension = 'correctness'), 3) AS correctness, NULL::DOUBLE AS efficiency, round(avg(value) FILTER (dimension = 'style'), 3) AS style, NULL::DOUBLE AS completeness, NULL::DOUBLE AS decay_adjusted_activation, count(*) AS total FROM s GROUP BY 1")
+def agent_pivot(spark, d):
+    return scores.agent_profile(A.document_scores(spark, d))
+
+
+@query(A.SCORES_SQL + "SELECT dimension, value, CASE WHEN value >= 0.8 THEN 'PASS' WHEN value >= 0.3 THEN 'WARN' ELSE 'FAIL' END AS icon FROM s WHERE node_cid = 'doc:4'")
+def scores_for_node(spark, d):
+    found = scores.for_node(A.document_scores(spark, d), "doc:4")
+    return found.select("dimension", F.col("value").cast("double").alias("value"), scores.icon(F.col("value")).alias("icon"))
+
+
+@query(A.SCORES_SQL.replace("WITH s", A.DOC_NODES_SQL.strip() + ", s") + ", m AS (SELECT node_cid, avg(value) AS mean FROM s GROUP BY 1) SELECT cid, round(greatest(coalesce(1 - saturation::DOUBLE, 1 - mean, 1.0), 0.0), 9) AS info_potential FROM d LEFT JOIN m ON node_cid = cid")
+def info_potential(spark, d):
+    nodes = A.document_nodes(spark, d)
+    tree = allocate.potentials(nodes.select("cid"), nodes, scores.mean_scores(A.document_scores(spark, d)))
+    return tree.select("cid", F.round("info_potential", 9).alias("info_potential"))
+
+
+@query(A.DOC_NODES_SQL + "SELECT kind, count(*) FILTER (coalesce(saturation >= 1, false)) AS claims, count(*) FILTER (saturation IS NULL OR saturation = 0) AS queries, count(*) AS n FROM d GROUP BY 1")
+def saturation_classes(spark, d):
+    s = F.col("saturation")
+    return A.document_nodes(spark, d).groupBy("kind").agg(F.count_if(N.is_claim(s)).alias("claims"), F.count_if(N.is_query(s)).alias("queries"), F.count(F.lit(1)).alias("n"))
+
+
+@query(A.DOC_NODES_SQL + "SELECT cid FROM d WHERE saturation IS NULL OR saturation = 0")
+def open_queries(spark, d):
+    return projection.open_queries(A.document_nodes(spark, d)).select("cid")
+
+
+@query(A.DOC_NODES_SQL + "SELECT cid FROM d WHERE saturation >= 1")
+def settled_claims(spark, d):
+    return projection.settled_claims(A.document_nodes(spark, d)).select("cid")
+
+
+@query(A.DOC_NODES_SQL + "SELECT cid, saturation::DOUBLE AS saturation FROM d WHERE saturation < 0.5::FLOAT")
+def below_saturation(spark, d):
+    return projection.below_saturation(A.document_nodes(spark, d), 0.5).select("cid", F.col("saturation").cast("double").alias("saturation"))
+
+
+_DECAY_LIFE = "CASE WHEN event_type = 'click' THEN 3600.0 WHEN event_type = 'view' THEN 86400.0 WHEN event_type <> 'error' THEN 604800.0 END"
+
+
+@query(f"WITH e AS (SELECT event_id, value, {_DECAY_LIFE} AS h, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 1000000.0 AS s FROM events) SELECT event_id, round(CASE WHEN h IS NULL THEN value ELSE greatest(value * exp(-s * ln(2.0) / h), 0.1) END, 9) AS activation FROM e")
+def decay(spark, d):
+    e = t(spark, d, "events")
+    elapsed = (F.unix_micros(F.lit("2024-03-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000000
+    config = F.expr(f"CASE WHEN ({_DECAY_LIFE}) IS NOT NULL THEN named_struct('half_life_secs', cast({_DECAY_LIFE} AS double), 'activation_floor', 0.1D) END")
+    return e.select("event_id", F.round(N.decayed_activation(F.col("value"), config, elapsed), 9).alias("activation"))
+
+
+# Allocation
+
+
+@query(A.EVENT_TREE_SQL + "SELECT coalesce(count(h) >= 2 AND stddev_pop(h) / avg(h) > 0.5, false) AS heterogeneous FROM tree")
+def hetero_decay(spark, d):
+    return allocate.heterogeneous(A.event_tree(spark, d))
+
+
+def _tier_sql(c, dd, t3):
+    s, m, x = f"(p * 0.3 - {c} * 1.0 - {dd} * d)", f"(p * 0.7 - {c} * 2.0 - {dd} * d)", f"(p * 1.0 - {c} * 4.0 - {dd} * d - {t3})"
+    best = f"greatest(0.0, {s}, {m}, {x})"
+    return f"CASE WHEN {best} <= 0 THEN 'skip' WHEN {s} = {best} THEN 'shallow' WHEN {m} = {best} THEN 'moderate' ELSE 'deep' END"
+
+
+_COST = "CASE {t} WHEN 'skip' THEN 0.0 WHEN 'shallow' THEN 1.0 WHEN 'moderate' THEN 2.0 ELSE 4.0 END"
+_GAIN = "CASE {t} WHEN 'skip' THEN 0.0 WHEN 'shallow' THEN 0.3 WHEN 'moderate' THEN 0.7 ELSE 1.0 END"
+
+
+@query(A.EVENT_TREE_SQL + f", s AS (SELECT cid, p, {_tier_sql('0.05::DOUBLE', '0.01::DOUBLE', '0.2::DOUBLE')} AS tier FROM tree) SELECT cid, tier, round(p * {_GAIN.format(t='tier')}, 9) AS gain, ({_COST.format(t='tier')})::DOUBLE AS cost FROM s")
+def tier_solve(spark, d):
+    return allocate.solve(A.event_tree(spark, d), 0.05, 0.01, 0.2).select("cid", "tier", F.round("gain", 9).alias("gain"), "cost")
+
+
+@query(
+    A.EVENT_TREE_SQL
+    + f", hist AS (SELECT p, d, count(*) AS n FROM tree GROUP BY 1, 2), g AS (SELECT i, j, k, 10.0::DOUBLE * i / 10 AS lc, 10.0::DOUBLE * j / 10 AS lt, k::DOUBLE / 10 AS ld FROM range(11) a(i), range(11) b(j), range(11) c(k)), x AS (SELECT i, j, k, p, n, {_tier_sql('lc', 'ld', 'lt')} AS tier FROM hist, g)"
+    + f", s AS (SELECT i, j, k, sum(p * {_GAIN.format(t='tier')} * n) AS gain, sum({_COST.format(t='tier')} * n)::DOUBLE AS cost, sum(CASE WHEN tier = 'deep' THEN n ELSE 0 END)::BIGINT AS tier3 FROM x GROUP BY 1, 2, 3) SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(gain, 4)::DOUBLE AS gain, cost, tier3 FROM s WHERE cost <= 10000 AND tier3 <= 2000"
+)
+def lambda_grid(spark, d):
+    found = allocate.lambda_grid(A.event_tree(spark, d), allocate.Constraints(10000, 20, 2000))
+    return found.select("i", "j", "k", F.round("gain", 4).alias("gain"), "cost", "tier3")
+
+
+@query(None)
+def wqs_calibrate(spark, d):
+    """Tiers of the events under prices found by bisection; all half-lives are taken as one."""
+    return allocate.optimise(A.event_tree(spark, d).withColumn("half_life_secs", F.lit(3600.0)), allocate.Constraints(10000, 3, 2000))[1].select("cid", "tier", "gain", "cost")
+
+
+_TREE_SQL = A.STAR_SQL + ", w AS (SELECT cid AS root, cid, NULL::VARCHAR AS parent_cid, 0 AS depth FROM nodes WHERE kind = 'region' UNION ALL SELECT w.root, e.child_cid, w.cid, w.depth + 1 FROM w JOIN edges e ON e.parent_cid = w.cid) "
+
+
+@query(_TREE_SQL + "SELECT root, cid, parent_cid, depth::INT AS depth FROM w")
+def spanning_tree(spark, d):
+    nodes = A.star_nodes(spark, d)
+    return graph.spanning_tree(nodes, A.star_edges(spark, d), nodes.where("kind = 'region'"))
+
+
+@query(
+    A.STAR_SQL
+    + ", w AS (SELECT cid AS root, cid, 0 AS depth, 'deep' AS tier FROM nodes WHERE kind = 'region' UNION ALL SELECT w.root, e.child_cid, w.depth + 1, CASE length(e.child_cid) % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'shallow' WHEN 2 THEN 'moderate' ELSE 'deep' END FROM w JOIN edges e ON e.parent_cid = w.cid WHERE w.tier <> 'skip')"
+    + " SELECT root, cid, depth::INT AS depth, tier, tier = 'skip' AS pruned FROM w"
+)
+def traverse(spark, d):
+    nodes, r = A.star_nodes(spark, d), F.length("cid") % 4
+    tiers = nodes.select("cid", F.when(F.col("kind") == "region", "deep").when(r == 0, "skip").when(r == 1, "shallow").when(r == 2, "moderate").otherwise("deep").alias("tier"), F.lit(1.0).alias("info_potential"))
+    return allocate.traverse(tiers, A.star_edges(spark, d), nodes, nodes.where("kind = 'region'")).select("root", "cid", "depth", "tier", "pruned")
+
+
+# Log, drift, snapshots, versions
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256(text) AS cid, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN sha256(text || '!') ELSE sha256(text) END AS current_cid, CASE doc_id % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'DRIFTED' ELSE 'OK' END AS status FROM documents")
+def drift(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("doc_id"), "text")
+    current = docs.where(F.col("doc_id") % 5 != 0).select("path", F.sha2(F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("current_cid"))
+    return audit.drift(docs.select("path", F.sha2("text", 256).alias("cid")), current)
+
+
+@query("WITH s AS (SELECT unnest([sha256(doc_id::VARCHAR), sha256(text)]) AS cid, doc_id FROM documents) SELECT 'v1' AS name, count(*) FILTER (cid IN (SELECT sha256(text) FROM documents)) AS present, count(*) FILTER (cid NOT IN (SELECT sha256(text) FROM documents)) AS missing, 0::BIGINT AS corrupted, false AS ok FROM s")
+def snapshot_verify(spark, d):
+    nodes = t(spark, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("cid"), F.sha2("text", 256).alias("output_cid"))
+    return audit.verify_snapshot(audit.snapshot(nodes, "v1", A.TS), B.blobs_of(t(spark, d, "documents"), F.col("text")))
+
+
+_LOG_SQL = "WITH l AS (SELECT doc_id AS seq, source AS path, sha256(text) AS cid FROM documents WHERE doc_id % 17 <> 5)\n"
+
+
+@query(f"WITH x AS (SELECT doc_id AS seq, CASE WHEN doc_id % 17 = 5 THEN NULL ELSE source || ' -> ' || sha256(text) END AS detail FROM documents ORDER BY doc_id DESC LIMIT 100) SELECT seq, '{A.TS}' AS ts, 'put' AS event, detail FROM x WHERE detail IS NOT NULL")
+def log_tail(spark, d):
+    return oplog.tail(A.log_lines(spark, d), 100)
+
+
+@query(_LOG_SQL + "SELECT path, arg_max(cid, seq) AS cid FROM l GROUP BY 1")
+def log_heads(spark, d):
+    return oplog.heads(oplog.parse(A.log_lines(spark, d)))
+
+
+@query(_LOG_SQL + "SELECT path, seq, cid, lag(cid) OVER (PARTITION BY path ORDER BY seq) AS superseded FROM l")
+def log_supersessions(spark, d):
+    return oplog.supersessions(oplog.parse(A.log_lines(spark, d)))
+
+
+_NEW_SQL = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '*' ELSE source END AS source FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query(f"SELECT *, '-' AS change FROM (SELECT doc_id, source FROM documents EXCEPT ALL SELECT * FROM {_NEW_SQL}) UNION ALL SELECT *, '+' FROM (SELECT * FROM {_NEW_SQL} EXCEPT ALL SELECT doc_id, source FROM documents)")
+def version_diff(spark, d):
+    old = t(spark, d, "documents").select("doc_id", "source")
+    new = old.where(F.col("doc_id") % 11 != 0).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("*"))).otherwise(F.col("source")))
+    return diff(old, new)
+
+
+# Tasks, agents, tracked files, symbols, SQL
+
+
+@query("WITH e AS (SELECT user_id::VARCHAR AS id, lpad(event_id::VARCHAR, 12, '0') AS seq, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN NULL WHEN 'error' THEN 'failed' ELSE 'done' END AS status, CASE WHEN event_type = 'view' THEN 'agent' || event_id % 3 END AS assigned_to FROM events), f AS (SELECT id, seq, coalesce(status, CASE WHEN assigned_to IS NOT NULL THEN 'assigned' END) AS status, assigned_to FROM e) SELECT id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(assigned_to, seq) FILTER (assigned_to IS NOT NULL) AS assigned_to FROM f GROUP BY 1")
+def tasks_fold(spark, d):
+    e = t(spark, d, "events")
+    kind = F.col("event_type")
+    events = e.select(F.col("user_id").cast("string").alias("id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("seq"), F.when(kind == "click", "running").when(kind == "error", "failed").when(kind != "view", "done").alias("status"), F.when(kind == "view", F.concat(F.lit("agent"), F.col("event_id") % 3)).alias("assigned_to"), F.lit(None).cast("string").alias("result_cid"))
+    none = F.lit(None).cast("string")
+    created = events.select("id").distinct().select("id", F.lit("pending").alias("status"), none.alias("assigned_to"), none.alias("result_cid"), none.alias("updated_at"))
+    return tasks.fold_tasks(created, events).select("id", "status", "assigned_to")
+
+
+@query("SELECT 'a' || (l_suppkey % 50) AS name, arg_max(l_returnflag || ',' || l_linestatus, lpad(l_orderkey::VARCHAR, 12, '0') || l_linenumber || l_partkey || '-' || l_suppkey || l_returnflag || l_linestatus) AS capabilities FROM lineitem GROUP BY 1")
+def agents_upsert(spark, d):
+    li = t(spark, d, "lineitem")
+    seq = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber", "l_partkey", F.lit("-"), "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = li.select(F.concat(F.lit("a"), F.col("l_suppkey") % 50).alias("name"), F.array("l_returnflag", "l_linestatus").alias("capabilities"), seq.alias("updated_at"))
+    return tasks.register_agents(rows.select("name", F.array_join("capabilities", ",").alias("capabilities"), "updated_at").limit(0), rows).select("name", "capabilities")
+
+
+@query("SELECT source AS path, arg_max(sha256(text), doc_id) AS cid FROM documents GROUP BY 1")
+def context_files(spark, d):
+    rows = t(spark, d, "documents").select(F.col("source").alias("path"), F.sha2("text", 256).alias("cid"), F.col("doc_id").alias("tracked_at"))
+    return projection.replace_into(rows.limit(0), rows, ["path"], ["tracked_at"]).select("path", "cid")
+
+
+_SYMBOLS = [
+    ("a.py", "import os", "import", 1, 1, None), ("a.py", "from sys import path", "import", 2, 2, None), ("a.py", "User", "class", 5, 12, None), ("a.py", "__init__", "method", 6, 7, "User"), ("a.py", "greet", "method", 9, 12, "User"), ("a.py", "inner", "method", 10, 11, "greet"), ("a.py", "main", "function", 15, 16, None),
+    ("b.rs", "m", "module", 2, 12, None), ("b.rs", "N", "constant", 3, 3, "m"), ("b.rs", "S", "constant", 4, 4, "m"), ("b.rs", "P", "struct", 5, 5, "m"), ("b.rs", "P<T>", "impl", 6, 8, "m"), ("b.rs", "get", "function", 7, 7, "P<T>"), ("b.rs", "P<u8>", "impl", 9, 11, "m"), ("b.rs", "fmt", "function", 10, 10, "P<u8>"),
+    ("b.rs", "Colour", "enum", 13, 13, None), ("b.rs", "Shape", "trait", 14, 14, None), ("b.rs", "name", "function", 14, 14, "Shape"), ("b.rs", "run", "function", 15, 15, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{k}', {a}, {b}, {'NULL' if p is None else repr(p)})" for f, n, k, a, b, p in _SYMBOLS) + ") AS v(file_path, name, kind, start_line, end_line, parent_symbol)")
+def symbol_extract(spark, d):
+    return symbols.extract(A.source_files(spark)).select("file_path", "name", "kind", "start_line", "end_line", "parent_symbol")
+
+
+@query("SELECT kind, count(*) AS n FROM (VALUES " + ", ".join(f"('{k}')" for _, _, k, _, _, _ in _SYMBOLS) + ") AS v(kind) GROUP BY 1")
+def symbol_stats(spark, d):
+    return projection.counts_by(symbols.extract(A.source_files(spark)), "kind")
+
+
+_RAW = "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY l_returnflag, l_linestatus"
+
+
+@query(_RAW)
+def raw_sql(spark, d):
+    t(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(_RAW)
