@@ -260,7 +260,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 AND x = 0").select(F.col("doc_id").alias("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
-    trusted = rows.select("id", "text").join(good, "id", "left_semi").where(~fold).select("text")
+    # labels grow with the corpus: they are merged, never broadcast, so every size has one plan
+    trusted = rows.select("id", "text").where(~fold).join(good.hint("merge"), "id", "left_semi").select("text")
     table = backoff_table(trusted)
     shard = F.col("g")
     for s in (8, 16, 24, 32):
