@@ -515,3 +515,21 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_queries_equal_sql(spark, scale):
+    import duckdb
+
+    from veinstone.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{scale}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        got = QUERIES[name](spark, f"/root/testdata/{scale}")
+        assert sorted(got.columns) == columns
+        a = sorted(tuple(str(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
+        assert a == sorted(tuple(str(r[c]) for c in columns) for r in got.collect()), name

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -85,11 +85,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     (fitted strengths and the overall share), not joins of tables.
     """
     known = outcomes.where(F.col("id").isNotNull() & F.col("bad").isNotNull()).groupBy("id").agg(F.max("bad").alias("bad"))
-    hosts = (
+    hosts = written(
         pages.join(known, "id", "left")
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}),
+        "host-counts",
     )
     seen = hosts.where("n > 0")
     suffixes = seen.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -118,7 +119,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list = RULES, *, id_col:
     bound = reputation(rows.select("id", "host"), outcomes)
     method = F.when(F.round("bound", 9) > THRESHOLD, "block").otherwise("allow")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    hosts = bound.crossJoin(F.broadcast(total)).select("host", method.alias("method"), (F.col("n_pages") >= HOT * F.col("total")).alias("hot"))
+    hosts = written(bound.crossJoin(F.broadcast(total)).select("host", method.alias("method"), (F.col("n_pages") >= HOT * F.col("total")).alias("hot")), "hosts")
     hot = hosts.where("hot").select("host", F.col("method").alias("hot_method"))
     cold = hosts.where("NOT hot").select(F.col("host").alias("cold_host"), F.col("method").alias("cold_method"))
     # a space can't be in the key of a cold host's page by accident: it is the page's own key

@@ -59,4 +59,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_media_jpeg, op3_arrow_tokens, op4_quality, op5_host_reputation, op6_simhash, op7_pii, op8_line_dedup, op9_decontaminate, op10_language_id)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _strength_sql(groups: str, m: str) -> str:
+    low, high = hosts.STRENGTH
+    spread = f"sum(pow(bad / n::DOUBLE - {m}, 2) * n) / sum(n)"
+    within, size = f"sum({m} * (1 - {m}) * n) / sum(n)", "(sum(n)::DOUBLE / count(*))"
+    return f"SELECT coalesce(CASE WHEN {spread} <= ({within}) / {size} THEN {high} ELSE least(greatest((({within}) - {spread}) / ({spread} - ({within}) / {size}), {low}), {high}) END, {high})::DOUBLE AS s FROM {groups}"
+
+
+_RULE = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for h, p, _ in sorted(hosts.RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
+_VERDICT = "CASE rule " + " ".join(f"WHEN '{h + p}' THEN '{v}'" for h, p, v in hosts.RULES) + " ELSE method END"
+_TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABEL_SUFFIXES)
+_LAST = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+
+ORACLES: dict[str, str] = {
+    "op5_host_reputation": f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, {_LOWER.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+o AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+hosts AS (SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad, CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain, CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+seen AS (SELECT * FROM hosts WHERE n > 0),
+s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM seen GROUP BY 1), m0 AS (SELECT coalesce(sum(bad) / sum(n)::DOUBLE, 0) AS m0 FROM s1), s1m AS (SELECT * FROM s1, m0), k1 AS ({_strength_sql("s1m", "m0")}),
+p1 AS (SELECT suffix, (s * m0 + bad) / (s + n) AS m1 FROM s1m, k1),
+s2 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(m1) AS m1 FROM seen JOIN p1 USING (suffix) GROUP BY 1, 2), k2 AS ({_strength_sql("s2", "m1")}),
+p2 AS (SELECT domain, (s * m1 + bad) / (s + n) AS m2 FROM s2, k2),
+s3 AS (SELECT n, bad, m2 FROM seen JOIN p2 USING (domain)), k3 AS ({_strength_sql("s3", "m2")}),
+ab AS (SELECT host, s * coalesce(m2, m1, m0) + bad AS a, s * (1 - coalesce(m2, m1, m0)) + n - bad AS b FROM hosts LEFT JOIN p2 USING (domain) LEFT JOIN p1 USING (suffix), m0, k3),
+v AS (SELECT host, CASE WHEN round(a / (a + b) - {hosts.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) > {hosts.THRESHOLD} THEN 'block' ELSE 'allow' END AS method FROM ab),
+r AS (SELECT page_id, host, path, {_RULE} AS rule, method FROM p JOIN v USING (host))
+SELECT page_id, host, path, rule, {_VERDICT} AS verdict FROM r""",
+    "op8_line_dedup": f"""WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS place FROM d),
+k AS (SELECT *, trim(translate(line, chr(9) || chr(13), '  ')) AS key FROM l),
+s AS (SELECT key, min(doc_id) AS first FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {linededup.MIN_SITES}),
+m AS (SELECT doc_id, line, place, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN s USING (key)),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone) AS text FROM m GROUP BY 1)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS text_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), {decontam.WINDOW}) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT item_id, n, w[s : s + n - 1] AS x FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+dw AS (SELECT doc_id, s, n, w[s : s + n - 1] AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT doc_id, s, n, item_id FROM dw JOIN win USING (n, x)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
