@@ -42,7 +42,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """``encode(piece)`` gives the ids of one pre-token as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
         self.ranks = ranks
@@ -111,7 +111,7 @@ class Transducer:
                 before, a = a, opened_a[1]
             else:
                 before, b = b + 1, opened_b[0]
-        if len(self.follows) > 400_000:
+        if len(self.follows) > 200_000:
             self.follows.clear()
         self.follows[left, right] = ok
         return ok
@@ -193,7 +193,7 @@ class Encoder(dict):
     older one, and what was used meanwhile moves back.  What is forgotten is made again by the
     transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
