@@ -42,7 +42,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """``encode(piece)`` gives the ids of one pre-token as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
         self.ranks = ranks
@@ -190,25 +190,31 @@ class Transducer:
 
 class Encoder(dict):
     """Memory from pre-token to ids, in two generations: when the younger is full it becomes the
-    older one, and what was used meanwhile moves back.  What is forgotten is made again by the
-    transducer."""
+    older one, and what was used meanwhile moves back.  A pre-token is remembered from its second
+    use; of a first use only one byte of a hash table is kept.  What isn't remembered is made
+    again by the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 300_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.max_pieces = max_pieces
         self.older: dict[str, bytes] = {}
+        self.once = bytearray(1 << 22)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.transducer.encode(piece.encode())
-        if len(piece) <= 48:
-            if len(self) >= self.max_pieces:
-                self.older = self.copy()
-                self.clear()
-            self[piece] = ids
+            at = hash(piece) & 0x3FFFFF
+            if not self.once[at] or len(piece) > 48:
+                self.once[at] = 1
+                return ids
+        if len(self) >= self.max_pieces:
+            self.older = self.copy()
+            self.clear()
+            self.once = bytearray(1 << 22)
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -322,7 +328,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coders(sent.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             counts, id_hashes, byte_hashes, clean, kept = [], [], [], [], []
             for text in batch.column(1):
                 raw = encoder.encode(text.as_py() or "")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 HIDDEN, RUN = 16, 32
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RUNS, EPOCHS = 300, 50_000, 60_000, 2
 UNDETERMINED = "und"
-MAX_KEPT_RUNS = 150_000
+MAX_KEPT_RUNS = 300_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
