@@ -353,6 +353,48 @@ def test_near_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def plain_groups(docs, size=5, similarity=0.8):
+    """Head of every document that isn't the first of its group, by all pairs."""
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {" ".join(w[j : j + size]) for j in range(max(1, len(w) - size + 1))}
+    head = {i: i for i in sets}
+
+    def root(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b:
+                both = len(sets[a] & sets[b])
+                if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((root(a), root(b)))
+                    head[y] = x
+    return {i: root(i) for i in sets if root(i) != i}
+
+
+@pytest.mark.parametrize("hot, block", [(2000, 50_000), (3, 50_000), (10_000, 4), (3, 4)])
+def test_near_groups_around_the_threshold(spark, monkeypatch, hot, block):
+    """Texts of 50 to 100 words with 1 to 4 changes lie on both sides of 0.8; hot keys and large buckets lose no link."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(50, 100))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    got = {r["id"]: r["head"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+
+
 def plain_pii(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]

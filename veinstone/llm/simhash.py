@@ -16,17 +16,18 @@ of the links it found, never all pairs.
 **Near-duplicate groups.**  For a similarity of 0.8 of shingle sets, fingerprints differ in too
 many bits for any block to agree.  There the top levels of the trie are replaced by min-hash keys
 (a pair of similarity s shares one of n keys with probability 1 - (1 - s)**n), tries are joined
-under each key with the budget that the similarity implies, links are ranked by a wider
-fingerprint, and the spanning links are verified exactly on the texts.
+under each key with the budget that the similarity implies, and links are verified exactly on the
+texts, in rounds until none fails.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +77,12 @@ def bits_set(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def trie_join(groups: np.ndarray, values: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(groups: np.ndarray, values: np.ndarray, budget: int, settled: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions with equal group whose values differ in at most ``budget`` bits.
 
     ``groups`` and ``values`` (unsigned 64-bit) are sorted by group, then value, without repeats.
+    ``settled()`` gives a label to every position and how often it changed before; node pairs of
+    one label are pruned.
     """
     edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
     lo, hi = edges[:-1], edges[1:]
@@ -90,6 +93,10 @@ def trie_join(groups: np.ndarray, values: np.ndarray, budget: int) -> Iterator[t
     while stack:
         bit, a, b, c, d, spent = stack.pop()
         while len(a):
+            if settled is not None:
+                label, turns = settled()
+                open_ = (label[a] != label[c]) | (turns[a] != turns[b - 1]) | (turns[c] != turns[d - 1])
+                a, b, c, d, spent = a[open_], b[open_], c[open_], d[open_], spent[open_]
             if len(a) > FRONTIER:
                 half = len(a) // 2
                 stack.append((bit, a[half:], b[half:], c[half:], d[half:], spent[half:]))
@@ -217,8 +224,12 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, *, id_co
 # Near-duplicate groups by similarity of shingle sets
 
 KEYS, WIDTH = 8, 4
-#: Keys shared by more rows than this are refined by the next key.
+#: Keys shared by more rows than this are refined by each of the other keys.
 HOT_KEY = 2000
+#: Rows of a bucket that one task reads; a larger bucket is dealt as pairs of blocks.
+BLOCK = 50_000
+#: Pairs that a task looks at before it brings its labels up to date.
+STEP = 1 << 14
 
 
 def bits_for(similarity: float, bits: int, deviations: float) -> int:
@@ -246,45 +257,130 @@ def sketches(docs: DataFrame, size: int, *, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, fp array<long>, keys array<long>")
 
 
-def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links ``a, b`` of classes that share a key and are near, nearest first."""
-    budget, wide_budget = bits_for(similarity, 64, 3), bits_for(similarity, 64 * WIDTH, 2)
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes``, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _labels(forest: Forest) -> np.ndarray:
+    up = np.array(forest.up, "i8")
+    while (up != up[up]).any():
+        up = up[up]
+    return up
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` of classes, once for every bucket they fall in, with ``bucket``.
+
+    A key is a bucket.  A key of over ``HOT_KEY`` rows gives way to its pairs with every other
+    key: rows that share it meet unless they share no other key.  A bucket of over ``BLOCK`` rows
+    is dealt as pairs of blocks, so that every two of its rows meet in one task.
+    """
+    keyed = rows.select("class", F.posexplode("keys").alias("i", "key"))
+    hot = written(keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_KEY).select("i", "key", F.lit(True).alias("hot")), "hot-keys")
+    marked = rows.select("*", F.posexplode("keys").alias("i", "key")).join(hot, ["i", "key"], "left")
+    plain = F.array(F.xxhash64("i", "key"))
+    twos = F.expr(f"transform(filter(sequence(0, {KEYS - 1}), j -> j <> i), j -> xxhash64(least(i, j), greatest(i, j), keys[least(i, j)], keys[greatest(i, j)]))")
+    dealt = marked.select("class", "n", "fp", "root", "refuted", F.explode(F.when(F.col("hot").isNull(), plain).otherwise(twos)).alias("bucket"))
+    large = written(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "large-buckets")
+    at = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int")
+    blocks = F.when(F.col("blocks").isNull(), F.array(F.col("bucket"))).otherwise(F.expr("transform(sequence(0, blocks - 1), k -> xxhash64(bucket, least(k, at), greatest(k, at)))"))
+    return dealt.join(large, "bucket", "left").withColumn("at", at).select("class", "n", "fp", "root", "refuted", F.explode(blocks).alias("bucket"))
+
+
+def _candidates(rows: DataFrame, similarity: float, forests: int) -> DataFrame:
+    """Links ``a, b`` (a > b) of classes in one bucket that may be near; rows(class, n, fp, keys, root, refuted).
+
+    A task gives links that connect all that may be near and isn't connected by ``root`` yet:
+    up to ``forests`` forests without a common link, none of them a pair refuted before.
+    """
+    budget, wide_budget = bits_for(similarity, 64, 5), bits_for(similarity, 64 * WIDTH, 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
         t = pa.Table.from_batches(got)
-        group, ids, n = (t.column(c).to_numpy() for c in ("bucket", "class", "n"))
+        del got
+        group, ids, n, root = (t.column(c).to_numpy() for c in ("bucket", "class", "n", "root"))
         fp = np.stack([t.column(f"f{i}").to_numpy().view("u8") for i in range(WIDTH)], 1)
+        names, at = np.unique(ids, return_inverse=True)
+        refuted = np.empty(0, "i8")
+        once = np.unique(at, return_index=True)[1]
+        against = t.column("refuted").take(pa.array(once)).combine_chunks()
+        if len(against.flatten()):
+            a = np.repeat(np.arange(len(names)), pc.fill_null(pc.list_value_length(against), 0).to_numpy())
+            b = np.searchsorted(names, against.flatten().to_numpy())
+            here = (b < len(names)) & (names[np.minimum(b, len(names) - 1)] == against.flatten().to_numpy())
+            refuted = np.unique(a[here] * len(names) + b[here])
         order = np.lexsort((ids, fp[:, 0], group))
-        group, ids, n, fp = group[order], ids[order], n[order], fp[order]
+        order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (at[order][1:] != at[order][:-1])])]
+        group, at, n, fp = group[order], at[order], n[order], fp[order]
+        start = Forest(len(names))
+        heads = np.unique(root[once], return_index=True, return_inverse=True)
+        start.up = heads[1][heads[2]].tolist()
+        trees = [start] + [Forest(0) for _ in range(forests - 1)]
+        for tree in trees[1:]:
+            tree.up = list(start.up)
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:, 0] != fp[:-1, 0])])
-        first = np.flatnonzero(new)  # leaves of the trie; rows of a leaf hang on its first row
-        leaf_of = np.cumsum(new) - 1
-        pairs = [np.stack([first[leaf_of[~new]], np.flatnonzero(~new)], 1)]
-        pairs += [np.stack([first[x], first[y]], 1) for x, y in trie_join(group[first], fp[first, 0], budget)]
-        p = np.concatenate(pairs)
-        a, b = n[p[:, 0]], n[p[:, 1]]
-        p = p[np.minimum(a, b) >= similarity * np.maximum(a, b)]
-        far = bits_set(fp[p[:, 0]] ^ fp[p[:, 1]]).sum(1, dtype="i8") if len(p) else np.empty(0, "i8")
-        p, far = p[far <= wide_budget], far[far <= wide_budget]
-        forest, out = Forest(len(ids)), []
-        for i, j in p[np.argsort(far, kind="stable")].tolist():
-            if forest.link(i, j):
-                out.append((ids[i], ids[j]))
-        yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    keyed = rows.select("class", "n", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], F.posexplode("keys").alias("i", "key"), F.col("keys"))
-    hot = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_KEY).select("i", "key", F.lit(True).alias("hot"))
-    hot = written(hot, "hot-keys")
-    following = F.expr(f"keys[(i + 1) % {KEYS}]")
-    bucket = F.when(F.col("hot").isNull(), F.xxhash64("i", "key")).otherwise(F.xxhash64("i", "key", following))
-    return keyed.join(hot, ["i", "key"], "left").select("class", "n", *[f"f{i}" for i in range(WIDTH)], bucket.alias("bucket")).repartition("bucket").mapInArrow(run, "a long, b long")
+        first, leaf_of = np.flatnonzero(new), np.cumsum(new) - 1  # leaves of the trie
+        sizes = np.diff(np.append(first, len(at)))
+        last, label = trees[-1], _labels(trees[-1])
+        out: list[tuple[int, int]] = []
+
+        seen: tuple = (None, None, None)
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            nonlocal seen
+            if seen[0] is not label:
+                same = label[at]
+                whole = np.logical_and.reduceat(same == same[first[leaf_of]], first)
+                same = np.where(whole, same[first], -1 - np.arange(len(first)))  # a leaf with open rows is its own
+                seen = (label, same, np.concatenate([[0], np.cumsum(same[1:] != same[:-1])]))
+            return seen[1:]
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal label
+            for lo in range(0, len(x), STEP):
+                p, q = x[lo : lo + STEP], y[lo : lo + STEP]
+                apart = label[at[p]] != label[at[q]]
+                p, q = p[apart], q[apart]
+                fits = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])
+                p, q = p[fits], q[fits]
+                fits = bits_set(fp[p] ^ fp[q]).sum(1, dtype="i8") <= wide_budget
+                a, b = np.maximum(at[p[fits]], at[q[fits]]), np.minimum(at[p[fits]], at[q[fits]])
+                fits = ~np.isin(a * len(names) + b, refuted)
+                before = len(out)
+                for i, j in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
+                    if any(tree.link(i, j) for tree in trees):
+                        out.append((i, j))
+                if len(out) > before:
+                    label = _labels(last)
+
+        def rows_of(x: np.ndarray, y: np.ndarray) -> None:
+            """Take all rows of leaves x with all rows of leaves y."""
+            x, y = np.repeat(first[x], sizes[x]) + _counted(sizes[x]), np.repeat(y, sizes[x])
+            edges = np.searchsorted(np.cumsum(sizes[y]), np.arange(0, sizes[y].sum() + FRONTIER, FRONTIER), "right")
+            for lo, hi in zip(edges, np.append(edges[1:], len(y)), strict=True):
+                p, q = x[lo:hi], y[lo:hi]
+                take(np.repeat(p, sizes[q]), np.repeat(first[q], sizes[q]) + _counted(sizes[q]))
+
+        rest = np.flatnonzero(~new)
+        take(first[leaf_of[rest]], rest)
+        for leaf in np.flatnonzero(sizes > 1):
+            if len(np.unique(label[at[first[leaf] : first[leaf] + sizes[leaf]]])) > 1:
+                rows_of(np.array([leaf]), np.array([leaf]))
+        for allowed in sorted({min(budget, b) for b in (2, 6, 12, 18, budget)}):  # near pairs settle most of what is dense
+            for x, y in trie_join(group[first], fp[first, 0], allowed, settled):
+                rows_of(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([int(names[x[i]]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    flat = _buckets(rows).select("class", "n", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], "root", "refuted", "bucket")
+    return flat.repartition("bucket").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts, ``texts(class, text)``, have that similarity."""
+    """``a, b, near`` for ``pairs(a, b)``: whether their texts, ``texts(class, text)``, have that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,10 +389,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
                 x, y = np.unique(shingle_hashes(s.as_py(), size)), np.unique(shingle_hashes(t.as_py(), size))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
     of = lambda c: texts.toDF(c, f"text_{c}")
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+
+
+def _linked(classes: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``node, root`` of the classes that have a link of that similarity.
+
+    Rounds of spanning links, each verified on the texts.  Links that fail may have taken the place
+    of true ones, so what hangs together by a round's links, one of them refuted, is searched
+    again without the refuted pairs, with four times the forests, until no link fails.
+    """
+    none = classes.sparkSession.createDataFrame([], "a long, b long, near boolean")
+    todo = classes.withColumn("root", F.col("class")).withColumn("refuted", F.lit(None).cast("array<long>"))
+    judged, linked, forests = none, None, 1
+    while True:
+        pairs = written(_candidates(todo, similarity, forests).distinct(), "candidates")
+        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "wanted")
+        texts = rows.join(wanted, rows["id"] == wanted["class"]).groupBy("class").agg(F.max("text").alias("text"))
+        result = written(_verified(pairs, written(texts, "texts"), size, similarity), "verified")
+        judged = written(judged.union(result), "judged")
+        linked = written(components(judged.where("near").select("a", "b")), "linked")
+        wrong = result.where("NOT near")
+        if wrong.isEmpty():
+            return linked
+        hang = written(components(pairs), "hanging")
+        again = hang.join(wrong.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
+        again = written(hang.join(again, "root").select(F.col("node").alias("class")), "again")
+        against = judged.where("NOT near").groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted"))
+        todo = classes.join(again, "class").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        todo = written(todo.join(against, "class", "left"), "again-rows")
+        forests *= 4
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,9 +436,6 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
     made = written(sketches(rows, size, id_col="id", text_col="text").where("n > 0"), "sketches")
     made = made.withColumn("same", F.xxhash64("n", "fp", "keys"))
     classes = written(made.groupBy("same").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
-    pairs = written(_candidates(classes, similarity).distinct(), "candidates")
-    wanted = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "wanted")
-    texts = rows.join(wanted, rows["id"] == wanted["class"]).groupBy("class").agg(F.max("text").alias("text"))
-    linked = written(components(_verified(pairs, written(texts, "texts"), size, similarity)), "linked")
+    linked = _linked(classes.select("class", "n", "fp", "keys"), rows, size, similarity)
     head = written(classes.select("same", "class").join(linked, F.col("class") == F.col("node"), "left").select("same", F.coalesce("root", "class").alias("head")), "heads")
     return made.select("id", "same").join(head, "same").where("id <> head").groupBy("id").agg(F.min("head").alias("head"))
