@@ -395,6 +395,21 @@ def test_near_groups_around_the_threshold(spark, monkeypatch, hot, block):
     assert got == plain_groups(rows)
 
 
+@pytest.mark.parametrize("seed, step", [(1, 1 << 14), (2, 1 << 14), (3, 64)])
+def test_near_groups_large_group_and_one_borderline_text(spark, monkeypatch, seed, step):
+    """A text that is near to one of 300 copies and just below 0.8 to the rest isn't lost among refuted links."""
+    monkeypatch.setattr(simhash, "STEP", step)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    base = [word() for _ in range(200)]
+    changed = lambda places: " ".join(word() if i in places else w for i, w in enumerate(base))
+    apart = (30, 80, 130, 180)  # four changes: 0.815 to a copy changed at one of these places, 0.774 to the others
+    rows = [(i, changed({rng.choice([p for p in range(5, 195) if min(abs(p - q) for q in apart) > 5])})) for i in range(300)]
+    rows += [(300, changed({30})), (301, changed(set(apart)))]
+    got = {r["id"]: r["head"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows) == {i: 0 for i in range(1, 302)}
+
+
 def plain_pii(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]

@@ -316,16 +316,13 @@ def _candidates(rows: DataFrame, similarity: float, forests: int) -> DataFrame:
         order = np.lexsort((ids, fp[:, 0], group))
         order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (at[order][1:] != at[order][:-1])])]
         group, at, n, fp = group[order], at[order], n[order], fp[order]
-        start = Forest(len(names))
-        heads = np.unique(root[once], return_index=True, return_inverse=True)
-        start.up = heads[1][heads[2]].tolist()
-        trees = [start] + [Forest(0) for _ in range(forests - 1)]
-        for tree in trees[1:]:
-            tree.up = list(start.up)
+        heads = np.unique(root[once], return_inverse=True)
+        joined = heads[1].tolist()  # trees stand on what root connects already, and are made when a link needs one
+        trees = [Forest(len(heads[0]))]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:, 0] != fp[:-1, 0])])
         first, leaf_of = np.flatnonzero(new), np.cumsum(new) - 1  # leaves of the trie
         sizes = np.diff(np.append(first, len(at)))
-        last, label = trees[-1], _labels(trees[-1])
+        label = heads[1]
         out: list[tuple[int, int]] = []
 
         seen: tuple = (None, None, None)
@@ -347,15 +344,21 @@ def _candidates(rows: DataFrame, similarity: float, forests: int) -> DataFrame:
                 p, q = p[apart], q[apart]
                 fits = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])
                 p, q = p[fits], q[fits]
-                fits = bits_set(fp[p] ^ fp[q]).sum(1, dtype="i8") <= wide_budget
+                far = bits_set(fp[p] ^ fp[q]).sum(1, dtype="i8")
+                fits = np.argsort(far, kind="stable")[: (far <= wide_budget).sum()]  # the likely ones first
                 a, b = np.maximum(at[p[fits]], at[q[fits]]), np.minimum(at[p[fits]], at[q[fits]])
                 fits = ~np.isin(a * len(names) + b, refuted)
                 before = len(out)
                 for i, j in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
-                    if any(tree.link(i, j) for tree in trees):
+                    u, v = joined[i], joined[j]
+                    if any(tree.link(u, v) for tree in trees):
                         out.append((i, j))
-                if len(out) > before:
-                    label = _labels(last)
+                    elif len(trees) < forests and u != v:
+                        trees.append(Forest(len(heads[0])))
+                        trees[-1].link(u, v)
+                        out.append((i, j))
+                if len(out) > before and len(trees) == forests:
+                    label = _labels(trees[-1])[heads[1]]
 
         def rows_of(x: np.ndarray, y: np.ndarray) -> None:
             """Take all rows of leaves x with all rows of leaves y."""
@@ -399,28 +402,32 @@ def _linked(classes: DataFrame, rows: DataFrame, size: int, similarity: float) -
     """``node, root`` of the classes that have a link of that similarity.
 
     Rounds of spanning links, each verified on the texts.  Links that fail may have taken the place
-    of true ones, so what hangs together by a round's links, one of them refuted, is searched
-    again without the refuted pairs, with four times the forests, until no link fails.
+    of true ones: a pair gets no link only where a task's links join it already, so if it stays
+    apart, a failed link leads out of the group (by all links verified so far) of each of its
+    classes.  All classes of such groups are searched again without the refuted pairs, with four
+    times the forests, until no failed link lies between two groups.
     """
-    none = classes.sparkSession.createDataFrame([], "a long, b long, near boolean")
+    linked = classes.sparkSession.createDataFrame([], "node long, root long")
+    refuted = classes.sparkSession.createDataFrame([], "a long, b long, new boolean, root_a long, root_b long")
     todo = classes.withColumn("root", F.col("class")).withColumn("refuted", F.lit(None).cast("array<long>"))
-    judged, linked, forests = none, None, 1
+    forests = 1
     while True:
         pairs = written(_candidates(todo, similarity, forests).distinct(), "candidates")
         wanted = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "wanted")
         texts = rows.join(wanted, rows["id"] == wanted["class"]).groupBy("class").agg(F.max("text").alias("text"))
         result = written(_verified(pairs, written(texts, "texts"), size, similarity), "verified")
-        judged = written(judged.union(result), "judged")
-        linked = written(components(judged.where("near").select("a", "b")), "linked")
-        wrong = result.where("NOT near")
+        linked = written(components(linked.toDF("a", "b").union(result.where("near").select("a", "b"))), "linked")
+        of = lambda c: linked.toDF(c, f"root_{c}")  # noqa: B023, E731
+        failed = refuted.select("a", "b", F.lit(False).alias("new")).union(result.where("NOT near").select("a", "b", F.lit(True).alias("new")))
+        failed = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
+        refuted = written(failed.where("root_a <> root_b").select("a", "b", "new", "root_a", "root_b"), "refuted")
+        wrong = refuted.where("new")
         if wrong.isEmpty():
             return linked
-        hang = written(components(pairs), "hanging")
-        again = hang.join(wrong.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
-        again = written(hang.join(again, "root").select(F.col("node").alias("class")), "again")
-        against = judged.where("NOT near").groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted"))
-        todo = classes.join(again, "class").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        todo = written(todo.join(against, "class", "left"), "again-rows")
+        again = wrong.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+        rooted = classes.join(of("class"), "class", "left").withColumn("root", F.coalesce("root_class", "class")).drop("root_class")
+        against = refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted"))
+        todo = written(rooted.join(again, "root", "left_semi").join(against, "class", "left"), "again-rows")
         forests *= 4
 
 
