@@ -474,6 +474,21 @@ def test_line_dedup(spark):
     assert linededup.remove_boilerplate(empty_docs(spark)).count() == 0
 
 
+def test_line_dedup_counts_lines_whose_sites_share_registers(spark):
+    """Eight sites on six, five, four and three registers are eight sites; seven are not."""
+    from pyspark.sql import functions as F
+
+    sites = spark.range(20_000).select(F.concat(F.lit("site"), "id").alias("site")).withColumn("h", F.lit(1))
+    register = F.xxhash64("site", F.lit("site")).bitwiseAND((1 << linededup.PRECISION) - 1)
+    full = [sorted(r["s"]) for r in sites.groupBy(register.alias("r")).agg(F.collect_list("site").alias("s")).where(F.size("s") >= 6).orderBy("r").limit(8).collect()]
+    picks = {"six": [2, 2, 1, 1, 1, 1], "five": [2, 2, 2, 1, 1], "four": [2, 2, 2, 2], "three": [6, 1, 1], "seven sites": [2, 2, 1, 1, 1]}
+    rows = [(line, s) for line, sizes in picks.items() for i, n in enumerate(sizes) for s in full[i][:n]]
+    docs = spark.createDataFrame([(i, f"own {i}\n{line}", s) for i, (line, s) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.remove_boilerplate(docs).collect()}
+    first = {line: [r[0] for r in rows].index(line) for line in picks}
+    assert got == {i: int(line != "seven sites" and i != first[line]) for i, (line, _) in enumerate(rows)}
+
+
 def test_hyperloglog_estimates(spark):
     from pyspark.sql import functions as F
 

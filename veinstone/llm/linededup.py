@@ -4,8 +4,8 @@ Every line hash gets a HyperLogLog sketch of the sites it was seen on.  A sketch
 rows (line, register, rank) of which an aggregation takes the maximum: merging is partial
 aggregation, a line on few sites has few rows, and no line has more than the number of registers.
 A second aggregation turns registers into estimates.  Lines that are clearly spread or clearly not
-are decided by the estimate; those within ``DEVIATIONS`` standard errors of the threshold get
-exact distinct counts.  All steps are built-in expressions.
+are decided by the estimate; those from ``recount_from`` up to ``DEVIATIONS`` standard errors over
+the threshold get exact distinct counts.  All steps are built-in expressions.
 
 A line that spreads over ``min_sites`` sites or more is removed from every document but the one
 with the smallest id that has it, so its content stays once.
@@ -61,12 +61,22 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataF
     return docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
 
 
+def recount_from(min_sites: int) -> float:
+    """Estimate from which on lines are counted exactly.
+
+    Sites that share a register lower an estimate: a line on ``min_sites`` is below this only if at
+    least six of its sites (half of them, if that is more) fall on registers of others.  Up to five
+    sites every line is counted.
+    """
+    return min(min_sites / 2, max(min_sites - 5.0, 0.0))
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``key, drop``: the line numbers that each document loses; key is (id, hash of the text)."""
     occ = occurrences(_marked(docs, id_col, text_col, site_col))
     margin = max(1.0, DEVIATIONS * 1.04 / math.sqrt(1 << PRECISION) * min_sites)
     likely = written(
-        estimates(registers(occ)).where(F.col("sites") > min_sites - margin)
+        estimates(registers(occ)).where(F.col("sites") > recount_from(min_sites))
         .select("h", (F.col("sites") > min_sites + margin).alias("sure")), "likely-lines",
     )
     # hot lines are split by Spark: both sides of this join are plain shuffles
