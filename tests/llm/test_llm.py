@@ -438,6 +438,16 @@ def test_pii_disguises_map_back():
         assert pii.find(text) == ([], [])
 
 
+def test_pii_gate_reaches_what_the_transducers_rewrite():
+    spans = ["plus 1 415 555 0100", "+1 four 1 five 5 five 5 oh 1 two 3", "+one 4 1 5 5 5 5 0 1 two 3", "1.one.2.3", "+\u017feven 415 555 0100"]
+    for zero in (0x9E6, 0xE50, 0xBE6, 0x1D7CE):  # Bengali, Thai, Tamil, mathematical
+        spans += ["".join(chr(zero + int(c)) if c.isdigit() else c for c in s) for s in ("+1 415 555 0100", "4111 1111 1111 1111")]
+    for span in spans:
+        text = f"call {span} now"
+        assert [text[a:b] for _, a, b in pii.find(text)[1]] == [span], text
+    assert all(pii._ODD.match(chr(c)) for c in range(0x80, 0x110000) if pii._plain_char(chr(c)) != chr(c))
+
+
 def test_pii_query_and_long_inputs(spark):
     docs, rows = odd_docs(spark, random_texts(50, 12) + ["a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000])
     got = sorted((str(r["doc_id"]), r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.digest(pii.find_pii(docs)).collect())

@@ -94,6 +94,7 @@ LOOK_ALIKES = {
     "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u2024": ".", "\u3002": ".", "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_FOLDED = str.maketrans("\u0131\u017f", "is")  # letters that patterns without case take for i and s
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 
@@ -113,8 +114,8 @@ def _plain_char(c: str) -> str:
     return c
 
 
-#: Where the character transducer may have something to rewrite.
-_ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + ZERO_WIDTH) + "！-～٠-٩۰-۹०-९]")
+#: Every character that the character transducer changes: those listed, and all decimals but ASCII's.
+_ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + ZERO_WIDTH) + "！-～" + "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0) + "]")
 # What a spelled-out domain may end in, besides two letters.
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|name|dev|app|[a-z]{2}"
 # source patterns of the word transducer, tried in this order at every place; a bare " at " or
@@ -126,8 +127,9 @@ _DOT = rf"{_CLOSED_DOT}|\s+dot\s+(?={_END})"
 _PLUS = r"\bplus\s+(?=(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])\b)"
 _WORD = r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b(?:[\s,]+(?=(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|[0-9])\b))?"
 _DISGUISE = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<digit>{_WORD})", re.I)
-#: A text has a disguise only where one of these stands.
-_HINT = re.compile(r"[(\[{<]\s*(?:at|dot)\s*[)\]}>]|\sdot\s|\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
+_NUMERAL = r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b"
+#: A text has a disguise only where one of these stands; a spelled digit that stays by itself makes no identifier.
+_HINT = re.compile(rf"[(\[{{<]\s*(?:at|dot)\s*[)\]}}>]|\sdot\s|{_PLUS}|{_NUMERAL}(?=[\s,().+-]*(?:[0-9]|{_NUMERAL})|[\s,]+dot\b)|[0-9+][\s,().+-]*{_NUMERAL}", re.I)
 #: Characters of source that a disguised identifier may reach to either side of a hint.
 REACH = 160
 
@@ -147,7 +149,7 @@ def normalise(text: str, offset: int = 0) -> tuple[str, list[int], list[int]]:
         out.append(once[done:a])
         out_starts += starts[done:a]
         out_ends += ends[done:a]
-        new = {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup) or DIGIT_WORDS[re.match("[a-z]+", m.group(), re.I).group().lower()]
+        new = {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup) or DIGIT_WORDS[re.match("[a-z]+", m.group(), re.I).group().lower().translate(_FOLDED)]
         core = m.group().strip(" \t\r\n,\f\v")
         at = a + m.group().index(core)
         out.append(new)
