@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made since each open ``scratch`` began, the innermost last.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests, ``local[n]``)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="veinstone-")
@@ -17,9 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet and read back: computed once, and safe from lost executors."""
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made in it, but those to be kept.
+
+    What is kept belongs to the scratch around it, if there is one.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, what: str, *, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read back: computed once, and safe from lost executors.
+
+    Within a ``scratch`` the table is deleted at the end of it, with ``keep`` at the end of the one around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
