@@ -1,22 +1,22 @@
 """Personal data in texts, also where it is disguised, with offsets into the text as it is.
 
 Two passes over each whole text.  The plain pass finds identifiers as they stand.  The second
-pass finds disguises: letter-by-letter transducers rewrite homoglyphs (full-width, Cyrillic and
-Greek look-alikes, digits of other scripts), spelled digits and at/dot disguises, and carry for
-every character of the output the span of source characters that it came from.  The same
-detectors run over the normalised text, and what they find is mapped back; a span is added where
-no plain span of its kind overlaps it.
-
-The second pass runs only around places where a transducer has something to rewrite, so the cost
-of clean text is that of a few scans.  Every scan is linear in the text.  Offsets are code points,
-ends exclusive.
+pass finds disguises: three transducers, one after the other, rewrite the whole text.  The first
+replaces single characters (full-width, Cyrillic and Greek look-alikes, digits of other scripts,
+characters without width), the second at and dot in words or brackets, the third spelled digits and
+plus.  Each emits edits, (source span, output, core of the source span), and copies the rest, so an
+offset of its output is mapped back by a search among its edits.  The same detectors run over the
+rewritten text, and what they find is mapped back through all three; a span is added where no plain
+span of its kind overlaps it.  A text in which no transducer has an edit is not read again.
+
+Every pass is linear in the text.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,6 +93,8 @@ LOOK_ALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u2024": ".", "\u3002": ".", "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
+# What a spelled-out domain may end in, besides two letters.
+TOP_LEVEL = frozenset(["com", "org", "net", "edu", "gov", "info", "biz", "name", "dev", "app"])
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _FOLDED = str.maketrans("\u0131\u017f", "is")  # letters that patterns without case take for i and s
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
@@ -116,66 +118,116 @@ def _plain_char(c: str) -> str:
 
 #: Every character that the character transducer changes: those listed, and all decimals but ASCII's.
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + ZERO_WIDTH) + "！-～" + "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0) + "]")
-# What a spelled-out domain may end in, besides two letters.
-TOP_LEVEL = "com|org|net|edu|gov|info|biz|name|dev|app|[a-z]{2}"
-# source patterns of the word transducer, tried in this order at every place; a bare " at " or
-# " dot " is rewritten only if labels and dots lead on to a top-level domain
-_CLOSED_DOT = r"\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<\s*dot\s*>)\s*"
-_END = rf"(?:[a-z0-9-]{{1,63}}(?:{_CLOSED_DOT}|\s+dot\s+|\.)){{0,6}}(?:{TOP_LEVEL})\b"
-_AT = rf"\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{{\s*at\s*\}}|<\s*at\s*>)\s*|\s+at\s+(?=[a-z0-9-]{{1,63}}(?:{_CLOSED_DOT}|\s+dot\s+){_END})"
-_DOT = rf"{_CLOSED_DOT}|\s+dot\s+(?={_END})"
-_PLUS = r"\bplus\s+(?=(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])\b)"
-_WORD = r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b(?:[\s,]+(?=(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|[0-9])\b))?"
-_DISGUISE = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<digit>{_WORD})", re.I)
-_NUMERAL = r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b"
-#: A text has a disguise only where one of these stands; a spelled digit that stays by itself makes no identifier.
-_HINT = re.compile(rf"[(\[{{<]\s*(?:at|dot)\s*[)\]}}>]|\sdot\s|{_PLUS}|{_NUMERAL}(?=[\s,().+-]*(?:[0-9]|{_NUMERAL})|[\s,]+dot\b)|[0-9+][\s,().+-]*{_NUMERAL}", re.I)
-#: Characters of source that a disguised identifier may reach to either side of a hint.
-REACH = 160
-
-
-def normalise(text: str, offset: int = 0) -> tuple[str, list[int], list[int]]:
-    """The rewritten text, and for each of its characters the start and end of its source."""
-    chars, starts, ends = [], [], []
-    for i, c in enumerate(text, offset):
-        if r := _plain_char(c):
-            chars.append(r)
-            starts.append(i)
-            ends.append(i + 1)
-    once = "".join(chars)
-    out, out_starts, out_ends, done = [], [], [], 0
-    for m in _DISGUISE.finditer(once):
-        a, b = m.span()
-        out.append(once[done:a])
-        out_starts += starts[done:a]
-        out_ends += ends[done:a]
-        new = {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup) or DIGIT_WORDS[re.match("[a-z]+", m.group(), re.I).group().lower().translate(_FOLDED)]
-        core = m.group().strip(" \t\r\n,\f\v")
-        at = a + m.group().index(core)
-        out.append(new)
-        out_starts.append(starts[at])
-        out_ends.append(ends[at + len(core) - 1])
-        done = b
-    out.append(once[done:])
-    return "".join(out), out_starts + starts[done:], out_ends + ends[done:]
+#: An edit: the source span, what it is replaced by, and the span that the output stands for.
+Edit = tuple[int, int, str, int, int]
+
+_NUMERAL = "|".join(DIGIT_WORDS)
+_BRACKETED = "|".join(rf"{re.escape(a)}\s*(?:{{0}})\s*{re.escape(b)}" for a, b in ("()", "[]", "{}", "<>"))
+# a run of white space is tried from its start only
+_CONNECTOR = re.compile(rf"(?:(?<!\s)\s++)?(?:{_BRACKETED.replace('{0}', 'at|dot')})\s*|(?<!\s)\s++(?:at|dot)\s+", re.I)
+_CORE = re.compile(r"\S(?:.*\S)?", re.S).search
+_LABELS = re.compile(r"[a-z0-9-]++(?:\.[a-z0-9-]++)*+", re.I)
+_NUMBER = re.compile(rf"(?:{_NUMERAL}|[0-9]+)\b", re.I)
+_ENDS_IN_NUMBER = re.compile(rf"(?:\b(?:{_NUMERAL})|[0-9])\Z", re.I)
+_SPELLED = re.compile(rf"\b(?:plus\s+(?=(?:{_NUMERAL}|[0-9]+)\b)|(?:{_NUMERAL})\b(?:[\s,]+(?=(?:{_NUMERAL}|[0-9]+)\b))?)", re.I)
+_WORD = re.compile(r"[a-z\u0131\u017f]+", re.I)
+
+
+def characters(text: str) -> list[Edit]:
+    """Edits of single characters."""
+    if text.isascii():
+        return []
+    return [(m.start(), m.end(), _plain_char(m.group()), m.start(), m.end()) for m in _ODD.finditer(text)]
+
+
+def connectors(text: str) -> list[Edit]:
+    """Edits of spelled at and dot.
+
+    In brackets they are always rewritten.  A bare dot is rewritten where labels and dots lead on to
+    a top-level domain, or between numbers; a bare at where a label, a spelled dot and such a domain
+    follow.  The text is read from right to left: whether a domain follows a connector depends on
+    the labels behind it and, if they end at another connector, on that one.
+    """
+    found = [m.span() for m in _CONNECTOR.finditer(text)]
+    out: list[Edit] = []
+    next_start, next_dot, next_leads = -1, False, False
+    for a, b in reversed(found):
+        core = _CORE(text, a, b)
+        said = core.group()
+        dot, bare = "o" in said.lower(), said[0] not in "([{<"
+        labels = _LABELS.match(text, b)
+        end = labels.end() if labels else b
+        on = labels is not None and end == next_start and next_dot
+        ends = labels is not None and any(x in TOP_LEVEL or len(x) == 2 and x.isalpha() for x in labels.group().lower().split("."))
+        leads = ends or on and next_leads
+        if not bare:
+            take = True
+        elif dot:
+            take = leads or _NUMBER.match(text, b) is not None and _ENDS_IN_NUMBER.search(text, max(0, a - 8), a) is not None
+        else:
+            take = on and next_leads and "." not in labels.group()
+        if take:
+            out.append((a, b, "." if dot else "@", core.start(), core.end()))
+        next_start, next_dot, next_leads = a, dot, leads
+    return out[::-1]
+
+
+def numerals(text: str) -> list[Edit]:
+    """Edits of spelled digits, with the space before a next digit, and of plus before a digit."""
+    out = []
+    for m in _SPELLED.finditer(text):
+        word = _WORD.match(text, m.start())
+        said = word.group().lower().translate(_FOLDED)
+        out.append((m.start(), m.end(), DIGIT_WORDS.get(said, "+"), *word.span()))
+    return out
+
+
+class Rewritten:
+    """The output of a transducer, and where it comes from."""
+
+    def __init__(self, text: str, edits: list[Edit]):
+        parts, done, size = [], 0, 0
+        self.at: list[int] = []  # where the output of every edit starts
+        self.ends: list[int] = []
+        self.edits = edits
+        for a, b, new, _, _ in edits:
+            parts += [text[done:a], new]
+            size += a - done
+            self.at.append(size)
+            size += len(new)
+            self.ends.append(size)
+            done = b
+        parts.append(text[done:])
+        self.text = "".join(parts)
+
+    def _origin(self, i: int) -> tuple[int, int]:
+        """The source span of one character of the output."""
+        k = bisect_right(self.at, i) - 1
+        if k < 0:
+            return i, i + 1
+        if i < self.ends[k]:
+            return self.edits[k][3], self.edits[k][4]
+        a = self.edits[k][1] + i - self.ends[k]
+        return a, a + 1
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        return self._origin(a)[0], self._origin(b - 1)[1]
 
 
 def disguised(text: str) -> list[Span]:
-    """What the detectors find around disguises after rewriting, as spans of the source."""
-    spots = [m.span() for m in _HINT.finditer(text)] + ([] if text.isascii() else [m.span() for m in _ODD.finditer(text)])
-    if not spots:
+    """What the detectors find after rewriting, as spans of the source; nothing if nothing is rewritten."""
+    steps = []
+    for transducer in (characters, connectors, numerals):
+        if edits := transducer(text):
+            steps.append(Rewritten(text, edits))
+            text = steps[-1].text
+    if not steps:
         return []
-    regions: list[list[int]] = []
-    for a, b in sorted(spots):
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = max(b, regions[-1][1])
-        else:
-            regions.append([a, b])
     found = []
-    for a, b in regions:
-        new, starts, ends = normalise(text[a:b], a)
-        found += [(kind, starts[s], ends[e - 1]) for kind, s, e in plain(new)]
+    for kind, a, b in plain(text):
+        for step in reversed(steps):
+            a, b = step.source(a, b)
+        found.append((kind, a, b))
     return found
 
 
@@ -183,8 +235,11 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans: the plain ones and disguised ones that overlap none of their kind."""
     base = plain(text)
     more = []
+    places = {k: ([s for kind, s, _ in base if kind == k], [e for kind, _, e in base if kind == k]) for k in KINDS}
     for kind, a, b in disguised(text):
-        if not any(k == kind and a < e and s < b for k, s, e in base):
+        starts, ends = places[kind]  # spans of a kind don't overlap: only the last one that starts before b can reach a
+        i = bisect_right(starts, b - 1) - 1
+        if i < 0 or ends[i] <= a:
             more.append((kind, a, b))
     return base, sorted({*base, *more}, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
@@ -192,8 +247,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, base, spans`` for every row: arrays of (kind, start, end).
 
-    A map over partitions without a shuffle.  Null and empty texts have no spans; repeated rows
-    and null ids stay; other columns are not read.
+    A map over partitions without a shuffle.  Null and empty texts have no spans, very long ones are
+    read whole; repeated rows and null ids stay; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
