@@ -16,6 +16,7 @@ transform; its 8 x 8 average is compared with its mean for a 64-bit hash.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -48,10 +49,15 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def encode(payload: bytes) -> bytes:
-    """A baseline JPEG whose coefficients are the payload, a positive multiple of 64 bytes."""
+    """A baseline JPEG whose coefficients are the payload, a positive multiple of 64 bytes; the last row is filled up with zeros.
+
+    ValueError beyond the largest image, ``MAX_SIDE`` blocks squared (4 GB).
+    """
     blocks = len(payload) // BLOCK
-    wide = -(-blocks // MAX_SIDE)
+    wide = math.isqrt(blocks - 1) + 1  # nearly a square, so that the thumbnail is an image
     high = -(-blocks // wide)
+    if wide > MAX_SIDE:
+        raise ValueError(f"{len(payload)} bytes don't fit into an image")
     data = np.frombuffer(payload, "u1").reshape(blocks, BLOCK)
     if wide * high > blocks:
         data = np.concatenate([data, np.zeros((wide * high - blocks, BLOCK), "u1")])
@@ -321,8 +327,8 @@ def _portions(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordB
 def texts_as_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Store each whole text as a JPEG, read it back, and digest what was stored.
 
-    A map over partitions, a few megabytes of text at a time.  Null and empty texts are one block of zeros;
-    equal texts give equal values; null ids and repeated rows stay; other columns are not read.
+    A map over partitions, a few megabytes of text at a time; a longer text is taken by itself, whole.
+    Null and empty texts are one block of zeros; equal texts give equal values; null ids and repeated rows stay; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
