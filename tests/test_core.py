@@ -236,6 +236,40 @@ def test_allocation_by_bisection(spark):
     assert allocate.optimise(diamond)[1].count() == 4
 
 
+def test_allocation_by_search_equals_plain_trials(spark, monkeypatch):
+    """Every price is the least on its grid of halvings that keeps its limit, by trying on all nodes; the driver and the jobs agree."""
+    monkeypatch.setattr(allocate, "STEPS", 4)
+    rows = [(f"{i}", i % 6, ((i * 7919) % 100) / (40 if i % 6 > 3 else 10), None) for i in range(60)]
+    tree = spark.createDataFrame(rows, tree_chain(spark, 1).schema)
+    limits = Constraints(60, 3, 7)
+
+    def tried(top, holds):
+        grid = [top * i / 16 for i in range(1, 16)]
+        return next((x for x in grid if holds(x)), top)
+
+    def plain(c, d, t):
+        gain = cost = deep = depth = 0
+        for _, at, p, _ in rows:
+            worth = [0, 0.3 * p - c - d * at, 0.7 * p - 2 * c - d * at, p - 4 * c - d * at - t]
+            tier = worth.index(max(worth))
+            gain, cost, deep, depth = gain + p * (0, 0.3, 0.7, 1)[tier], cost + (0, 1, 2, 4)[tier], deep + (tier == 3), max(depth, at if tier else 0)
+        return gain, cost, deep, depth
+
+    def prices(c):
+        of = lambda t: tried(1.0, lambda d: plain(c, d, t)[3] <= 3)
+        t = tried(10.0, lambda t: plain(c, of(t), t)[2] <= 7)
+        return c, of(t), t
+
+    c, d, t = prices(tried(10.0, lambda c: plain(*prices(c))[1] <= 60))
+    gain, cost, deep, depth = plain(c, d, t)
+    for most in (allocate.DRIVER_PAIRS, 0):
+        monkeypatch.setattr(allocate, "DRIVER_PAIRS", most)
+        found, tiers = allocate.optimise(tree, limits)
+        assert (found.lambda_cost, found.lambda_depth, found.lambda_tier3) == (c, d, t) and found.feasible
+        assert abs(found.total_gain - gain) < 1e-9 and (found.total_cost, found.tier3) == (cost, deep) and depth <= 3
+        assert abs(totals(tiers)[0] - gain) < 1e-9 and totals(tiers)[1:3] == (cost, deep)
+
+
 def test_allocation_by_grid(spark):
     rows = [(f"{i}", i % 3, 0.5 + 0.1 * (i % 5), float(10 ** (i % 4))) for i in range(20)]
     tree = spark.createDataFrame(rows, tree_chain(spark, 1).schema)

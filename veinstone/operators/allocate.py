@@ -1,24 +1,29 @@
 """Budgeted allocation of effort: which nodes of a tree get which tier.
 
 What a tier is worth to a node depends on its potential and depth alone, so the search for the
-multipliers runs on a histogram of (potential, depth); its size is the number of distinct pairs.
-The tiers themselves are one projection over the nodes.
+multipliers runs on a histogram of (potential, depth), the number of nodes for each distinct pair.
+A small histogram is summed up on the driver, a large one by a job for each trial; both sum up all
+pairs.  The tiers themselves are one projection over the nodes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TIERS
-from ..store import written
+from ..store import scratch, written
 
 STEPS, GRID = 20, 10
-#: Distinct pairs of potential and depth that the driver takes; above it potentials are rounded.
-MAX_PAIRS = 200_000
+#: Largest price of cost, of depth and of a node in the deep tier.
+TOP_COST, TOP_DEPTH, TOP_TIER3 = 10.0, 1.0, 10.0
+#: Distinct pairs of potential and depth that the driver takes; more of them stay in their table.
+DRIVER_PAIRS = 200_000
 
 
 @dataclass
@@ -88,10 +93,10 @@ def heterogeneous(tree: DataFrame) -> DataFrame:
 
 
 class Histogram:
-    """Sums over all nodes under given multipliers."""
+    """Sums over nodes under given multipliers, from (potential, depth, number) rows."""
 
-    def __init__(self, rows: list[tuple[float, int, int]]):
-        data = np.array(rows or np.empty((0, 3)), "f8").reshape(-1, 3)
+    def __init__(self, rows: list[tuple[float, int, int]] | np.ndarray):
+        data = np.array(rows if len(rows) else np.empty((0, 3)), "f8").reshape(-1, 3)
         self.p, self.depth, self.n = data[:, 0], data[:, 1], data[:, 2]
         self.cost, self.share = (np.array([TIERS[t][i] for t in TIERS]) for i in (0, 1))
 
@@ -108,55 +113,80 @@ class Histogram:
         return float((self.p * self.share[t] * self.n).sum()), float((self.cost[t] * self.n).sum()), int(self.n[t == 3].sum()), int(self.depth[used].max()) if used.any() else 0
 
 
-def bisect(h: Histogram, limits: Constraints) -> Calibration:
-    """Three nested bisections: on the price of cost, of the deep tier, and of depth.
+def sums_by_price(hist: DataFrame, prices: list[tuple[float, float, float]]) -> DataFrame:
+    """``price, gain, cost, tier3`` for each of ``prices`` (of cost, depth and deep nodes) over hist(p, depth, n).
 
-    The depth price is halved towards the limit on depth, the deep price towards the limit on deep
-    nodes; of the cost prices that keep the cost limit the one with the largest gain is kept.  The
-    last prices of a bisection are midpoints that were not tried, so ``feasible`` says whether the
-    limits really hold.
+    Tasks sum up their pairs for every price, so what is shuffled is a row for each task and price.
     """
-    best, tried = Calibration(skip_all=True), 0
-    low_c, high_c = 0.0, 10.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(prices), 3))
+        for batch in batches:
+            h = Histogram(np.stack([c.to_numpy().astype("f8") for c in batch.columns], 1))
+            total += np.array([h.sums(*x)[:3] for x in prices])
+        columns = [pa.array(range(len(prices)), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(total[:, 2].astype("i8"))]
+        yield pa.RecordBatch.from_arrays(columns, ["price", "gain", "cost", "tier3"])
+
+    each = hist.select(F.col("p").cast("double"), F.col("depth").cast("double"), F.col("n").cast("double"))
+    sums = each.mapInArrow(run, "price int, gain double, cost double, tier3 long").groupBy("price")
+    return sums.agg(F.sum("gain").alias("gain"), F.sum("cost").alias("cost"), F.sum("tier3").alias("tier3"))
+
+
+def pairs_of(tree: DataFrame) -> DataFrame:
+    """The histogram ``p, depth, n`` of a tree."""
+    return tree.groupBy(F.col("info_potential").cast("double").alias("p"), "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def least_price(top: float, holds: Callable[[float], bool]) -> float:
+    """The least price below ``top`` that holds, to ``STEPS`` halvings; ``top`` where no price that was tried does."""
+    fails, held = 0.0, top
     for _ in range(STEPS):
-        l_cost, low_t, high_t, l_tier3, l_depth = (low_c + high_c) / 2, 0.0, 10.0, 0.0, 0.0
-        for _ in range(STEPS):
-            middle, low_d, high_d = (low_t + high_t) / 2, 0.0, 1.0
-            for _ in range(STEPS):
-                d = (low_d + high_d) / 2
-                tried += 1
-                if h.sums(l_cost, d, middle)[3] > limits.max_depth:
-                    low_d = d
-                else:
-                    high_d = d
-            l_depth = (low_d + high_d) / 2
-            if h.sums(l_cost, l_depth, middle)[2] > limits.max_tier3:
-                low_t = middle
-            else:
-                high_t = middle
-            l_tier3 = (low_t + high_t) / 2
-        gain, cost, deep, depth = h.sums(l_cost, l_depth, l_tier3)
-        if cost > limits.max_cost:
-            low_c = l_cost
+        trial = fails + (held - fails) / 2
+        if holds(trial):
+            held = trial
         else:
-            high_c = l_cost
-            if gain > best.total_gain:
-                best = Calibration(l_cost, l_depth, l_tier3, gain, cost, deep, feasible=deep <= limits.max_tier3 and depth <= limits.max_depth)
-    best.iterations = tried
-    return best
+            fails = trial
+    return held
+
+
+Sums = Callable[[float, float, float], tuple[float, float, int]]
+
+
+def search(sums: Sums, tops: Histogram, limits: Constraints) -> Calibration:
+    """The best prices that keep the limits: each price is the least that keeps its own, given those outside it.
+
+    For a price of cost, the deep price is the least that keeps the number of deep nodes, and for
+    both the depth price is the least that keeps the depth.  Of the trials for the cost price that
+    keep the cost, the one with the largest gain is taken.  ``sums`` gives gain, cost and deep nodes;
+    whether a depth is used depends on its largest potential alone, so ``tops`` has one pair a depth.
+    """
+    found = Calibration(skip_all=True, iterations=STEPS**3)
+
+    def depth_price(c: float, t: float) -> float:
+        return least_price(TOP_DEPTH, lambda d: tops.sums(c, d, t)[3] <= limits.max_depth)
+
+    def keeps_cost(c: float) -> bool:
+        nonlocal found
+        t = least_price(TOP_TIER3, lambda t: sums(c, depth_price(c, t), t)[2] <= limits.max_tier3)
+        d = depth_price(c, t)
+        gain, cost, deep = sums(c, d, t)
+        kept = cost <= limits.max_cost
+        if kept and gain > found.total_gain:
+            fits = deep <= limits.max_tier3 and tops.sums(c, d, t)[3] <= limits.max_depth
+            found = replace(found, lambda_cost=c, lambda_depth=d, lambda_tier3=t, total_gain=gain, total_cost=cost, tier3=deep, feasible=fits, skip_all=False)
+        return kept
+
+    least_price(TOP_COST, keeps_cost)
+    return found
 
 
 def lambda_grid(tree: DataFrame, limits: Constraints) -> DataFrame:
-    """Gain, cost and deep nodes under each of 11**3 prices: a product of the histogram and a grid
-    of fixed size.  Feasible rows only; depth isn't limited."""
-    hist = tree.groupBy(F.col("info_potential").alias("p"), F.col("depth").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    steps = tree.sparkSession.range(0, (GRID + 1) ** 3, 1, 1).select((F.floor(F.col("id") / (GRID + 1) ** 2)).cast("int").alias("i"), (F.floor(F.col("id") / (GRID + 1)) % (GRID + 1)).cast("int").alias("j"), (F.col("id") % (GRID + 1)).cast("int").alias("k"))
-    prices = steps.select("i", "j", "k", (10.0 * F.col("i") / GRID).alias("lambda_cost"), (10.0 * F.col("j") / GRID).alias("lambda_tier3"), (F.col("k") / GRID).alias("lambda_depth"))
-    each = hist.crossJoin(F.broadcast(prices)).withColumn("t", tier_of(F.col("p"), F.col("d"), F.col("lambda_cost"), F.col("lambda_depth"), F.col("lambda_tier3")))
-    sums = each.groupBy("i", "j", "k", "lambda_cost", "lambda_tier3", "lambda_depth").agg(
-        F.sum(F.col("p") * tier_gain(F.col("t")) * F.col("n")).alias("gain"), F.sum(tier_cost(F.col("t")) * F.col("n")).alias("cost"), F.sum(F.when(F.col("t") == "deep", F.col("n")).otherwise(0)).alias("tier3")
-    )
-    return sums.where((F.col("cost") <= limits.max_cost) & (F.col("tier3") <= limits.max_tier3))
+    """Gain, cost and deep nodes under each of 11**3 prices.  Feasible rows only; depth isn't limited."""
+    steps = [(i, j, k) for i in range(GRID + 1) for j in range(GRID + 1) for k in range(GRID + 1)]
+    prices = [(TOP_COST * i / GRID, TOP_DEPTH * k / GRID, TOP_TIER3 * j / GRID) for i, j, k in steps]
+    names = tree.sparkSession.createDataFrame([(at, *s, c, t, d) for at, (s, (c, d, t)) in enumerate(zip(steps, prices, strict=True))], "price int, i int, j int, k int, lambda_cost double, lambda_tier3 double, lambda_depth double")
+    found = sums_by_price(pairs_of(tree), prices).where((F.col("cost") <= limits.max_cost) & (F.col("tier3") <= limits.max_tier3))
+    return found.join(F.broadcast(names), "price").drop("price")
 
 
 def grid_search(tree: DataFrame, limits: Constraints) -> Calibration:
@@ -173,10 +203,14 @@ def optimise(tree: DataFrame, limits: Constraints | None = None) -> tuple[Calibr
     if heterogeneous(tree).first()["heterogeneous"]:
         found = grid_search(tree, limits)
     else:
-        hist = written(tree.groupBy(F.col("info_potential").cast("double").alias("p"), "depth").agg(F.count(F.lit(1)).alias("n")), "histogram")
-        if hist.count() > MAX_PAIRS:
-            hist = hist.groupBy(F.round("p", 4).alias("p"), "depth").agg(F.sum("n").alias("n"))
-        found = bisect(Histogram([(r["p"], r["depth"], r["n"]) for r in hist.collect()]), limits)
+        with scratch(tree.sparkSession):
+            hist = written(pairs_of(tree), "histogram")
+            tops = Histogram([tuple(r) for r in hist.groupBy("depth").agg(F.max("p").alias("p")).select("p", "depth", F.lit(1)).collect()])
+            if hist.count() <= DRIVER_PAIRS:
+                whole = Histogram([tuple(r) for r in hist.collect()])
+                found = search(lambda *x: whole.sums(*x)[:3], tops, limits)
+            else:
+                found = search(lambda *x: tuple(sums_by_price(hist, [x]).first())[1:], tops, limits)
     if found.skip_all:
         tiers = tree.withColumns({"tier": F.lit("skip"), "gain": F.lit(0.0), "cost": F.lit(0.0)})
     else:
