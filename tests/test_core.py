@@ -2,16 +2,18 @@
 
 import io
 import json
+import os
 import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from veinstone import cli
+from veinstone import cli, versions
+from veinstone import store as store_module
 from veinstone.functions import address
 from veinstone.functions import nodes as N
-from veinstone.operators import allocate, graph, projection, scores, symbols
+from veinstone.operators import allocate, blobs, graph, projection, scores, symbols
 from veinstone.operators.allocate import Constraints
 from veinstone.service import InvalidParams, Service, decay_params, descriptors, saturation_param
 from veinstone.sources import oplog
@@ -57,7 +59,7 @@ def test_store(store, tmp_path, spark):
     assert store.delete(a) and not store.delete(a) and store.list() == [b]
     new = store.put_df(spark.createDataFrame([("file",), ("x",), ("x",), (None,)], "s string"), "s")
     assert [r["cid"] for r in new.collect()] == [address.hash_bytes(b"x")]
-    spark.createDataFrame([("f" * 64, bytearray(b"bad"), 3)], "cid string, data binary, size long").write.mode("append").parquet(store.path)
+    store._append(spark.createDataFrame([("f" * 64, bytearray(b"bad"), 3)], "cid string, data binary, size long"))
     assert not store.verify("f" * 64)
 
 
@@ -435,3 +437,72 @@ def test_command_line(spark, tmp_path):
     with pytest.raises(ValueError):
         run("dag", "nonsense")
     assert SimpleNamespace(**vars(cli.parser().parse_args(["search", "x"]))).limit == 20
+
+
+def test_blake3_of_many_contents_at_once(monkeypatch):
+    """Trees of every shape, alone and together, in few and in many lanes."""
+    data = [bytes(i % 251 for i in range(n)) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 3073, 4096, 5121, 7000, 31744)]
+    alone = [address.blake3(d) for d in data]
+    assert alone[6][:16] == "d00278ae47eb27b3"  # the vector of the specification for 1025 bytes
+    assert address.blake3_many(data) == alone
+    monkeypatch.setattr(address, "LANES", 3)
+    assert address.blake3_many(data) == alone and address.blake3_many([]) == []
+
+
+def test_python_symbols_around_damage():
+    found = list(symbols.python_symbols("def a():\n    pass\n\ndef broken(:\n    x = 1\n\n@deco\nclass C:\n    def m(self):\n        print 'old'\n        def inner(): pass\n    def n(self):\n        return 1\n\nx = (\n\nimport os\n"))
+    assert found == [("a", "function", 1, 2, None), ("C", "class", 8, 13, None), ("m", "method", 9, 11, "C"), ("inner", "method", 11, 11, "m"), ("n", "method", 12, 13, "C"), ("import os", "import", 17, 17, None)]
+    assert list(symbols.python_symbols("(" * 50 + "\n" + "x y\n" * 300 + "def last(): pass\n")) == [("last", "function", 302, 302, None)]
+
+
+def test_statements_that_change_tables(spark, tmp_path):
+    v = Versions(spark, f"file://{tmp_path}/v")
+    v.commit({"t": spark.createDataFrame([(1, "a,b", 1.0), (2, None, 2.0), (3, "c", None)], "id long, name string, x double")}, "first")
+    two = v.execute(["UPDATE t SET name = concat(coalesce(name, 'where'), ', x = 1'), x = CASE WHEN x > 1 THEN 9 ELSE 0 END WHERE x >= 1", "INSERT INTO t VALUES (4, 'it''s', 5), (5, 'b', NULL);", "DELETE FROM t WHERE x > 4 AND id > 2"])
+    rows = {tuple(r) for r in v.table("t", two).collect()}
+    assert rows == {(1, "a,b, x = 1", 0.0), (2, "where, x = 1", 9.0), (3, "c", None), (5, "b", None)}
+    v.execute("INSERT INTO t (x, id) SELECT 1, id + 10 FROM t WHERE id < 2")
+    assert {tuple(r) for r in v.table("t").where("id > 5").collect()} == {(11, None, 1.0)} and v.table("t", 1).count() == 3
+    v.execute("DELETE FROM t")
+    assert v.table("t").isEmpty()
+    head = v.head()
+    for bad in ("DROP TABLE t", "DELETE FROM u", "UPDATE t SET nope = 1", "INSERT INTO t (nope) VALUES (1)", ["DELETE FROM t", "UPDATE t SET x"]):
+        with pytest.raises(ValueError):
+            v.execute(bad)
+    assert v.head() == head
+
+
+def test_versions_append_and_conflict(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "MAX_FOLDERS", 3)
+    v = Versions(spark, f"file://{tmp_path}/v")
+    v.commit({"t": spark.range(1)}, "first")
+    for i in range(1, 6):
+        v.commit({}, "more", append={"t": spark.range(i, i + 1)})
+    assert sorted(r["id"] for r in v.table("t").collect()) == list(range(6)) and len(v.manifest(v.head())["tables"]["t"]) <= 3
+    assert v.table("t", 2).count() == 2
+    seen = v._pointer
+    monkeypatch.setattr(v, "_pointer", lambda b: (seen(b)[0] - 1, seen(b)[1]))  # as if another commit came between
+    with pytest.raises(versions.Conflict):
+        v.commit({"t": spark.range(9)}, "late")
+    monkeypatch.setattr(v, "_pointer", seen)
+    assert v.table("t").count() == 6
+
+
+def test_store_deletes_by_partition(work, spark):
+    cids = [work.store.put(f"content {i}") for i in range(12)]
+    gone = spark.createDataFrame([(c,) for c in cids[:5]], "cid string")
+    work.store.remove(gone)
+    assert sorted(work.store.list()) == sorted(cids[5:]) and not work.store.exists(cids[0]) and work.store.get(cids[7]) == b"content 7"
+    assert work.store.add(blobs.blobs_of(spark.createDataFrame([("content 0",), ("content 7",)], "x string"), F.col("x"))).count() == 1
+    assert work.store.exists(cids[0])
+
+
+def test_scratch_deletes_what_was_made_in_it(spark):
+    place = store_module.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place))
+    with store_module.scratch(spark):
+        with store_module.scratch(spark):
+            store_module.written(spark.range(3), "a")
+            kept = store_module.written(spark.range(4), "b", keep=True)
+        assert len(set(os.listdir(place)) - before) == 1 and kept.count() == 4
+    assert set(os.listdir(place)) == before

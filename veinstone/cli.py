@@ -140,7 +140,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> tuple[Any, int]:
         case "scores", "auto":
             rows = spark.read.schema("node_cid string, agent string, step string, exit_code int, stderr string, created_at string").json(a.results)
             fresh = scores.auto_scores(rows)
-            w.versions.commit({"scores": projection.insert(t("scores"), fresh, ["id"])}, "auto scores")
+            w.versions.commit({}, "auto scores", append={"scores": projection.fresh(t("scores"), fresh, ["id"])})
             return _rows(fresh), 0
         case "calibrate", "run":
             node, result = w.calibrate(a.root, allocate.Constraints(a.max_cost, a.max_depth, a.max_tier3))

@@ -1,12 +1,14 @@
 """The provenance graph: ancestry, neighbours, trees, text of the graph, bundles.
 
 Walks are loops over frontiers: every level is one join of the frontier with the edges and one
-anti join with what was visited, both by node, written to the shared folder.  Paths that meet are
-merged level by level, so diamonds don't multiply and cycles end.
+aggregation with what was visited, by start and node, written to the shared folder.  Paths that meet
+are merged level by level, so diamonds don't multiply and cycles end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,29 +35,29 @@ def edges_of(nodes: DataFrame) -> DataFrame:
     return links.groupBy("parent_cid", "child_cid").agg(first.alias("x")).select("parent_cid", "child_cid", "x.ordinal", "x.edge_kind")
 
 
-def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, limit: int = 10_000) -> DataFrame:
+#: Levels of a walk that are kept apart before they are written as one table.
+MAX_LEVELS = 16
+
+
+def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, cid, depth``: what can be reached from ``starts(start)`` over edges(src, dst).
 
-    depth is the least number of steps; a start is reached at 0.
+    depth is the least number of steps; a start is reached at 0.  The walk ends when a level is empty.
     """
     level = written(starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct(), "level")
     levels, depth = [level], 0
-    while not level.isEmpty() and (max_depth is None or depth < max_depth):
+    while max_depth is None or depth < max_depth:
         depth += 1
-        if depth > limit:
-            raise RuntimeError(f"over {limit} levels")
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.union(x)
-        step = level.join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth")).distinct()
-        level = written(step.join(seen.select("start", "cid"), ["start", "cid"], "left_anti"), "level")
+        step = level.join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth"))
+        # one hash aggregation both merges paths and leaves out what was reached before
+        first = reduce(DataFrame.union, levels, step).groupBy("start", "cid").agg(F.min("depth").alias("depth"))
+        level = written(first.where(F.col("depth") == depth), "level")
+        if level.isEmpty():
+            break
         levels.append(level)
-        if len(levels) > 16:  # keep the plan of what was seen short
-            levels = [written(seen.union(level), "seen")]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+        if len(levels) > MAX_LEVELS:
+            levels = [written(reduce(DataFrame.union, levels), "levels")]
+    return reduce(DataFrame.union, levels)
 
 
 def lineage(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -139,11 +141,10 @@ def dot(nodes: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> D
     return out.orderBy("part", "k").select("part", "k", "line")
 
 
-def bundle(nodes: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
-    """``node_cid, node_bytes, output_cid, output_bytes`` of the lineage of a node, base64 without
-    line breaks.  Fails where an output is missing."""
-    spark = nodes.sparkSession
-    found = lineage(nodes, spark.createDataFrame([(root,)], "start string")).select(F.col("cid").alias("node_cid"), "output_cid", "depth")
+def bundles(nodes: DataFrame, blobs: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node_cid, node_bytes, output_cid, output_bytes`` of the lineages of ``starts(start)``, each node
+    once, base64 without line breaks.  Fails where an output is missing."""
+    found = lineage(nodes, starts).select(F.col("cid").alias("node_cid"), "output_cid").distinct()
     plain = lambda c: F.translate(F.base64(c), "\r\n", "")
     of = lambda c, d: blobs.select(F.col("cid").alias(c), F.col("data").alias(d))
     joined = found.join(of("node_cid", "a"), "node_cid").join(of("output_cid", "b"), "output_cid", "left")
@@ -151,6 +152,11 @@ def bundle(nodes: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
     return joined.select("node_cid", plain(F.col("a")).alias("node_bytes"), "output_cid", checked.alias("output_bytes"))
 
 
+def bundle(nodes: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
+    """The bundle of one node."""
+    return bundles(nodes, blobs, nodes.sparkSession.createDataFrame([(root,)], "start string"))
+
+
 def unbundle(entries: DataFrame, method: str = "sha256") -> DataFrame:
     """Blobs of a bundle; fails where content doesn't have its address."""
     from ..functions.address import cid

@@ -40,19 +40,28 @@ def repair(nodes: DataFrame, dag_nodes: DataFrame) -> DataFrame:
     return dag_nodes_of(nodes.join(dag_nodes.select("cid"), "cid", "left_anti"))
 
 
-def insert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Append; fails on a repeated key."""
-    both = table.unionByName(rows)
-    twice = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).collect()
+def fresh(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, to be appended; fails where a key is repeated or is there already."""
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*keys)
+    twice = again.union(rows.select(*keys).join(table.select(*keys), keys, "left_semi")).limit(1).collect()
     if twice:
         raise ValueError(f"duplicate key {twice[0].asDict()}")
-    return both
+    return rows
+
+
+def insert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Append; fails on a repeated key."""
+    return table.unionByName(fresh(table, rows, keys))
+
+
+def ignored(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What of ``rows`` is new, to be appended; of new rows with one key the first in ``order``."""
+    return keep_first(rows.join(table.select(*keys), keys, "left_anti"), keys, order).select(*table.columns)
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Append what is new; of new rows with one key the first in ``order``."""
-    fresh = keep_first(rows.join(table.select(*keys), keys, "left_anti"), keys, order)
-    return table.unionByName(fresh)
+    return table.unionByName(ignored(table, rows, keys, order))
 
 
 def replace_into(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -73,6 +82,19 @@ def sync_symbols(table: DataFrame, rows: DataFrame) -> DataFrame:
 # Reports
 
 
+def list_dag_nodes(dag_nodes: DataFrame) -> DataFrame:
+    return dag_nodes.orderBy("created_at", "cid")
+
+
+def dag_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(*EDGE_KEY, "ordinal", "edge_kind").orderBy("child_cid", "ordinal", "parent_cid")
+
+
+def tracked_cid(context_files: DataFrame, path: str) -> DataFrame:
+    """``cid`` that is tracked for a path; an empty one is null."""
+    return context_files.where(F.col("path") == path).select(F.nullif("cid", F.lit("")).alias("cid"))
+
+
 def search_symbols(symbols: DataFrame, query: str) -> DataFrame:
     """Names like ``%query%``; ``%`` and ``_`` in it stay wildcards, and case counts."""
     return symbols.where(F.col("name").like(f"%{query}%")).orderBy("file_path", "start_line")

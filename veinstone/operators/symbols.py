@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ast
 import re
+import textwrap
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -20,41 +21,85 @@ def detect_language(path: str) -> str | None:
     return {"rs": "rust", "py": "python"}.get(path.rpartition(".")[2])
 
 
+#: What goes on with the statement before it.
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
+
+
+def _statements(lines: list[str]) -> list[tuple[int, int]]:
+    """Where the statements of the least indented level start and end; decorators belong to what they decorate."""
+    indents = [len(x) - len(x.lstrip()) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
+    level = min((i for i in indents if i is not None), default=0)
+    starts, decorated = [], False
+    for at, (x, i) in enumerate(zip(lines, indents, strict=True)):
+        if i == level and not (starts and _GOES_ON.match(x.lstrip())):
+            if not decorated:
+                starts.append(at)
+            decorated = x.lstrip().startswith("@")
+    return list(zip(starts, [*starts[1:], len(lines)], strict=True))
+
+
+def _parsed(lines: list[str]) -> ast.Module | None:
+    try:
+        return ast.parse(textwrap.dedent("\n".join(lines)))
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def _named(node: ast.AST, text: str, parent: str | None) -> tuple[str, str] | None:
+    if isinstance(node, ast.Import | ast.ImportFrom):
+        return (ast.get_source_segment(text, node) or ast.unparse(node)), "import"
+    if isinstance(node, ast.ClassDef):
+        return node.name, "class"
+    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+        return node.name, "method" if parent is not None else "function"
+    return None
+
+
+def language_of(path: Column) -> Column:
+    tail = F.regexp_extract(path, r"\.([^.]+)$", 1)
+    return F.when(tail == "py", "python").when(tail == "rs", "rust")
+
+
 def python_symbols(source: str) -> Iterator[Symbol]:
     """Imports by their text, classes, functions; a function inside any symbol is a method.
 
-    Source that doesn't parse is cut before the line of the error, as far as that helps.
+    What doesn't parse is taken apart: into its statements, a statement into its head and body, and
+    where the head is what is damaged, its first line is left out.  So only damaged lines are lost.
     """
-    lines = source.split("\n")
-    tree = None
-    for _ in range(20):
-        try:
-            tree = ast.parse("\n".join(lines))
-            break
-        except (SyntaxError, ValueError) as e:
-            cut = min((getattr(e, "lineno", None) or 1) - 1, len(lines) - 1)
-            lines = lines[:cut]
-            if not lines:
-                return
-    if tree is None:
-        return
-    text = "\n".join(lines)
-
-    def visit(node: ast.AST, parent: str | None) -> Iterator[Symbol]:
-        for child in ast.iter_child_nodes(node):
-            inside, found = parent, None
-            if isinstance(child, ast.Import | ast.ImportFrom):
-                found = ((ast.get_source_segment(text, child) or ast.unparse(child)), "import")
-            elif isinstance(child, ast.ClassDef):
-                found = (child.name, "class")
-            elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                found = (child.name, "method" if parent is not None else "function")
-            if found:
-                yield (*found, child.lineno, child.end_lineno, parent)
-                inside = found[0]
-            yield from visit(child, inside)
-
-    yield from visit(tree, None)
+    todo = [(source.replace("\0", " ").split("\n"), 0, None)]
+    while todo:
+        lines, offset, parent = todo.pop()
+        if not any(x.strip() for x in lines):
+            continue
+        if (tree := _parsed(lines)) is not None:
+            yield from _visited(tree, textwrap.dedent("\n".join(lines)), offset, parent)
+            continue
+        parts = _statements(lines)
+        if len(parts) > 1:
+            todo += [(lines[a:b], offset + a, parent) for a, b in reversed(parts)]
+            continue
+        head = next((i for i, x in enumerate(lines) if x.split("#")[0].rstrip().endswith(":")), None)
+        opened = None if head is None or head + 1 == len(lines) else _parsed([*lines[:head], lines[head].split("#")[0].rstrip() + " pass"])
+        if opened is None or len(opened.body) != 1:
+            first = parts[0][0] if parts else 0
+            todo.append((lines[first + 1 :], offset + first + 1, parent))
+            continue
+        if named := _named(opened.body[0], "", parent):
+            end = max(i for i, x in enumerate(lines, 1) if x.strip())
+            yield (*named, offset + opened.body[0].lineno, offset + end, parent)
+            parent = named[0]
+        todo.append((lines[head + 1 :], offset + head + 1, parent))
+
+
+def _visited(tree: ast.AST, text: str, offset: int, parent: str | None) -> Iterator[Symbol]:
+    """Symbols of a tree, each before what is inside it."""
+    todo = [(child, parent) for child in reversed(list(ast.iter_child_nodes(tree)))]
+    while todo:
+        node, around = todo.pop()
+        if named := _named(node, text, around):
+            yield (*named, offset + node.lineno, offset + node.end_lineno, around)
+            around = named[0]
+        todo += [(child, around) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
 _RUST_NOISE = re.compile(r'//[^\n]*|/\*|"(?:\\.|[^"\\])*"|r(#*)"|b?\'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^\\\'\n])\'', re.S)
@@ -179,8 +224,7 @@ def extract(files: DataFrame) -> DataFrame:
     files(file_path, file_cid, source); the language comes from the path."""
     spark = files.sparkSession
     spark.udtf.register("veinstone_symbols", Symbols)
-    tail = F.regexp_extract("file_path", r"\.([^.]+)$", 1)
-    files.withColumn("language", F.when(tail == "py", "python").when(tail == "rs", "rust")).where("language IS NOT NULL").createOrReplaceTempView("veinstone_files")
+    files.withColumn("language", language_of(F.col("file_path"))).where("language IS NOT NULL").createOrReplaceTempView("veinstone_files")
     return spark.sql("SELECT f.file_path, f.file_cid, s.name, s.kind, s.start_line, s.end_line, s.parent AS parent_symbol FROM veinstone_files f, LATERAL veinstone_symbols(f.source, f.language) s")
 
 

@@ -109,6 +109,9 @@ STAR_SQL = f"""WITH RECURSIVE nodes AS (
 """
 
 
+EDGES_SQL = "WITH edges AS MATERIALIZED" + STAR_SQL.split(", edges AS", 1)[1]
+
+
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as scores: quality is correctness, the absence of toxicity is style."""
     both = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -146,11 +149,35 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("seq"), line.alias("line"))
 
 
-SOURCES = {
-    "a.py": "import os\nfrom sys import path\n\n\nclass User:\n    def __init__(self):\n        self.x = 1\n\n    def greet(self):\n        def inner():\n            pass\n        return inner\n\n\ndef main():\n    pass\n",
-    "b.rs": "// fn not_this() {}\npub mod m {\n    pub const N: usize = { 1 };\n    static S: &str = \"struct X {\";\n    pub struct P<T> { x: T }\n    impl<T> P<T> {\n        fn get(&self) -> char { '{' }\n    }\n    impl std::fmt::Display for P<u8> {\n        fn fmt(&self) {}\n    }\n}\nenum Colour { Red, Green }\ntrait Shape { fn area(&self) -> f64; fn name(&self) -> u8 { 1 } }\nasync fn run() {}\n",
-}
+def damaged_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of documents under their address, every seventh changed after it was put."""
+    rows = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return rows.select(F.sha2("text", 256).alias("cid"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("data"))
+
+
+def claim_node_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cid, data, doc_id``: a node for each document, with saturations of every sort in its metadata."""
+    k = F.col("doc_id")
+    said = F.when(k % 6 == 0, "0").when(k % 6 == 1, "1").when(k % 6 == 2, "0.25").when(k % 6 == 3, "2.5").when(k % 6 == 4, "none")
+    meta = F.when(said.isNull(), F.lit('[["other","1"]]')).otherwise(F.concat(F.lit('[["other","1"],["saturation","'), said, F.lit('"],["saturation","0.9"]]')))
+    json = F.concat(
+        F.lit('{"kind":"memory","parents":["p","q"],'), F.when(k % 2 == 0, '"parent_kinds":["derives","grounds"],').otherwise(""), F.lit('"output_cid":"o'), k.cast("string"), F.lit(f'","agent":"a","timestamp":"{TS}","meta":'), meta,
+        F.when(k % 2 == 0, F.concat(F.lit(',"schema_cid":"s'), (k % 5).cast("string"), F.lit('"'))).otherwise(""), F.when(k % 4 == 0, ',"activation":0.8,"decay_config":{"half_life_secs":3600.0,"activation_floor":0.1}').otherwise(""), F.lit("}"),
+    )
+    return t(spark, sf_dir, "documents").select(json.cast("binary").alias("data"), "doc_id").select(F.sha2("data", 256).alias("cid"), "data", "doc_id")
+
+
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id").cast("string")
+    return t(spark, sf_dir, "documents").select(F.concat(F.lit("c"), k).alias("cid"), F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string")).alias("root_cid"), F.lpad(k, 12, "0").alias("ts"), F.col("n_chars").cast("double").alias("total_gain"))
 
 
-def source_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in SOURCES.items()], "file_path string, source string").withColumn("file_cid", F.sha2("source", 256))
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_path, source, file_cid``: a Python and a Rust source for every document; a third of the Python ones don't parse."""
+    k, last = F.col("doc_id").cast("string"), (F.col("doc_id") % 10).cast("string")
+    broken = F.when(F.col("doc_id") % 3 == 0, "def broken(:\n    pass\n\n").otherwise("")
+    python = F.concat(F.lit("import os\n\nclass C"), k, F.lit(":\n    def m"), last, F.lit("(self):\n        pass\n\n"), broken, F.lit("def f"), last, F.lit("():\n    return 1\n"))
+    rust = F.concat(F.lit("// fn not_this() {}\npub struct S"), k, F.lit(" { x: u8 }\nimpl S"), k, F.lit(" {\n    fn get(&self) -> char { '{' }\n}\nconst N"), last, F.lit(": usize = { 1 };\n"))
+    each = F.explode(F.array(F.struct(F.lit(".py").alias("tail"), python.alias("source")), F.struct(F.lit(".rs").alias("tail"), rust.alias("source"))))
+    rows = t(spark, sf_dir, "documents").select(k.alias("k"), each.alias("x"))
+    return rows.select(F.concat(F.lit("d"), "k", "x.tail").alias("file_path"), "x.source").withColumn("file_cid", F.sha2("source", 256))

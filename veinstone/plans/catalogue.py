@@ -9,7 +9,7 @@ from ..functions import nodes as N
 from ..operators import allocate, audit, graph, projection, scores, symbols, tasks
 from ..operators import blobs as B
 from ..sources import oplog
-from ..versions import diff
+from ..versions import changed, diff
 from . import adapters as A
 from .adapters import t
 
@@ -38,7 +38,9 @@ def blob_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(A.BLOBS_SQL + "SELECT cid, size FROM blobs")
 def blob_list(spark, d):
-    return A.all_blobs(spark, d).select("cid", "size")
+    """Addresses as they are listed, with the sizes."""
+    blobs = A.all_blobs(spark, d)
+    return B.listing(blobs).join(B.blob_sizes(blobs), "cid")
 
 
 @query(A.BLOBS_SQL + "SELECT sum(size)::BIGINT AS total_size FROM blobs")
@@ -46,11 +48,17 @@ def blob_total_size(spark, d):
     return B.total_size(A.all_blobs(spark, d))
 
 
-@query("SELECT doc_id, sha256(text) AS cid, doc_id % 7 <> 0 AS valid FROM documents WHERE text IS NOT NULL")
+@query("SELECT sha256(text) AS cid, doc_id % 7 <> 0 AS valid FROM documents WHERE text IS NOT NULL")
 def blob_verify(spark, d):
     """Every seventh stored content was changed after it was put."""
-    rows = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("cid"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("data"))
-    return rows.select("doc_id", "cid", (F.sha2("data", 256) == F.col("cid")).alias("valid"))
+    return B.verify(A.damaged_blobs(spark, d))
+
+
+@query("SELECT sha256(text) AS cid, octet_length(encode(text))::BIGINT AS size FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 3")
+def blob_get(spark, d):
+    """Contents by their address."""
+    wanted = t(spark, d, "documents").where("text IS NOT NULL AND doc_id % 50 = 3").select(F.sha2("text", 256).alias("cid"))
+    return wanted.join(B.blob_sizes(B.blobs_of(t(spark, d, "documents"), F.col("text"))), "cid")
 
 
 @query("SELECT DISTINCT sha256(x) AS cid, strlen(x) AS size FROM (SELECT text AS x FROM conversations UNION ALL SELECT html FROM pages) WHERE sha256(x) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)")
@@ -94,6 +102,17 @@ def edges_from_nodes(spark, d):
     return graph.edges_of(nodes).join(nodes.select(F.col("cid").alias("child_cid"), "output_cid"), "child_cid").select("output_cid", "parent_cid", "ordinal", "edge_kind")
 
 
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 WHEN 3 THEN 1.0 END::DOUBLE AS saturation, doc_id % 6 IN (1, 3) AS claim, doc_id % 6 IN (0, 4, 5) AS query, CASE WHEN doc_id % 2 = 0 THEN 's' || doc_id % 5 END AS schema_cid, CASE WHEN doc_id % 2 = 0 THEN ['derives', 'grounds'] ELSE ['derives', 'derives'] END AS kinds, round(CASE WHEN doc_id % 4 = 0 THEN greatest(0.8 * exp(-7200.0 * ln(2.0) / 3600), 0.1) ELSE 1.0 END, 9) AS activation FROM documents")
+def node_semantics(spark, d):
+    """What nodes say in their own bytes: saturation in the metadata, schema, kinds of parents, decay."""
+    blobs = A.claim_node_blobs(spark, d)
+    nodes = graph.nodes_of(blobs).join(blobs.select("cid", "doc_id"), "cid")
+    sat = N.saturation(F.col("meta"))
+    kinds = F.transform("parents", lambda _, i: N.edge_kind(F.get("parent_kinds", i)))
+    faded = N.decayed_activation(F.col("activation"), F.col("decay_config"), F.lit(7200.0))
+    return nodes.select("doc_id", sat.cast("double").alias("saturation"), N.is_claim(sat).alias("claim"), N.is_query(sat).alias("query"), "schema_cid", kinds.alias("kinds"), F.round(faded, 9).alias("activation"))
+
+
 _LINE_ORDER = ["l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
 
 
@@ -204,27 +223,62 @@ def dag_ls(spark, d):
 # Projection
 
 
-def _actual_edges(spark, d):
-    e = A.star_edges(spark, d)
-    k = F.crc32(F.concat("parent_cid", "child_cid").cast("binary")) % 10
-    changed = e.where(k != 0).withColumn("edge_kind", F.when(k == 1, "proposes").otherwise(F.col("edge_kind")))
-    extra = e.where(k == 2).withColumn("parent_cid", F.concat(F.lit("x"), "parent_cid"))
-    return e, changed.union(extra)
+def _diff_sql(actual: str) -> str:
+    """Edges of one table only, or with other values in both: counted, not joined."""
+    return (
+        A.EDGES_SQL + f", a AS ({actual}), b AS (SELECT *, 1 AS side FROM edges UNION ALL SELECT *, 2 FROM a) "
+        "SELECT parent_cid, child_cid, CASE WHEN max(side) = 1 THEN 'missing' WHEN min(side) = 2 THEN 'extra' ELSE 'mismatched' END AS status "
+        "FROM b GROUP BY 1, 2 HAVING min(side) = max(side) OR count(DISTINCT (ordinal, edge_kind)) > 1"
+    )
 
 
-@query(None)
+_K = "(split_part({p}, ':', 2)::BIGINT * 7 + split_part({c}, ':', 2)::BIGINT) % 10".format(p="parent_cid", c="child_cid")
+
+
+@query(_diff_sql(f"SELECT parent_cid, child_cid, ordinal, CASE WHEN {_K} = 1 THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges WHERE {_K} <> 0 UNION ALL SELECT 'x' || parent_cid, child_cid, ordinal, edge_kind FROM edges WHERE {_K} = 2"))
 def projection_diff(spark, d):
     """A projection that lost, changed and gained edges, against what the nodes say."""
-    return projection.diff_edges(*_actual_edges(spark, d))
+    e = A.star_edges(spark, d)
+    number = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("long")
+    k = (number(F.col("parent_cid")) * 7 + number(F.col("child_cid"))) % 10
+    changed = e.where(k != 0).withColumn("edge_kind", F.when(k == 1, "proposes").otherwise(F.col("edge_kind")))
+    return projection.diff_edges(e, changed.union(e.where(k == 2).withColumn("parent_cid", F.concat(F.lit("x"), "parent_cid"))))
 
 
-@query(A.STAR_SQL + ", a AS (SELECT CASE WHEN length(child_cid) % 3 = 1 THEN 'x' ELSE '' END || parent_cid AS parent_cid, child_cid, ordinal, CASE WHEN length(parent_cid) % 3 = 0 THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges) SELECT * FROM (SELECT coalesce(e.parent_cid, a.parent_cid) AS parent_cid, coalesce(e.child_cid, a.child_cid) AS child_cid, CASE WHEN a.parent_cid IS NULL THEN 'missing' WHEN e.parent_cid IS NULL THEN 'extra' WHEN e.ordinal <> a.ordinal OR e.edge_kind <> a.edge_kind THEN 'mismatched' END AS status FROM edges e FULL JOIN a ON e.parent_cid = a.parent_cid AND e.child_cid = a.child_cid) WHERE status IS NOT NULL")
+@query(_diff_sql("SELECT CASE WHEN length(child_cid) % 3 = 1 THEN 'x' ELSE '' END || parent_cid AS parent_cid, child_cid, ordinal, CASE WHEN length(parent_cid) % 3 = 0 THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges"))
 def projection_audit(spark, d):
     e = A.star_edges(spark, d)
     a = e.select(F.concat(F.when(F.length("child_cid") % 3 == 1, "x").otherwise(""), "parent_cid").alias("parent_cid"), "child_cid", "ordinal", F.when(F.length("parent_cid") % 3 == 0, "proposes").otherwise(F.col("edge_kind")).alias("edge_kind"))
     return projection.diff_edges(e, a)
 
 
+@query(A.ORDER_EDGES_SQL + "SELECT output_cid, ps[ordinal + 1] AS parent_cid, CASE WHEN ordinal = 0 THEN 'missing' ELSE 'mismatched' END AS status FROM i WHERE ordinal < 2")
+def projection_verify(spark, d):
+    """Edges of stored nodes against a table without their first ones, with the second ones changed."""
+    nodes = graph.nodes_of(A.order_node_blobs(spark, d))
+    kept = graph.edges_of(nodes).where("ordinal > 0").withColumn("edge_kind", F.when(F.col("ordinal") == 1, "proposes").otherwise(F.col("edge_kind")))
+    found = projection.verify(nodes, kept)
+    return found.join(nodes.select(F.col("cid").alias("child_cid"), "output_cid"), "child_cid").select("output_cid", "parent_cid", "status")
+
+
+@query(A.EDGES_SQL + "SELECT parent_cid, child_cid, ordinal, CASE WHEN parent_cid LIKE 'c:%' THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges")
+def sync_edges(spark, d):
+    """Edges of nodes that are projected again: what is there stays as it is, what is new is added once."""
+    e = A.star_edges(spark, d)
+    stored = e.where("parent_cid LIKE 'c:%'").withColumn("edge_kind", F.lit("proposes"))
+    return projection.insert_ignore(stored, e.union(e), projection.EDGE_KEY, ["ordinal"])
+
+
+@query(A.EDGES_SQL + "SELECT parent_cid, child_cid, ordinal, edge_kind FROM edges")
+def dag_edges(spark, d):
+    return projection.dag_edges(A.star_edges(spark, d))
+
+
+@query("SELECT 'doc:' || doc_id AS cid, lang AS kind, source AS agent, lpad(doc_id::VARCHAR, 12, '0') AS created_at FROM documents")
+def dag_nodes(spark, d):
+    return projection.list_dag_nodes(A.document_nodes(spark, d)).select("cid", "kind", "agent", "created_at")
+
+
 @query("SELECT (SELECT count(*) FROM orders) AS purged, (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS written")
 def projection_rebuild(spark, d):
     nodes = graph.nodes_of(A.order_node_blobs(spark, d))
@@ -238,9 +292,13 @@ def repair_missing(spark, d):
     return projection.repair(A.nodes(spark, d), first).select("cid", "kind", "agent")
 
 
-@query("SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages")
+_COUNTED = ["customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in _COUNTED))
 def stats(spark, d):
-    return projection.stats({n: t(spark, d, n) for n in ("documents", "labels", "pages")})
+    """Nine tables, as many as the projection has."""
+    return projection.stats({n: t(spark, d, n) for n in _COUNTED})
 
 
 _LINKS_SQL = "WITH f AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY 1), l AS (SELECT 'doc:' || first AS from_cid, 'doc:' || doc_id AS to_cid, 'duplicates' AS relation FROM documents JOIN f USING (text) WHERE doc_id <> first)\n"
@@ -257,10 +315,12 @@ def soft_links(spark, d):
     return _links(spark, d).select("from_cid", "to_cid", "relation")
 
 
-for _direction, _where in (("from", "from_cid = 'doc:2'"), ("to", "to_cid = 'doc:2'"), ("both", "from_cid = 'doc:2' OR to_cid = 'doc:2'")):
+for _direction, _where in (("from", "from_cid = (SELECT min(from_cid) FROM l)"), ("to", "to_cid = (SELECT min(to_cid) FROM l)"), ("both", "from_cid = (SELECT min(from_cid) FROM l) OR to_cid = (SELECT min(from_cid) FROM l)")):
 
     def _one(spark, d, direction=_direction):
-        return projection.soft_links(_links(spark, d), "doc:2", direction, "duplicates").select("from_cid", "to_cid", "relation")
+        links = _links(spark, d)
+        at = links.agg(F.min("to_cid" if direction == "to" else "from_cid")).first()[0]
+        return projection.soft_links(links, at or "", direction, "duplicates").select("from_cid", "to_cid", "relation")
 
     _one.__name__ = f"soft_links_{_direction}"
     query(_LINKS_SQL + f"SELECT * FROM l WHERE {_where}")(_one)
@@ -288,12 +348,10 @@ def reasoning_text(spark, d):
 
 @query(A.NODES_SQL + "SELECT DISTINCT n.cid AS node_cid, to_base64(encode(json)) AS node_bytes, sha256(text) AS output_cid, to_base64(encode(text)) AS output_bytes FROM n JOIN conversations c USING (conv_id, turn)")
 def export_bundle(spark, d):
-    """Bundle entries of all nodes."""
+    """Bundle entries of the lineages of all heads, which are all nodes."""
     blobs = A.all_blobs(spark, d)
-    nodes = graph.nodes_of(blobs)
-    plain = lambda c: F.translate(F.base64(c), "\r\n", "")
-    of = lambda c, x: blobs.select(F.col("cid").alias(c), F.col("data").alias(x))
-    return nodes.select(F.col("cid").alias("node_cid"), "output_cid").join(of("node_cid", "a"), "node_cid").join(of("output_cid", "b"), "output_cid").select("node_cid", plain(F.col("a")).alias("node_bytes"), "output_cid", plain(F.col("b")).alias("output_bytes"))
+    heads = A.conversation_nodes(spark, d).groupBy("conv_id").agg(F.max_by("cid", "turn").alias("start"))
+    return graph.bundles(graph.nodes_of(blobs), blobs, heads.select("start"))
 
 
 @query(A.BLOBS_SQL + "SELECT DISTINCT x.cid, strlen(x.data) AS size FROM blobs x WHERE x.cid IN (SELECT cid FROM n UNION SELECT sha256(text) FROM conversations)")
@@ -408,6 +466,16 @@ def wqs_calibrate(spark, d):
     return allocate.optimise(A.event_tree(spark, d).withColumn("half_life_secs", F.lit(3600.0)), allocate.Constraints(10000, 3, 2000))[1].select("cid", "tier", "gain", "cost")
 
 
+@query("SELECT 'c' || doc_id AS cid, 'r3' AS root_cid, lpad(doc_id::VARCHAR, 12, '0') AS ts, n_chars::DOUBLE AS total_gain FROM documents WHERE doc_id % 7 = 3")
+def calibration_history(spark, d):
+    return allocate.history(A.calibrations(spark, d), "r3")
+
+
+@query("SELECT 'c' || doc_id AS cid, 'r' || doc_id % 7 AS root_cid, lpad(doc_id::VARCHAR, 12, '0') AS ts, n_chars::DOUBLE AS total_gain FROM documents WHERE doc_id = 5")
+def calibration_inspect(spark, d):
+    return allocate.inspect(A.calibrations(spark, d), "c5")
+
+
 _TREE_SQL = A.STAR_SQL + ", w AS (SELECT cid AS root, cid, NULL::VARCHAR AS parent_cid, 0 AS depth FROM nodes WHERE kind = 'region' UNION ALL SELECT w.root, e.child_cid, w.cid, w.depth + 1 FROM w JOIN edges e ON e.parent_cid = w.cid) "
 
 
@@ -438,10 +506,23 @@ def drift(spark, d):
     return audit.drift(docs.select("path", F.sha2("text", 256).alias("cid")), current)
 
 
-@query("WITH s AS (SELECT unnest([sha256(doc_id::VARCHAR), sha256(text)]) AS cid, doc_id FROM documents) SELECT 'v1' AS name, count(*) FILTER (cid IN (SELECT sha256(text) FROM documents)) AS present, count(*) FILTER (cid NOT IN (SELECT sha256(text) FROM documents)) AS missing, 0::BIGINT AS corrupted, false AS ok FROM s")
+@query("WITH s AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), f AS (SELECT sha256(text) AS cid, length(text) % 7 = 0 AS bad FROM s), n AS (SELECT unnest([sha256(doc_id::VARCHAR), sha256(text)]) AS cid FROM documents) SELECT 'v1' AS name, count(*) FILTER (NOT bad) AS present, count(*) FILTER (bad IS NULL) AS missing, count(*) FILTER (bad) AS corrupted, count(*) FILTER (bad OR bad IS NULL) = 0 AS ok FROM n LEFT JOIN f USING (cid)")
 def snapshot_verify(spark, d):
-    nodes = t(spark, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("cid"), F.sha2("text", 256).alias("output_cid"))
-    return audit.verify_snapshot(audit.snapshot(nodes, "v1", A.TS), B.blobs_of(t(spark, d, "documents"), F.col("text")))
+    """A snapshot over blobs of which some were damaged and some are missing."""
+    docs = t(spark, d, "documents")
+    nodes = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("cid"), F.sha2("text", 256).alias("output_cid"))
+    blobs = B.blobs_of(docs, F.col("text"))
+    text = F.col("data").cast("string")
+    damaged = blobs.withColumn("data", F.when(F.length(text) % 7 == 0, F.concat(text, F.lit("x")).cast("binary")).otherwise(F.col("data")))
+    return audit.verify_snapshot(audit.snapshot(nodes, "v1", A.TS), damaged)
+
+
+@query("SELECT 'v' || doc_id % 3 AS name, 't' || doc_id % 3 AS created_at, count(*) AS n_nodes FROM documents GROUP BY 1, 2")
+def snapshot_ls(spark, d):
+    nodes = t(spark, d, "documents")
+    third = (F.col("doc_id") % 3).cast("string")
+    taken = nodes.select(F.concat(F.lit("v"), third).alias("name"), F.concat(F.lit("t"), third).alias("created_at"), F.sha2("text", 256).alias("node_cid"))
+    return audit.snapshots(taken)
 
 
 _LOG_SQL = "WITH l AS (SELECT doc_id AS seq, source AS path, sha256(text) AS cid FROM documents WHERE doc_id % 17 <> 5)\n"
@@ -499,21 +580,78 @@ def context_files(spark, d):
     return projection.replace_into(rows.limit(0), rows, ["path"], ["tracked_at"]).select("path", "cid")
 
 
-_SYMBOLS = [
-    ("a.py", "import os", "import", 1, 1, None), ("a.py", "from sys import path", "import", 2, 2, None), ("a.py", "User", "class", 5, 12, None), ("a.py", "__init__", "method", 6, 7, "User"), ("a.py", "greet", "method", 9, 12, "User"), ("a.py", "inner", "method", 10, 11, "greet"), ("a.py", "main", "function", 15, 16, None),
-    ("b.rs", "m", "module", 2, 12, None), ("b.rs", "N", "constant", 3, 3, "m"), ("b.rs", "S", "constant", 4, 4, "m"), ("b.rs", "P", "struct", 5, 5, "m"), ("b.rs", "P<T>", "impl", 6, 8, "m"), ("b.rs", "get", "function", 7, 7, "P<T>"), ("b.rs", "P<u8>", "impl", 9, 11, "m"), ("b.rs", "fmt", "function", 10, 10, "P<u8>"),
-    ("b.rs", "Colour", "enum", 13, 13, None), ("b.rs", "Shape", "trait", 14, 14, None), ("b.rs", "name", "function", 14, 14, "Shape"), ("b.rs", "run", "function", 15, 15, None),
-]
+@query("SELECT nullif(arg_max(sha256(text), doc_id), '') AS cid FROM documents WHERE source = (SELECT min(source) FROM documents)")
+def tracked_cid(spark, d):
+    """The address that is tracked for one path."""
+    rows = t(spark, d, "documents").select(F.col("source").alias("path"), F.sha2("text", 256).alias("cid"), F.col("doc_id").alias("tracked_at"))
+    return projection.tracked_cid(projection.replace_into(rows.limit(0), rows, ["path"], ["tracked_at"]), rows.agg(F.min("path")).first()[0] or "")
+
+
+_SYMBOLS_SQL = """WITH s AS (
+  SELECT 'd' || doc_id || '.py' AS file_path, unnest([
+    {'name': 'import os', 'kind': 'import', 'a': 1, 'b': 1, 'p': NULL}, {'name': 'C' || doc_id, 'kind': 'class', 'a': 3, 'b': 5, 'p': NULL}, {'name': 'm' || doc_id % 10, 'kind': 'method', 'a': 4, 'b': 5, 'p': 'C' || doc_id},
+    {'name': 'f' || doc_id % 10, 'kind': 'function', 'a': CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 7 END, 'b': CASE WHEN doc_id % 3 = 0 THEN 11 ELSE 8 END, 'p': NULL}]) AS x FROM documents
+  UNION ALL SELECT 'd' || doc_id || '.rs', unnest([
+    {'name': 'S' || doc_id, 'kind': 'struct', 'a': 2, 'b': 2, 'p': NULL}, {'name': 'S' || doc_id, 'kind': 'impl', 'a': 3, 'b': 5, 'p': NULL}, {'name': 'get', 'kind': 'function', 'a': 4, 'b': 4, 'p': 'S' || doc_id}, {'name': 'N' || doc_id % 10, 'kind': 'constant', 'a': 6, 'b': 6, 'p': NULL}]) FROM documents
+), sym AS (SELECT file_path, x.name AS name, x.kind AS kind, x.a::INT AS start_line, x.b::INT AS end_line, x.p AS parent_symbol FROM s)
+"""
+_SYMBOL_COLUMNS = ["file_path", "name", "kind", "start_line", "end_line", "parent_symbol"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{k}', {a}, {b}, {'NULL' if p is None else repr(p)})" for f, n, k, a, b, p in _SYMBOLS) + ") AS v(file_path, name, kind, start_line, end_line, parent_symbol)")
+@query(_SYMBOLS_SQL + "SELECT * FROM sym")
 def symbol_extract(spark, d):
-    return symbols.extract(A.source_files(spark)).select("file_path", "name", "kind", "start_line", "end_line", "parent_symbol")
+    """Two sources for every document, a third of the Python ones damaged in the middle."""
+    return symbols.extract(A.source_files(spark, d)).select(*_SYMBOL_COLUMNS)
 
 
-@query("SELECT kind, count(*) AS n FROM (VALUES " + ", ".join(f"('{k}')" for _, _, k, _, _, _ in _SYMBOLS) + ") AS v(kind) GROUP BY 1")
+@query(_SYMBOLS_SQL + "SELECT kind, count(*) AS n FROM sym GROUP BY 1")
 def symbol_stats(spark, d):
-    return projection.counts_by(symbols.extract(A.source_files(spark)), "kind")
+    return projection.counts_by(symbols.extract(A.source_files(spark, d)), "kind")
+
+
+@query(_SYMBOLS_SQL + "SELECT * FROM sym WHERE name LIKE '%C_1%'")
+def symbol_search(spark, d):
+    """Wildcards of the text stay wildcards."""
+    return projection.search_symbols(symbols.extract(A.source_files(spark, d)), "C_1").select(*_SYMBOL_COLUMNS)
+
+
+@query(_SYMBOLS_SQL + "SELECT * FROM sym WHERE contains(lower(name), 'c1')")
+def symbol_query(spark, d):
+    return symbols.query(symbols.extract(A.source_files(spark, d)), "C1").select(*_SYMBOL_COLUMNS)
+
+
+@query(_SYMBOLS_SQL + "SELECT * FROM sym WHERE kind = 'impl'")
+def symbols_by_kind(spark, d):
+    return projection.symbols_by_kind(symbols.extract(A.source_files(spark, d)), "impl").select(*_SYMBOL_COLUMNS)
+
+
+@query(_SYMBOLS_SQL + "SELECT * FROM sym WHERE file_path = (SELECT min(file_path) FROM sym)")
+def symbols_in_file(spark, d):
+    found = symbols.extract(A.source_files(spark, d))
+    return projection.symbols_in_file(found, A.source_files(spark, d).agg(F.min("file_path")).first()[0] or "").select(*_SYMBOL_COLUMNS)
+
+
+@query(_SYMBOLS_SQL + "SELECT file_path, CASE WHEN ends_with(file_path, '.rs') THEN 'new_' || name ELSE name END AS name, kind, start_line, end_line, parent_symbol FROM sym")
+def sync_symbols(spark, d):
+    """Symbols of files that are scanned again take the place of those they had."""
+    old = symbols.extract(A.source_files(spark, d)).select(*_SYMBOL_COLUMNS)
+    again = old.where("endswith(file_path, '.rs')").withColumn("name", F.concat(F.lit("new_"), "name"))
+    return projection.sync_symbols(old, again)
+
+
+@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'rust' END AS language, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr') GROUP BY 1")
+def detected_languages(spark, d):
+    tail = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "de", "rs").otherwise("txt")
+    paths = t(spark, d, "documents").where("lang IN ('en', 'de', 'fr')").select(F.concat(F.lit("a.b/c."), tail).alias("path"))
+    return paths.groupBy(symbols.language_of(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 100 + r_regionkey, 'new', r_regionkey FROM region")
+def dml_batch(spark, d):
+    """A batch of statements that change a table."""
+    tables = {"nation": t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "region": t(spark, d, "region")}
+    batch = ["DELETE FROM nation WHERE n_regionkey = 2", "UPDATE nation SET n_name = concat(upper(n_name), '!'), n_regionkey = 9 WHERE n_regionkey = 1", "INSERT INTO nation (n_regionkey, n_nationkey, n_name) SELECT r_regionkey, 100 + r_regionkey, 'new' FROM region"]
+    return changed(spark, tables, batch)["nation"]
 
 
 _RAW = "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY l_returnflag, l_linestatus"

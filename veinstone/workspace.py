@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,10 +18,14 @@ from .functions import nodes as N
 from .functions.address import cid, hash_bytes, hash_file
 from .operators import allocate, audit, blobs, graph, projection, scores, symbols, tasks
 from .sources import oplog
-from .store import written
+from .store import remove, scratch, written
 from .versions import Versions
 
 
+#: Column of a blob's partition.
+PREFIX = "prefix"
+
+
 class NotFound(KeyError):
     pass
 
@@ -32,7 +35,11 @@ def now() -> str:
 
 
 class Store:
-    """Content-addressed blobs in a folder of Parquet files."""
+    """Content-addressed blobs in a folder of Parquet files, partitioned by the first two digits of the address.
+
+    A point lookup reads one partition, of which row groups are skipped by their least and greatest
+    address; bulk puts are sorted by address.
+    """
 
     def __init__(self, spark: SparkSession, path: str, method: str = "sha256"):
         self.spark, self.path, self.method = spark, path, method
@@ -41,23 +48,38 @@ class Store:
 
     @classmethod
     def init(cls, spark: SparkSession, path: str, method: str = "sha256") -> Store:
-        spark.createDataFrame([], S.BLOBS).write.mode("append").parquet(path)
+        spark.createDataFrame([], S.BLOBS).withColumn("prefix", F.lit("")).write.mode("append").partitionBy("prefix").parquet(path)
         return cls(spark, path, method)
 
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"cid string, data binary, size long, {PREFIX} string").parquet(self.path)
+
     def df(self) -> DataFrame:
-        return self.spark.read.schema(S.BLOBS).parquet(self.path)
+        return self._rows().drop(PREFIX)
+
+    def at(self, address: str) -> DataFrame:
+        """The row of an address, or none."""
+        return blobs.get(self._rows().where(F.col(PREFIX) == address[:2]), address).drop(PREFIX)
+
+    def _append(self, rows: DataFrame, mode: str = "append") -> None:
+        placed = rows.select("cid", "data", "size", F.left("cid", F.lit(2)).alias(PREFIX))
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PREFIX).parquet(self.path)
 
     def put_df(self, rows: DataFrame, column: str) -> DataFrame:
         """Store a column of contents; returns ``cid`` of what is new."""
-        fresh = written(blobs.new_blobs(blobs.blobs_of(rows, F.col(column), self.method), self.df()), "puts")
-        fresh.write.mode("append").parquet(self.path)
-        return fresh.select("cid")
+        return self.add(blobs.blobs_of(rows, F.col(column), self.method))
+
+    def add(self, puts: DataFrame) -> DataFrame:
+        """Store blobs; returns ``cid`` of what is new."""
+        new = written(blobs.new_blobs(puts, self.df()), "puts")
+        self._append(new.repartitionByRange("cid").sortWithinPartitions("cid"))
+        return new.select("cid")
 
     def put(self, data: bytes | str) -> str:
         data = data.encode() if isinstance(data, str) else data
         address = hash_bytes(data, self.method)
         if not self.exists(address):
-            self.spark.createDataFrame([(address, bytearray(data), len(data))], S.BLOBS).coalesce(1).write.mode("append").parquet(self.path)
+            self._append(self.spark.createDataFrame([(address, bytearray(data), len(data))], S.BLOBS).coalesce(1))
         return address
 
     def put_file(self, path: str) -> str:
@@ -65,13 +87,13 @@ class Store:
             return self.put(f.read())
 
     def get(self, address: str) -> bytes:
-        row = blobs.get(self.df(), address).select("data").first()
+        row = self.at(address).select("data").first()
         if row is None:
             raise NotFound(address)
         return bytes(row["data"])
 
     def exists(self, address: str) -> bool:
-        return not blobs.get(self.df(), address).isEmpty()
+        return not self.at(address).isEmpty()
 
     def verify(self, address: str) -> bool:
         return hash_bytes(self.get(address), self.method) == address
@@ -85,22 +107,24 @@ class Store:
     def total_size(self) -> int:
         return blobs.total_size(self.df()).first()["total_size"]
 
-    def replace(self, rows: DataFrame) -> None:
-        """Write all blobs anew beside the old ones, then swap the folders."""
-        local = self.path.removeprefix("file://")
-        fresh, old = f"{self.path}.{uuid.uuid4().hex}", f"{local}.{uuid.uuid4().hex}"
-        rows.write.parquet(fresh)
-        os.rename(local, old)
-        os.rename(fresh.removeprefix("file://"), local)
-        import shutil
-
-        shutil.rmtree(old)
+    def remove(self, gone: DataFrame) -> None:
+        """Delete what ``gone(cid)`` names: the partitions that are touched are written anew."""
+        prefix = F.left("cid", F.lit(2))
+        with scratch(self.spark):
+            gone = written(gone.select("cid"), "gone")
+            touched = [r["p"] for r in gone.select(prefix.alias("p")).distinct().collect()]  # of 256
+            kept = written(blobs.delete(self._rows().where(F.col(PREFIX).isin(touched)), gone).drop(PREFIX), "kept")
+            left = {r["p"] for r in kept.select(prefix.alias("p")).distinct().collect()}
+            if left:
+                self._append(kept, "overwrite")
+            for p in set(touched) - left:
+                remove(self.spark, f"{self.path}/{PREFIX}={p}")
         self.spark.catalog.refreshByPath(self.path)
 
     def delete(self, address: str) -> bool:
         if not self.exists(address):
             return False
-        self.replace(self.df().where(F.col("cid") != address))
+        self.remove(self.at(address))
         return True
 
 
@@ -148,7 +172,7 @@ class Dag:
         return self.put_node(self.build(kind, parents, content_cid, agent, **more)), content_cid
 
     def get_node(self, address: str) -> Row:
-        row = graph.nodes_of(blobs.get(self.store_.df(), address)).first()
+        row = graph.nodes_of(self.store_.at(address)).first()
         if row is None:
             raise NotFound(address)
         return row
@@ -170,10 +194,7 @@ class Dag:
         if not entries:
             return 0
         rows = self.spark.createDataFrame([(e["node_cid"], e["node_bytes"], e["output_cid"], e["output_bytes"]) for e in entries], "node_cid string, node_bytes string, output_cid string, output_bytes string")
-        fresh = blobs.new_blobs(graph.unbundle(rows, self.store_.method), self.store_.df()).collect()
-        if fresh:
-            self.spark.createDataFrame(fresh, S.BLOBS).write.mode("append").parquet(self.store_.path)
-        return len(fresh)
+        return self.store_.add(graph.unbundle(rows, self.store_.method)).count()
 
 
 class Workspace:
@@ -208,8 +229,14 @@ class Workspace:
     def upsert(self, name: str, rows: DataFrame, order: list[str], message: str, ignore: bool = False) -> None:
         rows = rows.select([F.col(f.name).cast(f.dataType) for f in S.PROJECTION[name][0]])
         keys = S.PROJECTION[name][1]
-        new = projection.insert_ignore(self.table(name), rows, keys, order) if ignore else projection.replace_into(self.table(name), rows, keys, order)
-        self.versions.commit({name: new}, message)
+        if ignore:
+            self.versions.commit({}, message, append={name: projection.ignored(self.table(name), rows, keys, order)})
+        else:
+            self.versions.commit({name: projection.replace_into(self.table(name), rows, keys, order)}, message)
+
+    def execute(self, batch: str | list[str]) -> int:
+        """INSERT, UPDATE and DELETE over the projection, as one version."""
+        return self.versions.execute(batch)
 
     def rows(self, name: str, values: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(values, S.PROJECTION[name][0])
@@ -229,9 +256,9 @@ class Workspace:
     def sync(self, addresses: list[str]) -> None:
         """Project nodes: what is there stays as it is."""
         nodes = graph.nodes_of(self.store.df().where(F.col("cid").isin(addresses)))
-        fresh = projection.insert_ignore(self.table("dag_nodes"), projection.dag_nodes_of(nodes), ["cid"], ["created_at"])
-        edges = projection.insert_ignore(self.table("dag_edges"), graph.edges_of(nodes), projection.EDGE_KEY, ["ordinal"])
-        self.versions.commit({"dag_nodes": fresh, "dag_edges": edges}, "sync")
+        fresh = projection.ignored(self.table("dag_nodes"), projection.dag_nodes_of(nodes), ["cid"], ["created_at"])
+        edges = projection.ignored(self.table("dag_edges"), graph.edges_of(nodes), projection.EDGE_KEY, ["ordinal"])
+        self.versions.commit({}, "sync", append={"dag_nodes": fresh, "dag_edges": edges})
 
     def merge(self, content: str, parents: list[str], agent: str, kind: str = "reasoning") -> str:
         if len(parents) < 2:
@@ -246,7 +273,8 @@ class Workspace:
         n, total = missing.count(), nodes.count()
         if n and not dry_run:
             lacking = nodes.join(missing.select("cid"), "cid", "left_semi")
-            self.versions.commit({"dag_nodes": self.table("dag_nodes").unionByName(missing), "dag_edges": projection.insert_ignore(self.table("dag_edges"), graph.edges_of(lacking), projection.EDGE_KEY, ["ordinal"])}, "repair")
+            edges = projection.ignored(self.table("dag_edges"), graph.edges_of(lacking), projection.EDGE_KEY, ["ordinal"])
+            self.versions.commit({}, "repair", append={"dag_nodes": missing, "dag_edges": edges})
         self.log("repair", f"synced={n} skipped={total - n}")
         return {"synced": n, "skipped": total - n, "errors": 0}
 
@@ -265,8 +293,7 @@ class Workspace:
     def gc(self, delete: bool = False) -> dict:
         row = blobs.gc_report(self.store.df(), self.dag.nodes()).first().asDict()
         if delete and row["orphans"]:
-            gone = self.spark.createDataFrame(blobs.orphans(self.store.df(), self.dag.nodes()).select("cid").collect(), "cid string")
-            self.store.replace(blobs.delete(self.store.df(), gone))
+            self.store.remove(blobs.orphans(self.store.df(), self.dag.nodes()))
         self.log("gc", f"{'deleted' if delete else 'found'} {row['orphans']}")
         return row
 
@@ -328,10 +355,11 @@ class Workspace:
     # scores, links, tasks, agents
     def score(self, node: str, agent: str, scorer: str, dimension: str, value: float, evidence: str = "") -> None:
         raw = self.spark.createDataFrame([(node, agent, scorer, dimension, float(value), evidence, now())], "node_cid string, agent string, scorer string, dimension string, value double, evidence string, created_at string")
-        self.versions.commit({"scores": projection.insert(self.table("scores"), scores.record(raw), ["id"])}, "score")
+        self.versions.commit({}, "score", append={"scores": projection.fresh(self.table("scores"), scores.record(raw), ["id"])})
 
     def link(self, a: str, b: str, relation: str) -> None:
-        self.versions.commit({"soft_links": projection.insert(self.table("soft_links"), self.rows("soft_links", [(a, b, relation, now())]), S.PROJECTION["soft_links"][1])}, "link")
+        row = self.rows("soft_links", [(a, b, relation, now())])
+        self.versions.commit({}, "link", append={"soft_links": projection.fresh(self.table("soft_links"), row, S.PROJECTION["soft_links"][1])})
 
     def create_task(self, title: str, created_by: str, parent: str = "") -> str:
         at = now()
