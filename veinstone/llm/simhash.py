@@ -15,29 +15,38 @@ of the links it found, never all pairs.
 
 **Near-duplicate groups.**  For a similarity of 0.8 of shingle sets, fingerprints differ in too
 many bits for any block to agree.  There the top levels of the trie are replaced by min-hash keys
-(a pair of similarity s shares one of n keys with probability 1 - (1 - s)**n), tries are joined
-under each key with the budget that the similarity implies, and links are verified exactly on the
-texts, in rounds until none fails.
+(a pair of similarity s shares one of n keys with probability 1 - (1 - s)**n) and tries are joined
+under each key with the budget that the similarity implies.  What that connects is a loose group;
+within each loose group all pairs are compared exactly, by counting common shingles over an
+inverted index, and a spanning forest of the pairs that are near is returned.
+
+**Large buckets.**  A bucket or loose group that is too large for a task is dealt as pairs of
+blocks, so every two of its rows still meet in one task.  Blocks are cut by size first: rows whose
+sizes alone rule the similarity out need not meet.  Tasks read sorted rows and hold one bucket.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .components import components
 
 SEED = 42
 #: Node pairs that a trie walk holds at once; beyond it the walk goes on in halves.
 FRONTIER = 1 << 20
+#: Rows of a bucket that one task compares with each other; a larger bucket is dealt as pairs of blocks.
+BLOCK = 10_000
+#: Rows that a worker gathers from small buckets before it compares them.
+TASK_ROWS = 200_000
 
 _digest = xxhash.xxh64_intdigest
 
@@ -167,6 +176,49 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _dealt(rows: DataFrame, weight: Column, band: Column) -> DataFrame:
+    """``rows(bucket, ...)`` with ``task`` instead of ``bucket``.
+
+    A bucket whose weights sum to one at most is a task.  A larger one is cut into blocks, by
+    ``band`` and then by a hash of the row, and every pair of blocks of the same or of neighbouring
+    bands is a task; rows two or more bands apart need not meet.  Pairs of blocks are quadratic in the
+    size of the bucket divided by that of a block.
+    """
+    large = written(rows.groupBy("bucket").agg(F.sum(weight).alias("w")).where("w > 1").select("bucket"), "large-buckets")
+    if large.isEmpty():
+        return rows.withColumnRenamed("bucket", "task")
+    marked = rows.withColumns({"band": band, "weight": weight})
+    cut = marked.join(large, "bucket", "left_semi").groupBy("bucket", "band").agg(F.ceil(F.sum("weight")).cast("int").alias("own"))
+    beside = lambda d, c: cut.select("bucket", (F.col("band") + d).alias("band"), F.col("own").alias(c))
+    cut = written(cut.join(beside(1, "below"), ["bucket", "band"], "left").join(beside(-1, "above"), ["bucket", "band"], "left"), "blocks")
+    at = marked.join(cut, ["bucket", "band"], "left").withColumn("at", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.col("own")).cast("int"))
+    cells = F.expr("""concat(
+        transform(sequence(0, own - 1), k -> xxhash64(bucket, band, least(k, at), band, greatest(k, at))),
+        if(below IS NULL, array(), transform(sequence(0, below - 1), k -> xxhash64(bucket, band - 1, k, band, at))),
+        if(above IS NULL, array(), transform(sequence(0, above - 1), k -> xxhash64(bucket, band, at, band + 1, k))))""")
+    whole = F.when(F.col("own").isNull(), F.array("bucket")).otherwise(cells)
+    return at.select(*[c for c in rows.columns if c != "bucket"], F.explode(whole).alias("task"))
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole tasks, of so many rows where one task isn't larger; the last column is the task, sorted."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:  # up to where the last task that is held ends
+            tasks, last = batch.column(batch.num_columns - 1).to_numpy(), held[-1].column(batch.num_columns - 1)[-1].as_py()
+            cut = int(np.searchsorted(tasks != last, True)) if tasks[-1] != last else len(tasks)
+            if cut < len(tasks):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def links(fps: DataFrame, budget: int) -> DataFrame:
     """``a, b``: spanning links of the pairs of distinct ``fps(fp)`` within the budget."""
     turned = []
@@ -174,33 +226,33 @@ def links(fps: DataFrame, budget: int) -> DataFrame:
         v = F.expr(f"(shiftleft(fp, {turn}) | shiftrightunsigned(fp, {64 - turn}))") if turn else F.col("fp")
         turned.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(v, 64 - width).alias("top"), v.alias("value")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not got:
-            return
-        block, top, value = (np.concatenate(x) for x in zip(*got, strict=True))
-        value, group = value.view("u8"), block.astype("i8") << 56 | top  # a block has at most 56 bits, or is all of them
-        order = np.lexsort((value, group))
-        block, group, value = block[order], group[order], value[order]
-        forest, a, b = Forest(len(value)), [], []
-        for x, y in trie_join(group, value, budget):
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                if forest.link(i, j):
-                    a.append(i)
-                    b.append(j)
-        turns = np.array([t for t, _ in _blocks(budget)], "u8")
-
-        def back(at: list[int]) -> pa.Array:
-            at = np.array(at, "i8")
-            v, t = value[at], turns[block[at]]
-            return pa.array(np.where(t == 0, v, v >> t | v << ((64 - t) & np.uint64(63))).view("i8"))
+    turns = np.array([t for t, _ in _blocks(budget)], "u8")
 
-        yield pa.RecordBatch.from_arrays([back(a), back(b)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(batches, TASK_ROWS):
+            block, value, group = (t.column(c).to_numpy() for c in ("block", "value", "task"))
+            value = value.view("u8")
+            order = np.lexsort((value, group))
+            block, group, value = block[order], group[order], value[order]
+            forest, a, b = Forest(len(value)), [], []
+            for x, y in trie_join(group, value, budget):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if forest.link(i, j):
+                        a.append(i)
+                        b.append(j)
+
+            def back(at: list[int], value: np.ndarray = value, block: np.ndarray = block) -> pa.Array:
+                at = np.array(at, "i8")
+                v, t = value[at], turns[block[at]]
+                return pa.array(np.where(t == 0, v, v >> t | v << ((64 - t) & np.uint64(63))).view("i8"))
+
+            yield pa.RecordBatch.from_arrays([back(a), back(b)], ["a", "b"])
 
     if budget == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.block", "x.top", "x.value")
-    return rows.repartition("block", "top").mapInArrow(run, "a long, b long")
+    rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.block", "x.value", F.xxhash64("x.block", "x.top").alias("bucket"))
+    dealt = _dealt(rows, F.lit(1 / BLOCK), F.lit(0))
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,50 +263,72 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, *, id_co
     other.  Repeated rows and ids share a component; a null id has the smallest id of its
     component, null if there is none.  No other column is read.
     """
-    fps = written(fingerprints(docs, size, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    kinds = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "kinds")
-    linked = components(links(kinds, budget))
-    linked = written(linked, "linked")
-    heads = linked.join(kinds, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("head"))
-    heads = linked.join(heads, "root").select("node", "head")
-    of = written(kinds.join(heads, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("head", "first").alias("component_id")), "components")
+    with scratch(docs.sparkSession):
+        fps = written(fingerprints(docs, size, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"), "fingerprints", keep=True)
+        kinds = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "kinds")
+        linked = written(components(links(kinds, budget)), "linked")
+        heads = linked.join(kinds, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("head"))
+        heads = linked.join(heads, "root").select("node", "head")
+        of = written(kinds.join(heads, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("head", "first").alias("component_id")), "components", keep=True)
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicate groups by similarity of shingle sets
 
 KEYS, WIDTH = 8, 4
-#: Keys shared by more rows than this are refined by each of the other keys.
-HOT_KEY = 2000
-#: Rows of a bucket that one task reads; a larger bucket is dealt as pairs of blocks.
-BLOCK = 50_000
+#: Shingles of a loose group that one task compares.
+BLOCK_SHINGLES = 4_000_000
 #: Pairs that a task looks at before it brings its labels up to date.
 STEP = 1 << 14
+#: Rows of an id table that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def _tally(n: int) -> np.ndarray:
+    """Probabilities that so many of ``n`` fair bits are set."""
+    return np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
 
 
+def _differ(common: int, a: int, b: int) -> float:
+    """Probability that a fingerprint bit differs between two sets with ``common`` shingles, and ``a`` and ``b`` of their own."""
+    over = lambda own: np.array([_tally(own)[2 * (i + np.arange(own + 1)) > common + own].sum() for i in range(common + 1)])
+    x, y = over(a), over(b)
+    return float((_tally(common) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@lru_cache
 def bits_for(similarity: float, bits: int, deviations: float) -> int:
-    """Differing bits of a pair of that Jaccard similarity, and so many standard deviations more."""
+    """Differing bits of a pair of that Jaccard similarity at least, and so many standard deviations more.
+
+    Many shingles make a bit differ with probability acos(cosine) / pi.  Few shingles make it
+    differ more often; the worst sets of up to 32 are tried.
+    """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for n in range(1, 33):
+        for m in range(n, int(n / similarity) + 1):
+            common = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if common <= n:
+                p = max(p, _differ(common, n - common, m - common))
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def sketches(docs: DataFrame, size: int, *, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, fp (WIDTH longs), keys (KEYS longs)`` over the set of shingles of every whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sketches(rows: DataFrame, size: int) -> DataFrame:
+    """``id, h, n, fp (WIDTH longs), keys (KEYS longs)`` over the set of shingles of every whole text; rows(id, h, text)."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fps, keys = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = np.unique(shingle_hashes(t.as_py(), size))
                 n.append(len(h))
                 wide = np.stack([h, *(_mixed(h, 100 + i) for i in range(1, WIDTH))], 1)
                 fps.append(majority(wide).view("i8").tolist())
                 keys.append([int(_mixed(h, 1 + i).min().view("i8")) if len(h) else 0 for i in range(KEYS)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fps, longs), pa.array(keys, longs)], ["id", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(fps, longs), pa.array(keys, longs)], ["id", "h", "n", "fp", "keys"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, fp array<long>, keys array<long>")
+    return rows.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, n long, fp array<long>, keys array<long>")
 
 
 def _counted(sizes: np.ndarray) -> np.ndarray:
@@ -269,180 +343,187 @@ def _labels(forest: Forest) -> np.ndarray:
     return up
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """``rows`` of classes, once for every bucket they fall in, with ``bucket``.
-
-    A key is a bucket.  A key of over ``HOT_KEY`` rows gives way to its pairs with every other
-    key: rows that share it meet unless they share no other key.  A bucket of over ``BLOCK`` rows
-    is dealt as pairs of blocks, so that every two of its rows meet in one task.
-    """
-    keyed = rows.select("class", F.posexplode("keys").alias("i", "key"))
-    hot = written(keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_KEY).select("i", "key", F.lit(True).alias("hot")), "hot-keys")
-    marked = rows.select("*", F.posexplode("keys").alias("i", "key")).join(hot, ["i", "key"], "left")
-    plain = F.array(F.xxhash64("i", "key"))
-    twos = F.expr(f"transform(filter(sequence(0, {KEYS - 1}), j -> j <> i), j -> xxhash64(least(i, j), greatest(i, j), keys[least(i, j)], keys[greatest(i, j)]))")
-    dealt = marked.select("class", "n", "fp", "root", "refuted", F.explode(F.when(F.col("hot").isNull(), plain).otherwise(twos)).alias("bucket"))
-    large = written(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK).select("bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "large-buckets")
-    at = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int")
-    blocks = F.when(F.col("blocks").isNull(), F.array(F.col("bucket"))).otherwise(F.expr("transform(sequence(0, blocks - 1), k -> xxhash64(bucket, least(k, at), greatest(k, at)))"))
-    return dealt.join(large, "bucket", "left").withColumn("at", at).select("class", "n", "fp", "root", "refuted", F.explode(blocks).alias("bucket"))
-
-
-def _candidates(rows: DataFrame, similarity: float, forests: int) -> DataFrame:
-    """Links ``a, b`` (a > b) of classes in one bucket that may be near; rows(class, n, fp, keys, root, refuted).
-
-    A task gives links that connect all that may be near and isn't connected by ``root`` yet:
-    up to ``forests`` forests without a common link, none of them a pair refuted before.
-    """
-    budget, wide_budget = bits_for(similarity, 64, 5), bits_for(similarity, 64 * WIDTH, 6)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        del got
-        group, ids, n, root = (t.column(c).to_numpy() for c in ("bucket", "class", "n", "root"))
-        fp = np.stack([t.column(f"f{i}").to_numpy().view("u8") for i in range(WIDTH)], 1)
-        names, at = np.unique(ids, return_inverse=True)
-        refuted = np.empty(0, "i8")
-        once = np.unique(at, return_index=True)[1]
-        against = t.column("refuted").take(pa.array(once)).combine_chunks()
-        if len(against.flatten()):
-            a = np.repeat(np.arange(len(names)), pc.fill_null(pc.list_value_length(against), 0).to_numpy())
-            b = np.searchsorted(names, against.flatten().to_numpy())
-            here = (b < len(names)) & (names[np.minimum(b, len(names) - 1)] == against.flatten().to_numpy())
-            refuted = np.unique(a[here] * len(names) + b[here])
-        order = np.lexsort((ids, fp[:, 0], group))
-        order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (at[order][1:] != at[order][:-1])])]
-        group, at, n, fp = group[order], at[order], n[order], fp[order]
-        heads = np.unique(root[once], return_inverse=True)
-        joined = heads[1].tolist()  # trees stand on what root connects already, and are made when a link needs one
-        trees = [Forest(len(heads[0]))]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:, 0] != fp[:-1, 0])])
-        first, leaf_of = np.flatnonzero(new), np.cumsum(new) - 1  # leaves of the trie
-        sizes = np.diff(np.append(first, len(at)))
-        label = heads[1]
-        out: list[tuple[int, int]] = []
-
-        seen: tuple = (None, None, None)
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            nonlocal seen
-            if seen[0] is not label:
-                same = label[at]
-                whole = np.logical_and.reduceat(same == same[first[leaf_of]], first)
-                same = np.where(whole, same[first], -1 - np.arange(len(first)))  # a leaf with open rows is its own
-                seen = (label, same, np.concatenate([[0], np.cumsum(same[1:] != same[:-1])]))
-            return seen[1:]
-
-        def take(x: np.ndarray, y: np.ndarray) -> None:
-            nonlocal label
-            for lo in range(0, len(x), STEP):
-                p, q = x[lo : lo + STEP], y[lo : lo + STEP]
-                apart = label[at[p]] != label[at[q]]
-                p, q = p[apart], q[apart]
-                fits = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])
-                p, q = p[fits], q[fits]
-                far = bits_set(fp[p] ^ fp[q]).sum(1, dtype="i8")
-                fits = np.argsort(far, kind="stable")[: (far <= wide_budget).sum()]  # the likely ones first
-                a, b = np.maximum(at[p[fits]], at[q[fits]]), np.minimum(at[p[fits]], at[q[fits]])
-                fits = ~np.isin(a * len(names) + b, refuted)
-                before = len(out)
-                for i, j in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
-                    u, v = joined[i], joined[j]
-                    if any(tree.link(u, v) for tree in trees):
-                        out.append((i, j))
-                    elif len(trees) < forests and u != v:
-                        trees.append(Forest(len(heads[0])))
-                        trees[-1].link(u, v)
-                        out.append((i, j))
-                if len(out) > before and len(trees) == forests:
-                    label = _labels(trees[-1])[heads[1]]
-
-        def rows_of(x: np.ndarray, y: np.ndarray) -> None:
-            """Take all rows of leaves x with all rows of leaves y."""
-            x, y = np.repeat(first[x], sizes[x]) + _counted(sizes[x]), np.repeat(y, sizes[x])
-            edges = np.searchsorted(np.cumsum(sizes[y]), np.arange(0, sizes[y].sum() + FRONTIER, FRONTIER), "right")
-            for lo, hi in zip(edges, np.append(edges[1:], len(y)), strict=True):
-                p, q = x[lo:hi], y[lo:hi]
-                take(np.repeat(p, sizes[q]), np.repeat(first[q], sizes[q]) + _counted(sizes[q]))
-
-        rest = np.flatnonzero(~new)
-        take(first[leaf_of[rest]], rest)
-        for leaf in np.flatnonzero(sizes > 1):
-            if len(np.unique(label[at[first[leaf] : first[leaf] + sizes[leaf]]])) > 1:
-                rows_of(np.array([leaf]), np.array([leaf]))
-        for allowed in sorted({min(budget, b) for b in (2, 6, 12, 18, budget)}):  # near pairs settle most of what is dense
-            for x, y in trie_join(group[first], fp[first, 0], allowed, settled):
-                rows_of(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array([int(names[x[i]]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    flat = _buckets(rows).select("class", "n", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], "root", "refuted", "bucket")
-    return flat.repartition("bucket").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``a, b, near`` for ``pairs(a, b)``: whether their texts, ``texts(class, text)``, have that similarity."""
+def _band(similarity: float) -> Column:
+    """Sets of that similarity are of the same or of neighbouring bands."""
+    return F.floor(F.log("n") / (math.log(1 / similarity) + 1e-6)).cast("int")
+
+
+def _loose_links(group: np.ndarray, ids: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links (a > b) between classes of one bucket whose sizes and fingerprints allow the similarity."""
+    budget, wide_budget = bits_for(similarity, 64, 4), bits_for(similarity, 64 * WIDTH, 5)
+    names, at = np.unique(ids, return_inverse=True)
+    order = np.lexsort((ids, fp[:, 0], group))
+    order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (at[order][1:] != at[order][:-1])])]
+    group, at, n, fp = group[order], at[order], n[order], fp[order]
+    forest = Forest(len(names))
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:, 0] != fp[:-1, 0])])
+    first, leaf_of = np.flatnonzero(new), np.cumsum(new) - 1  # leaves of the trie
+    sizes = np.diff(np.append(first, len(at)))
+    label = np.arange(len(names))
+    out: list[tuple[int, int]] = []
+    seen: tuple = (None, None, None)
+
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal seen
+        if seen[0] is not label:
+            same = label[at]
+            whole = np.logical_and.reduceat(same == same[first[leaf_of]], first)
+            same = np.where(whole, same[first], -1 - np.arange(len(first)))  # a leaf with open rows is its own
+            seen = (label, same, np.concatenate([[0], np.cumsum(same[1:] != same[:-1])]))
+        return seen[1:]
+
+    def take(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label
+        for lo in range(0, len(x), STEP):
+            p, q = x[lo : lo + STEP], y[lo : lo + STEP]
+            fits = (label[at[p]] != label[at[q]]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-9)
+            p, q = p[fits], q[fits]
+            fits = bits_set(fp[p] ^ fp[q]).sum(1, dtype="i8") <= wide_budget
+            before = len(out)
+            for i, j in zip(at[p[fits]].tolist(), at[q[fits]].tolist(), strict=True):
+                if forest.link(i, j):
+                    out.append((max(i, j), min(i, j)))
+            if len(out) > before:
+                label = _labels(forest)
+
+    def rows_of(x: np.ndarray, y: np.ndarray) -> None:
+        """Take all rows of leaves x with all rows of leaves y."""
+        x, y = np.repeat(first[x], sizes[x]) + _counted(sizes[x]), np.repeat(y, sizes[x])
+        edges = np.searchsorted(np.cumsum(sizes[y]), np.arange(0, sizes[y].sum() + FRONTIER, FRONTIER), "right")
+        for lo, hi in zip(edges, np.append(edges[1:], len(y)), strict=True):
+            p, q = x[lo:hi], y[lo:hi]
+            take(np.repeat(p, sizes[q]), np.repeat(first[q], sizes[q]) + _counted(sizes[q]))
+
+    rest = np.flatnonzero(~new)
+    take(first[leaf_of[rest]], rest)
+    for leaf in np.flatnonzero(sizes > 1):
+        if len(np.unique(label[at[first[leaf] : first[leaf] + sizes[leaf]]])) > 1:
+            rows_of(np.array([leaf]), np.array([leaf]))
+    for allowed in sorted({min(budget, b) for b in (2, 6, 12, 18, budget)}):  # near pairs settle most of what is dense
+        for x, y in trie_join(group[first], fp[first, 0], allowed, settled):
+            rows_of(x, y)
+    return [(int(names[i]), int(names[j])) for i, j in out]
+
+
+def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: spanning links, bucket by bucket, of classes(class, n, fp, keys) that share a key and may be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.unique(shingle_hashes(s.as_py(), size)), np.unique(shingle_hashes(t.as_py(), size))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "near"])
+        for t in _by_task(batches, TASK_ROWS):
+            group, ids, n = (t.column(c).to_numpy() for c in ("task", "class", "n"))
+            fp = np.stack([t.column(f"f{i}").to_numpy().view("u8") for i in range(WIDTH)], 1)
+            found = _loose_links(group, ids, n, fp, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    of = lambda c: texts.toDF(c, f"text_{c}")
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+    keyed = classes.select("class", "n", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], F.posexplode("keys").alias("i", "key"))
+    rows = keyed.withColumn("bucket", F.xxhash64("i", "key")).drop("i", "key")
+    dealt = _dealt(rows, F.lit(1 / BLOCK), _band(similarity))
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def _linked(classes: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``node, root`` of the classes that have a link of that similarity.
+def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all of the sets (sorted, without repeats) that pairs of at least that Jaccard similarity connect.
 
-    Rounds of spanning links, each verified on the texts.  Links that fail may have taken the place
-    of true ones: a pair gets no link only where a task's links join it already, so if it stays
-    apart, a failed link leads out of the group (by all links verified so far) of each of its
-    classes.  All classes of such groups are searched again without the refuted pairs, with four
-    times the forests, until no failed link lies between two groups.
+    A search from set to set: an inverted index counts what the set at hand has in common with
+    every set that isn't reached yet, exactly; what is near is reached and searched from later.
+    The index is made anew as sets are reached, so groups of near sets cost little.
     """
-    linked = classes.sparkSession.createDataFrame([], "node long, root long")
-    refuted = classes.sparkSession.createDataFrame([], "a long, b long, new boolean, root_a long, root_b long")
-    todo = classes.withColumn("root", F.col("class")).withColumn("refuted", F.lit(None).cast("array<long>"))
-    forests = 1
-    while True:
-        pairs = written(_candidates(todo, similarity, forests).distinct(), "candidates")
-        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "wanted")
-        texts = rows.join(wanted, rows["id"] == wanted["class"]).groupBy("class").agg(F.max("text").alias("text"))
-        result = written(_verified(pairs, written(texts, "texts"), size, similarity), "verified")
-        linked = written(components(linked.toDF("a", "b").union(result.where("near").select("a", "b"))), "linked")
-        of = lambda c: linked.toDF(c, f"root_{c}")  # noqa: B023, E731
-        failed = refuted.select("a", "b", F.lit(False).alias("new")).union(result.where("NOT near").select("a", "b", F.lit(True).alias("new")))
-        failed = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
-        refuted = written(failed.where("root_a <> root_b").select("a", "b", "new", "root_a", "root_b"), "refuted")
-        wrong = refuted.where("new")
-        if wrong.isEmpty():
-            return linked
-        again = wrong.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-        rooted = classes.join(of("class"), "class", "left").withColumn("root", F.coalesce("root_class", "class")).drop("root_class")
-        against = refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted"))
-        todo = written(rooted.join(again, "root", "left_semi").join(against, "class", "left"), "again-rows")
-        forests *= 4
+    sizes = np.array([len(s) for s in sets], "i8")
+    owner, value = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, token, df = np.unique(value, return_inverse=True, return_counts=True)
+    shared = df[token] > 1
+    owner, token = owner[shared], token[shared]
+    _, token = np.unique(token, return_inverse=True)
+    tokens = np.split(token, np.searchsorted(owner, np.arange(1, len(sets))))
+    count = int(token.max()) + 1 if len(token) else 0
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    edges = np.searchsorted(token, np.arange(count + 1))
+    open_, out = np.ones(len(sets), bool), []
+    left = indexed = len(sets)
+    for seed in range(len(sets)):
+        stack = [seed] if open_[seed] else []
+        if stack:
+            open_[seed] = False
+            left -= 1
+        while stack:
+            x = stack.pop()
+            if not left:
+                continue
+            if 2 * left < indexed:
+                live = open_[owner]
+                token, owner, indexed = token[live], owner[live], left
+                edges = np.searchsorted(token, np.arange(count + 1))
+            t = tokens[x]
+            a, k = edges[t], edges[t + 1] - edges[t]
+            common = np.bincount(owner[np.repeat(a, k) + _counted(k)], minlength=len(sets)) if k.any() else np.zeros(len(sets), "i8")
+            found = np.flatnonzero(open_ & (common > 0) & (common * (1 + similarity) >= similarity * (sizes + sizes[x]) - 1e-9))
+            open_[found] = False
+            left -= len(found)
+            out += [(x, int(y)) for y in found]
+            stack += found.tolist()
+    return out
+
+
+def _no_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without those whose class and task, the last two columns, repeat: rows may share id and text."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            at = np.stack([batch.column(i).to_numpy() for i in (1, 2)])
+            new = np.concatenate([[last is None or (at[:, 0] != last).any()], (at[:, 1:] != at[:, :-1]).any(0)])
+            last = at[:, -1].copy()
+            yield batch if new.all() else batch.filter(pa.array(new))
+
+
+def _verified(members: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: spanning links of the pairs within each bucket that have that similarity.
+
+    members(bucket, class, n, id, h): classes and, for each, a row of ``rows(id, h, text)`` that has its text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(_no_repeats(batches), 1):
+            task, ids = t.column("task").to_numpy(), t.column("class").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+            a, b = [], []
+            texts = t.column("text")
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = spanning_links([np.unique(shingle_hashes(texts[i].as_py(), size)) for i in range(lo, hi)], similarity)
+                a += [int(ids[lo + x]) for x, _ in found]
+                b += [int(ids[lo + y]) for _, y in found]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n") / F.lit(float(BLOCK_SHINGLES)))
+    dealt = written(_dealt(members, weight, _band(similarity)), "dealt")
+    wanted = dealt.select("class", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
+    if dealt.count() <= BROADCAST_ROWS:  # the texts of the others then aren't shuffled at all
+        wanted = F.broadcast(wanted)
+    texts = rows.join(wanted, (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id")))
+    return texts.select("text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, head``: the documents that are not the first of their group, and that first one.
+    """``id, h, head_id, head_h, rows``: what isn't the first of its group, or is there more than once.
 
-    A group is connected by pairs of texts whose sets of ``size``-word shingles have that Jaccard
-    similarity at least; texts with the same words are one class.  Null and blank texts have no
-    shingle and are no copies of each other.  Ids are whole numbers; rows that repeat an id are
-    one document, and rows without an id are left out.
+    A row is known by its id and ``h``, the hash of its text (xxhash64); ``rows`` is how many rows
+    share both.  A group is connected by pairs of texts whose sets of ``size``-word shingles have
+    that Jaccard similarity at least; texts with the same shingles are one class.  The first of a
+    group, ``head``, has the least id, rows without an id come last, and among equals the least
+    hash.  Null and blank texts have no shingle and are in no group.  No other column is read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    made = written(sketches(rows, size, id_col="id", text_col="text").where("n > 0"), "sketches")
-    made = made.withColumn("same", F.xxhash64("n", "fp", "keys"))
-    classes = written(made.groupBy("same").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
-    linked = _linked(classes.select("class", "n", "fp", "keys"), rows, size, similarity)
-    head = written(classes.select("same", "class").join(linked, F.col("class") == F.col("node"), "left").select("same", F.coalesce("root", "class").alias("head")), "heads")
-    return made.select("id", "same").join(head, "same").where("id <> head").groupBy("id").agg(F.min("head").alias("head"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        made = sketches(rows, size).where("n > 0")
+        made = written(made.withColumn("class", F.xxhash64("n", "fp", "keys")), "sketches")
+        rank = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+        classes = made.groupBy("class").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+        classes = written(classes, "classes")
+        loose = components(_candidates(classes, similarity))
+        members = loose.join(classes, F.col("node") == F.col("class")).select(F.col("root").alias("bucket"), "class", "n", "first.id", "first.h")
+        linked = components(_verified(members, rows, size, similarity))
+        of = written(classes.select("class", "first").join(linked, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group"), "first"), "groups")
+        of = of.join(of.groupBy("group").agg(F.min("first").alias("head")), "group").select("class", "head")
+        each = made.groupBy("class", "id", "h").agg(F.count(F.lit(1)).alias("rows")).join(of, "class")
+        out = each.select("id", "h", F.col("head.id").alias("head_id"), F.col("head.h").alias("head_h"), "rows")
+        return written(out.where("rows > 1 OR NOT (id <=> head_id AND h = head_h)"), "near-groups", keep=True)
