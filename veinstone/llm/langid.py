@@ -1,32 +1,35 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-A text is read as its whitespace-separated words, each between two spaces and in runs of at most
-``RUN`` bytes.  Two gated recurrent layers read every run forwards and backwards, and at every
-byte a softmax over both states labels that position.  A document's probabilities are the mean
-over all its positions.  The network starts afresh at every run, so a run gives the same result
-wherever it stands: a worker computes each distinct run once, in batches, and keeps its sums.
-
-The network is trained in numpy by backpropagation through time, on a sample of at most about
-``SAMPLE_DOCS`` labelled documents of each language (a documented bound: the sample is drawn by a
-hash of the id, texts over ``SAMPLE_CHARS`` are left out of it).
+A text is read as its UTF-8 bytes, in windows of ``CORE`` bytes; each window is read with up to
+``CONTEXT`` bytes of the text before and after it, so the states at its edges know what stands
+there.  Two gated recurrent layers read a window forwards and backwards, and at every byte a softmax
+over both states labels that position.  A document's probabilities are the mean over all its
+positions.  Windows of many texts are read in lockstep, the longest first, so a step is a few
+vector operations and no padding is computed.
+
+The network is trained in numpy by backpropagation through time, on a bounded sample: one passage
+of ``SAMPLE_CHARS`` characters, at a place drawn by a hash, of about ``SAMPLE_DOCS`` labelled documents
+of each language, drawn by a hash of the id, and ``SAMPLE_RUNS`` runs of ``RUN`` bytes of those
+passages.  There is one output for each language that is labelled.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HIDDEN, RUN = 16, 32
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RUNS, EPOCHS = 300, 50_000, 60_000, 2
+HIDDEN, RUN, CORE, CONTEXT = 16, 48, 480, 32
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RUNS, EPOCHS = 400, 2_000, 24_000, 2
 UNDETERMINED = "und"
-MAX_KEPT_RUNS = 300_000
+#: Windows that are read at once, and bytes of texts that are held for it.
+LANES, HELD_BYTES = 1024, 1 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -103,30 +106,26 @@ class Network:
 
     def _back(self, d: str, x: np.ndarray, dout: np.ndarray, kept: list) -> dict[str, np.ndarray]:
         h, u = HIDDEN, self.p[f"u{d}"]
-        du, dt = np.zeros_like(u), np.zeros_like(self.p[f"t{d}"])
-        dstate = np.zeros((len(x), h), "f4")
+        du, dstate = np.zeros_like(u), np.zeros((len(x), h), "f4")
+        given = np.empty((x.shape[1], len(x), 3 * h), "f4")
         for i in range(x.shape[1] - 1, -1, -1):
             state, z, r, new, rec = kept[i]
             dstate = dstate + dout[i]
             dnew = dstate * (1 - z) * (1 - new * new)
             dz = dstate * (state - new) * z * (1 - z)
             dr = dnew * rec * r * (1 - r)
-            into = np.concatenate([dz, dr, dnew], 1)
+            given[i] = np.concatenate([dz, dr, dnew], 1)
             recurrent = np.concatenate([dz, dr, dnew * r], 1)
-            np.add.at(dt, x[:, i], into)
             du += state.T @ recurrent
             dstate = dstate * z + recurrent @ u.T
+        seen = x.T.ravel()
+        order = np.argsort(seen, kind="stable")
+        kinds, first = np.unique(seen[order], return_index=True)
+        dt = np.zeros_like(self.p[f"t{d}"])
+        dt[kinds] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first, axis=0)
         return {f"t{d}": dt, f"u{d}": du}
 
 
-def runs_of(text: str) -> Iterator[bytes]:
-    """All words of a text as padded byte runs; longer ones in pieces."""
-    for word in text.split():
-        b = word.encode("utf-8", "replace")
-        for i in range(0, len(b), RUN):
-            yield b" " + b[i : i + RUN] + b" "
-
-
 def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(r) for r in runs])
     width = int(lengths.max())
@@ -135,29 +134,27 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
     """A network from (text, language) pairs; None without any."""
-    languages = sorted({lang for _, lang in samples})
-    if not languages:
+    texts: dict[str, list[bytes]] = {}
+    for text, lang in samples:
+        if b := text.encode("utf-8", "replace"):
+            texts.setdefault(lang, []).append(b)
+    if not texts:
         return None
     rng = np.random.default_rng(seed)
-    counts: dict[str, Counter] = {lang: Counter() for lang in languages}
-    for text, lang in samples:
-        counts[lang].update(runs_of(text))
-    net = Network(languages, seed)
-    runs, labels, share = [], [], SAMPLE_RUNS // len(languages)
-    for y, lang in enumerate(languages):
-        kinds = sorted(counts[lang].items())
-        if not kinds:
-            continue
-        weight = np.sqrt([c for _, c in kinds])
-        for i in rng.choice(len(kinds), share, p=weight / weight.sum()):
-            runs.append(kinds[i][0])
+    net = Network(sorted(texts), seed)
+    runs, labels, share = [], [], max(256, SAMPLE_RUNS // len(texts))
+    for y, lang in enumerate(net.languages):
+        ends = np.cumsum([len(b) for b in texts[lang]])
+        for place in rng.integers(0, ends[-1], share):
+            i = int(np.searchsorted(ends, place, "right"))
+            at = int(place - (ends[i - 1] if i else 0))
+            at = max(0, min(at, len(texts[lang][i]) - RUN))
+            runs.append(texts[lang][i][at : at + RUN])
             labels.append(y)
-    if not runs:
-        return None
     y = np.array(labels)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    lengths, step, size = np.array([len(r) for r in runs]), 0, 256
+    lengths, step, size = np.array([len(r) for r in runs]), 0, 128
     total = EPOCHS * (-(-len(runs) // size))
     for _ in range(EPOCHS):
         order = rng.permutation(len(runs))
@@ -176,49 +173,81 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
     return net
 
 
+def windows_of(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of a text of so many bytes: where reading starts and ends, and where its core does."""
+    lo = np.arange(0, length, CORE)
+    hi = np.minimum(lo + CORE, length)
+    return np.maximum(lo - CONTEXT, 0), np.minimum(hi + CONTEXT, length), lo, hi
+
+
 class Labeller:
-    """Pooled probabilities of documents; remembers the sums of distinct runs."""
+    """Pooled probabilities of documents."""
 
     def __init__(self, net: Network):
-        self.net = net
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes | str, int] = {}
-        self.sums = np.zeros((1024, len(self.net.languages) + 1))
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds each word: the summed probabilities of its positions and their number."""
-        runs, owner = [], []
-        for i, word in enumerate(words):
-            for run in runs_of(word):
-                runs.append(run)
-                owner.append(i)
-        first = len(self.number)
-        while len(self.sums) < first + len(words):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        for a in range(0, len(order), 512):
-            pick = order[a : a + 512]
-            x, lengths = padded([runs[i] for i in pick])
-            probs = self.net.positions(x, lengths) * (np.arange(x.shape[1])[:, None] < lengths)[:, :, None]
-            np.add.at(self.sums, first + np.array([owner[i] for i in pick]), np.concatenate([probs.sum(0), lengths[:, None]], 1))
-        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        h = HIDDEN
+        self.net, self.layers = net, {}
+        for d in "fb":  # a sigmoid is a tanh of half the input
+            t, u = net.p[f"t{d}"], net.p[f"u{d}"]
+            self.layers[d] = tuple(np.ascontiguousarray(x, "f4") for x in (0.5 * t[:, : 2 * h], t[:, 2 * h :], 0.5 * u[:, : 2 * h], u[:, 2 * h :], net.p[f"o{d}"]))
+        self.lanes = max(16, min(LANES, 4 * LANES // len(net.languages)))
+
+    def _read(self, d: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """(step, lane, language): what each step adds to the logits; x(step, lane), of which the first ``active`` are read."""
+        h = HIDDEN
+        gates, new, u_gates, u_new, o = self.layers[d]
+        lanes = x.shape[1]
+        state = np.zeros((lanes, h), "f4")
+        g, r, n, m = (np.empty((lanes, w), "f4") for w in (2 * h, 2 * h, h, h))
+        out = np.zeros((len(x), lanes, o.shape[1]), "f4")
+        for i, k in enumerate(active.tolist()):
+            s, a, b, c, e, byte = state[:k], g[:k], r[:k], n[:k], m[:k], x[i, :k]
+            np.take(gates, byte, 0, a)
+            np.matmul(s, u_gates, b)
+            a += b
+            np.tanh(a, a)
+            a *= 0.5
+            a += 0.5
+            np.matmul(s, u_new, e)
+            e *= a[:, h:]
+            np.take(new, byte, 0, c)
+            c += e
+            np.tanh(c, c)
+            s -= c
+            s *= a[:, :h]
+            s += c
+            np.matmul(s, o, out[i, :k])
+        return out
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """(document, language): mean probabilities over all positions; 0 without any."""
-        out = np.zeros((len(texts), len(self.net.languages)))
-        if len(self.number) > MAX_KEPT_RUNS:
-            self._forget()
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.number}
-        if new:
-            self._learn(sorted(new))
-        for i, words in enumerate(split):
-            if words:
-                s = self.sums[np.fromiter(map(self.number.__getitem__, words), "i8", len(words))].sum(0)
-                out[i] = s[:-1] / s[-1]
-        return out
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        sums = np.zeros((len(raw), len(self.net.languages)))
+        sizes = np.array([len(b) for b in raw], "i8")
+        starts = np.cumsum(sizes) - sizes
+        cut = [windows_of(n) for n in sizes.tolist()]
+        owner = np.repeat(np.arange(len(raw)), [len(c[0]) for c in cut])
+        a, b, lo, hi = (np.concatenate([c[i] for c in cut]) if cut else np.empty(0, "i8") for i in range(4))
+        data = np.frombuffer(b"".join(raw), "u1").astype("i8")
+        order = np.argsort(a - b, kind="stable")
+        for at in range(0, len(order), self.lanes):
+            pick = order[at : at + self.lanes]
+            length, first = b[pick] - a[pick], starts[owner[pick]] + a[pick]
+            step = np.arange(int(length[0]))[:, None]
+            active = np.searchsorted(-length, -step[:, 0], "left")
+            there = step < length
+            forwards = data[np.where(there, first + step, 0)]
+            turned = np.where(there, length - 1 - step, 0)
+            back = self._read("b", data[first + turned], active)
+            logits = self._read("f", forwards, active)
+            logits += np.take_along_axis(back, turned[:, :, None], 0)
+            logits += self.net.p["b"]
+            logits -= logits.max(2, keepdims=True)
+            np.exp(logits, logits)
+            place = a[pick] + step
+            core = (place >= lo[pick]) & (place < hi[pick])
+            logits *= (core / logits.sum(2))[:, :, None].astype("f4")
+            np.add.at(sums, owner[pick], logits.sum(0))
+        return sums / np.maximum(sizes, 1)[:, None]
 
 
 def _has_letter(text: str) -> bool:
@@ -226,53 +255,64 @@ def _has_letter(text: str) -> bool:
 
 
 def held_out(doc_id: Column) -> Column:
-    """A fifth of the documents, by their id alone."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """A fifth of the documents, by their id alone; not those without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most about SAMPLE_DOCS documents of each language, drawn by a hash of the id."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    """A passage of about SAMPLE_DOCS documents of each language, drawn by a hash of the id."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id")))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each output of the network
     if not counts:
         return []
-    draw = (F.xxhash64(F.col("id"), F.lit("sample")) % 1_000_000 + 1_000_000) % 1_000_000
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, SAMPLE_DOCS / n) * 1_000_000)))
-    rows = known.where(chosen).where(F.length("text") <= SAMPLE_CHARS).select("id", "lang", "text").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["id"]), r["text"]))]
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long"))
+    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int")
+    rows = known.join(sizes, "lang").where(draw * F.col("n") < SAMPLE_DOCS * 1_000_000).select("id", "lang", F.substr("text", place + 1, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["id"]), r["lang"], r["text"]))]
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] = ()) -> DataFrame:
-    """``id_col, held_out, lang_pred, score`` for every row, and the columns ``keep`` as they are.
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """``id_col, held_out, lang_pred, score`` for every row; ``whole``: also ``row``, all columns of ``docs``.
 
     Learns from rows with a language and text that are not held out; predictions see the text
     alone.  Null texts and texts without any letter are ``und`` with score 0, and so is every text
-    where nothing could be learned.  Rows with a null id are labelled and not learned from.
+    where nothing could be learned.  Rows with a null id are not held out and not learned from.  Very
+    long texts are read whole, in windows; repeated rows are labelled alike.  Without a column
+    ``lang_col`` nothing is learned.  Other columns, whatever their names, are at most handed on.
     """
-    net = train(sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    net = train(sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)) if lang_col in docs.columns else None
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    kept = [f for f in docs.schema if f.name in keep]
-    names = [f.name for f in docs.schema if f.name in keep]
+    sent_on = docs.columns if whole else [id_col, text_col]
+    text_at = sent_on.index(text_col)
+    id_at = sent_on.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         labeller = Labeller(net) if net else None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                clear = [labeller is not None and _has_letter(t) for t in texts]
-                pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                if any(clear):
-                    for i, p in enumerate(labeller.pooled(texts)):
-                        if clear[i] and p.any():
-                            pred[i], score[i] = net.languages[int(p.argmax())], float(min(1.0, p.max()))
-                ids = batch.column(0)
-                out = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 if i is not None else None for i in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], ["__id", "held_out", "lang_pred", "score", *names])
-
-    own = [T.StructField("__id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *names).mapInArrow(run, T.StructType([*own, *kept]))
-    return rows.withColumnRenamed("__id", id_col)
+
+        def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row = batch.column(0)
+            ids, texts = row.field(id_at), [t or "" for t in row.field(text_at).to_pylist()]
+            clear = [i for i, t in enumerate(texts) if labeller is not None and _has_letter(t)]
+            pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            if clear:
+                for i, p in zip(clear, labeller.pooled([texts[i] for i in clear]), strict=True):
+                    pred[i], score[i] = net.languages[int(p.argmax())], float(min(1.0, p.max()))
+            out = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids.to_pylist()]
+            names = ["id", "held_out", "lang_pred", "score", *(["row"] if whole else [])]
+            return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([row] if whole else [])], names)
+
+        for batch in batches:
+            sizes = [t.as_py() or 0 for t in pa.compute.binary_length(batch.column(0).field(text_at))]
+            lo = size = 0
+            for hi, n in enumerate(sizes, 1):
+                size += n
+                if size > HELD_BYTES or hi == len(sizes):
+                    yield judged(batch.slice(lo, hi - lo))
+                    lo, size = hi, 0
+
+    own = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    row = F.struct(*sent_on).alias("row")
+    kind = T.StructField("row", T.StructType([docs.schema[c] for c in sent_on]))
+    return docs.select(row).mapInArrow(run, T.StructType([*own, *([kind] if whole else [])])).withColumnRenamed("id", id_col)
