@@ -7,10 +7,11 @@ documents, and only that one word of each window is joined.  A joined word fixes
 would have to start (positional bound) and the document must reach to its end (length bound);
 what is left is verified word by word.
 
-The windows come from the benchmark, whose size doesn't follow the corpus; they are broadcast when
-their number is at most ``BROADCAST_WINDOWS`` and joined by shuffle beyond it.  The text is read
-twice, once to count and once to match; documents themselves are never shuffled, only ids, word
-counts and verified hits.
+The windows come from the benchmark, whose size doesn't follow the corpus.  Where what is joined has at
+most ``BROADCAST_BYTES`` it is broadcast, and documents are never shuffled: one pass counts words, a
+second finds hits and word counts, of which only ids, counts and verified hits are shuffled.  Beyond
+that size, words travel as (row, position, word), the candidates that the prefixes leave are joined
+back to their documents, each of which is shuffled once, and verified there; Spark splits hot words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, written
 
 WINDOW = 10
-BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
 #: What separates words: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -46,10 +47,11 @@ def _small(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """``key, start, size, items``: every occurrence of a window in ``docs(key, text)``."""
+def prefixes(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> tuple[DataFrame, bool]:
+    """``word, offset, words, size, items`` of every window whose words all documents have, by its rarest word; and whether to broadcast it."""
     windows = written(windows_of(benchmark, length), "windows")
-    fits = windows.count() <= BROADCAST_WINDOWS
+    held = F.expr("aggregate(words, 64, (n, w) -> n + octet_length(w) + 16) + aggregate(items, 64, (n, i) -> n + octet_length(cast(i AS string)) + 16)")
+    fits = (windows.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES
     vocabulary = windows.select(F.explode("words").alias("word"))
     counts = (
         docs.select(F.explode_outer(words_of(F.col("text"))).alias("word"))
@@ -65,37 +67,67 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFra
         .where("rare.n > 0")
         .select(F.col("rare.word").alias("word"), F.col("rare.offset").alias("offset"), "words", "size", "items")
     )
-    keyed = written(keyed, "prefixes")
-    # outer, as Spark would otherwise infer a filter on the size and split every text twice
-    spread = docs.select("key", words_of(F.col("text")).alias("all")).select("key", "all", F.posexplode_outer("all").alias("at", "word"))
+    return written(keyed, "prefixes"), fits
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """``key, n_words, start, size, items``: every occurrence of a window in ``docs(key, text)``; rows that repeat a key have one text.
+
+    Every row of ``docs`` adds one row with a null start, so none is missing.
+    """
+    keyed, fits = prefixes(docs, benchmark, length)
+    split = docs.select("key", words_of(F.col("text")).alias("all"))
     start = F.col("at") - F.col("offset")
+    if not fits:
+        n_words = F.size("all")
+        places = split.select("key", n_words.alias("n_words"), F.posexplode("all").alias("at", "word"))
+        likely = places.join(keyed, "word").where((start >= 0) & (start + F.col("size") <= F.col("n_words"))).select("key", start.alias("start"), "size", "words", "items")
+        # a key's rows have one text, so candidates are found once for each row and met with each
+        likely = likely.distinct()
+        there = split.join(likely, "key").where(F.expr("slice(all, start + 1, size)") == F.col("words"))
+        none = F.lit(None)
+        rows = split.select("key", n_words.alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("size"), none.cast(keyed.schema["items"].dataType).alias("items"))
+        return rows.union(there.select("key", n_words.alias("n_words"), "start", "size", "items"))
+    # the row's own entry stands first; outer, as Spark would otherwise infer a filter on the size and split every text twice
+    entries = F.concat(F.array(F.lit(None).cast("string")), F.col("all"))
+    spread = split.select("key", "all", F.posexplode_outer(entries).alias("entry", "word")).withColumn("at", F.col("entry") - 1)
+    found = (start >= 0) & (start + F.col("size") <= F.size("all")) & (F.expr("slice(all, at - offset + 1, size)") == F.col("words"))
     return (
-        spread.join(_small(keyed, fits), "word")
-        .where((start >= 0) & (start + F.col("size") <= F.size("all")))
-        .where(F.expr("slice(all, at - offset + 1, size)") == F.col("words"))
-        .select("key", start.alias("start"), "size", "items")
+        spread.join(_small(keyed, fits), "word", "left")
+        .where((F.col("at") < 0) | found)
+        .select("key", F.size("all").alias("n_words"), F.when(F.col("at") >= 0, start).alias("start"), "size", "items")
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h")).alias("key"), F.col(text_col).alias("text"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, h``: the rows of ``docs``, by id and hash of the text (xxhash64), that contain a window."""
+    found = hits(_keyed(docs, id_col, text_col), benchmark, length)
+    return found.where("start IS NOT NULL").select("key.id", "key.h").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of ``docs``: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A row is known by its id and its text, so repeated ids with other texts are judged apart and
     repeated rows alike.  Null and empty texts have no words; items without words have no window;
-    a null id is an id like any other.  No other column is read.
+    a null id is an id like any other.  Very long texts are read whole, within one task each.  No
+    other column is read.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
-    found = hits(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, length)
+    found = hits(_keyed(docs, id_col, text_col), benchmark, length)
     # a document's hits come from one task, so the sets are all but final before the shuffle
-    per_doc = (
-        found.select("key", "items", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
-        .groupBy("key").agg(F.size(F.collect_set("at")).cast("long").alias("n_hit"), F.flatten(F.collect_set(F.col("items").cast("array<string>"))).alias("items"))
-        .select(F.col("key.id").alias("hit_id"), F.col("key.h").alias("hit_h"), "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
+    hit = F.col("start").isNotNull()
+    per_row = found.groupBy("key").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count(F.when(~hit, 1)).cast("int").alias("rows"),
+        F.collect_set(F.when(hit, F.struct("start", "size"))).alias("spans"), F.flatten(F.collect_set(F.when(hit, F.col("items").cast("array<string>")))).alias("items"),
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(per_doc, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    places = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.size - 1)))))").cast("long")
+    items = F.array_sort(F.array_distinct("items"))
+    each = per_row.select(F.col("key.id").alias("id"), "n_words", places.alias("n_hit"), items.alias("items"), "rows", F.explode(F.array_repeat(F.lit(1), F.col("rows"))))
+    return each.select(
+        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
