@@ -192,16 +192,16 @@ class Labeller:
         self.lanes = max(16, min(LANES, 4 * LANES // len(net.languages)))
 
     def _read(self, d: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """(step, lane, language): what each step adds to the logits; x(step, lane), of which the first ``active`` are read."""
+        """(language, step, lane): what each step adds to the logits; x(step, lane), of which the first ``active`` are read."""
         h = HIDDEN
         gates, new, u_gates, u_new, o = self.layers[d]
         lanes = x.shape[1]
         state = np.zeros((lanes, h), "f4")
         g, r, n, m = (np.empty((lanes, w), "f4") for w in (2 * h, 2 * h, h, h))
-        out = np.zeros((len(x), lanes, o.shape[1]), "f4")
+        out = np.zeros((o.shape[1], len(x), lanes), "f4")
         for i, k in enumerate(active.tolist()):
             s, a, b, c, e, byte = state[:k], g[:k], r[:k], n[:k], m[:k], x[i, :k]
-            np.take(gates, byte, 0, a)
+            np.take(gates, byte, 0, a, "clip")  # bytes are in range; this mode isn't buffered
             np.matmul(s, u_gates, b)
             a += b
             np.tanh(a, a)
@@ -209,13 +209,13 @@ class Labeller:
             a += 0.5
             np.matmul(s, u_new, e)
             e *= a[:, h:]
-            np.take(new, byte, 0, c)
+            np.take(new, byte, 0, c, "clip")
             c += e
             np.tanh(c, c)
             s -= c
             s *= a[:, :h]
             s += c
-            np.matmul(s, o, out[i, :k])
+            out[:, i, :k] = (s @ o).T
         return out
 
     def pooled(self, texts: list[str]) -> np.ndarray:
@@ -237,16 +237,16 @@ class Labeller:
             there = step < length
             forwards = data[np.where(there, first + step, 0)]
             turned = np.where(there, length - 1 - step, 0)
-            back = self._read("b", data[first + turned], active)
+            back = self._read("b", data[first + turned], active).reshape(len(self.net.languages), -1)
             logits = self._read("f", forwards, active)
-            logits += np.take_along_axis(back, turned[:, :, None], 0)
-            logits += self.net.p["b"]
-            logits -= logits.max(2, keepdims=True)
+            logits += back.take(turned * len(pick) + np.arange(len(pick)), 1)
+            logits += self.net.p["b"][:, None, None]
+            logits -= logits.max(0)
             np.exp(logits, logits)
             place = a[pick] + step
             core = (place >= lo[pick]) & (place < hi[pick])
-            logits *= (core / logits.sum(2))[:, :, None].astype("f4")
-            np.add.at(sums, owner[pick], logits.sum(0))
+            logits *= core / logits.sum(0)
+            np.add.at(sums, owner[pick], logits.sum(1, dtype="f8").T)
         return sums / np.maximum(sizes, 1)[:, None]
 
 
