@@ -279,16 +279,55 @@ def test_quality_keeps_good_and_drops_noise(spark):
     assert quality.classify(empty_docs(spark), labels).count() == 0
 
 
-def test_quality_sharded_lookup_equals_resident(spark, tmp_path):
-    table = quality.backoff_table(spark.createDataFrame([(t,) for t in random_texts(20, 6)], "text string"))
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("resident", [quality.RESIDENT_ROWS, 0])
+def test_quality_equals_a_plain_model_and_a_plain_quantile(spark, monkeypatch, resident):
+    """Perplexities, thresholds and verdicts of every document, by a worker's table and by joins over small blocks."""
+    monkeypatch.setattr(quality, "RESIDENT_ROWS", resident)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 300)
+    texts = [t[:50] for t in random_texts(60, 14)] + ["", None, "zzz QQQ \u4e2d", "a"]
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", 0, "", "", "") for i, t in enumerate(texts)] + [(3, "another text", "en", "s", 0, "", "", ""), (None, texts[5], "fr", "s", 0, "", "", "")]
+    labels = [(i, int(i % 4 != 1), int(i % 9 == 2)) for i in range(0, 60, 1)] + [(8, 0, 0), (None, 1, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    worst = defaultdict(lambda: (1, 0))
+    for i, q, x in labels:
+        worst[i] = (min(worst[i][0], q), max(worst[i][1], x))
+    good = {i for i, w in worst.items() if i is not None and w == (1, 0)}
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    trusted = [t.encode() for i, t, *_ in rows if i in good and not fold(i) and t is not None]
+    p = plain_kneser_ney(trusted, quality.ORDER)
+    want, held = [], defaultdict(list)
+    for i, t, lang, *_ in rows:
+        b = quality.START + (t or "").encode()
+        logs = [np.log(p(b[j - quality.ORDER + 1 : j + 1])) for j in range(len(quality.START), len(b))]
+        nats = -np.mean(logs) if logs else None
+        want.append((i, lang or "und", nats))
+        if nats is not None and i in good and fold(i):
+            held[lang or "und"].append(nats)
+    held[None] = [x for v in held.values() for x in v]
+    limit = {}
+    for lang, v in held.items():
+        bins = sorted(math.ceil(x / quality.BIN) for x in v)
+        limit[lang] = bins[math.ceil(quality.QUANTILE * len(bins)) - 1] * quality.BIN
+    assert len(held) > 2 and len(got) == len(want)
+    for r, (i, lang, nats) in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["lang"], r["perplexity"] or 0)), sorted(want, key=lambda w: (str(w[0]), w[1], w[2] or 0)), strict=True):
+        assert (r["doc_id"], r["lang"]) == (i, lang)
+        top = limit.get(lang, limit[None])
+        assert abs(r["threshold"] - math.exp(top)) < 1e-3
+        if nats is None:
+            assert r["perplexity"] is None and r["keep"]
+        else:
+            assert abs(math.log(r["perplexity"]) - nats) < 1e-4
+            assert r["keep"] == (nats <= top) or abs(nats - top) < 1e-4
+
 
-    g = np.array([r["g"] for r in table.select("g").collect()], "i8")
-    shard = F.udf(lambda x: int(quality.shard_of(np.array([x], "i8"))[0]), "int")
-    table.withColumn("shard", shard("g")).coalesce(1).write.parquet(f"{tmp_path}/model")
-    whole, parts = quality.Model(f"{tmp_path}/model", len(g)), quality.Model(f"{tmp_path}/model", quality.RESIDENT_ROWS + 1)
-    text = random_texts(3, 7)[0].encode()
-    assert np.allclose(whole.log_probabilities(text), parts.log_probabilities(text))
+def test_quality_by_joins_equals_resident(spark, monkeypatch):
+    docs, _ = odd_docs(spark, random_texts(60, 6))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one = sorted(map(str, quality.classify(docs, labels).collect()))
+    monkeypatch.setattr(quality, "RESIDENT_ROWS", 0)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    assert sorted(map(str, quality.classify(docs, labels).collect())) == one
 
 
 def test_url_rules_and_reputation(spark):

@@ -5,13 +5,17 @@ counted on all trusted documents: tasks pre-aggregate the n-grams they see, a sh
 n-gram.  Continuation counts of the lower orders, the counts of counts that give the three
 discounts of each order, context totals and interpolated probabilities are aggregations and joins
 over these tables, sharded by n-gram or context; a context has 256 followers at most, so no key is
-hot.  The result is a back-off table (n-gram, log probability, log back-off weight), written in
-shards by hash.
+hot.  The result is a back-off table (n-gram, log probability, log back-off weight).
 
-Scoring joins the n-grams of each document with the shards inside the tasks: a worker holds
-shards up to ``RESIDENT_ROWS`` rows; where the table has more, a batch of texts visits the shards
-one after another.  A document's perplexity is compared with a quantile, for its language, of
-trusted documents that the model was not trained on.
+Scoring joins the n-grams of documents with that table.  Documents are dealt into blocks of
+``BLOCK_BYTES``; a block's distinct n-grams are what is joined, each distinct n-gram of the corpus once
+and down the orders as it backs off, so hardly more than the texts is shuffled and no task holds the
+model.  A table of ``RESIDENT_ROWS`` rows at most is instead held by every worker, which spares the
+shuffle of the texts.  Both give the same perplexities.  A pair for every document and n-gram would be
+several times the input, as half of all 5-grams of a document are distinct.
+
+A document's perplexity is compared with a quantile, for its language, of trusted documents that the
+model was not trained on.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 ORDER = 5
-SHARDS = 16
-RESIDENT_ROWS = 12_000_000
+#: Rows of a back-off table that a worker holds (some 130 MB).
+RESIDENT_ROWS = 4_000_000
+#: Text of a block of documents.
+BLOCK_BYTES = 4 << 20
 #: Share of held-out trusted documents that pass, and the width of the histogram it is read from.
-QUANTILE, BIN = 0.995, 0.005
+QUANTILE, BIN = 0.98, 0.005
 #: What stands before a text.
 START = b"\n" * (ORDER - 1)
 
@@ -126,7 +132,8 @@ def backoff_table(texts: DataFrame) -> DataFrame:
     for t in parts[1:]:
         whole = whole.union(t)
     # the context of the first byte is the empty one, marked 1
-    return whole.union(weights[1].select(F.col("ctx").alias("g"), F.lit(None).cast("double"), F.log("gamma").alias("bow")))
+    whole = whole.union(weights[1].select(F.col("ctx").alias("g"), F.lit(None).cast("double"), F.log("gamma").alias("bow")))
+    return whole.select("g", F.col("logp").cast("float"), F.col("bow").cast("float"))
 
 
 class Shard:
@@ -164,37 +171,19 @@ class Shard:
         return at
 
 
-def shard_of(g: np.ndarray) -> np.ndarray:
-    return (g ^ g >> 8 ^ g >> 16 ^ g >> 24 ^ g >> 32) % SHARDS
-
-
 class Model:
-    """A written back-off table; one resident shard if all fits, else shard by shard."""
+    """A written back-off table, held by a worker."""
 
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
-        self.whole = self._load(None) if rows <= RESIDENT_ROWS else None
-
-    def _load(self, shard: int | None) -> Shard:
-        uri = self.path if "://" in self.path else f"file://{self.path.removeprefix('file:')}"
+    def __init__(self, path: str):
+        uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
         fs, place = pa.fs.FileSystem.from_uri(uri)
-        data = pa.dataset.dataset(place, filesystem=fs, format="parquet", partitioning="hive", exclude_invalid_files=False)
-        t = data.to_table(columns=["g", "logp", "bow"], filter=None if shard is None else pa.dataset.field("shard") == shard)
+        t = pa.dataset.dataset(place, filesystem=fs, format="parquet", exclude_invalid_files=False).to_table(columns=["g", "logp", "bow"])
         g, logp, bow = (t.column(c).to_numpy() for c in ("g", "logp", "bow"))
-        return Shard(g, np.where(np.isnan(logp), np.nan, logp).astype("f4"), np.nan_to_num(bow, nan=0.0).astype("f4"))
+        self.whole = Shard(g, logp.astype("f4"), np.nan_to_num(bow.astype("f4"), nan=0.0))
 
     def lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.whole is not None:
-            at = self.whole.find(g)
-            return self.whole.logp[at], self.whole.bow[at]
-        logp, bow, mine = np.empty(len(g), "f4"), np.empty(len(g), "f4"), shard_of(g)
-        for s in range(SHARDS):
-            pick = np.flatnonzero(mine == s)
-            if len(pick):
-                shard = self._load(s)
-                at = shard.find(g[pick])
-                logp[pick], bow[pick] = shard.logp[at], shard.bow[at]
-        return logp, bow
+        at = self.whole.find(g)
+        return self.whole.logp[at], self.whole.bow[at]
 
     def log_probabilities(self, text: bytes) -> np.ndarray:
         """Of every byte after those before it."""
@@ -217,16 +206,16 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def _model(path: str, rows: int) -> Model:
-    return Model(path, rows)
+def _model(path: str) -> Model:
+    return Model(path)
 
 
-def scores(docs: DataFrame, path: str, rows: int, keep: list[str], *, text_col: str) -> DataFrame:
-    """``keep`` and ``nats``, the mean negative log probability of a byte; null without bytes."""
+def scores(docs: DataFrame, path: str, keep: list[str], *, text_col: str) -> DataFrame:
+    """``keep`` and ``nats``, the mean negative log probability of a byte; null without bytes.  Workers hold the table."""
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path, rows)
+        model = _model(path)
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
             nats: list[float | None] = [None] * len(texts)
@@ -248,6 +237,66 @@ def scores(docs: DataFrame, path: str, rows: int, keep: list[str], *, text_col:
     return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, ", ".join([*kinds, "nats double"]))
 
 
+def gram_log_probabilities(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """``g, lp`` for wanted(g), n-grams of highest order: down the orders, each with two joins by n-gram."""
+    found = None
+    todo = wanted.select("g", F.col("g").alias("now"), F.lit(0.0).alias("sum"))
+    for k in range(ORDER, 0, -1):
+        hit = todo.join(table.select(F.col("g").alias("now"), "logp"), "now", "left")
+        hit = written(hit.select("g", "now", "sum", "logp"), f"backed-off{k}")
+        done = hit.where("logp IS NOT NULL").select("g", (F.col("sum") + F.col("logp").cast("double")).alias("lp"))
+        found = done if found is None else found.union(done)
+        left = hit.where("logp IS NULL").withColumn("ctx", F.shiftright("now", 8)).join(table.select(F.col("g").alias("ctx"), "bow"), "ctx", "left")
+        below = _suffix(F.col("now"), k - 1) if k > 1 else F.lit(1).cast("long")
+        todo = left.select("g", below.alias("now"), (F.col("sum") + F.coalesce(F.col("bow").cast("double"), F.lit(0.0))).alias("sum"))
+    return found.union(todo.select("g", F.col("sum") - math.log(256)))
+
+
+def scores_by_joins(docs: DataFrame, table: DataFrame, keep: list[str], *, text_col: str) -> DataFrame:
+    """As ``scores``, without a worker that holds the table."""
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    block = F.pmod(F.xxhash64(*keep, text_col), F.lit(total // BLOCK_BYTES + 1))
+    dealt = docs.select(block.alias("block"), *keep, F.col(text_col).alias("__text"))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at, size = None, 0
+
+        def out() -> pa.RecordBatch:
+            g = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), at), pa.int64()), pa.array(g)], ["block", "g"])
+
+        for batch in batches:
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (b != at or size > 2 * BLOCK_BYTES):
+                    yield out()
+                    held, size = [], 0
+                at = b
+                if t.is_valid:
+                    held.append(np.unique(grams(t.as_py().encode("utf-8", "replace"), ORDER)))
+                    size += len(held[-1])
+        if held:
+            yield out()
+
+    pairs = dealt.select("block", "__text").repartition("block").sortWithinPartitions("block").mapInArrow(grams_of, "block long, g long")
+    pairs = written(pairs, "block-grams")
+    known = gram_log_probabilities(pairs.select("g").distinct(), table)
+    answers = pairs.join(known, "g").select("block", "g", "lp")
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        g, lp = found.column("g").to_numpy(), found.column("lp").to_numpy()
+        order = np.argsort(g, kind="stable")
+        g, lp = g[order], lp[order]
+        nats: list[float | None] = []
+        for t in texts.column("__text"):
+            data = (t.as_py() or "").encode("utf-8", "replace")
+            nats.append(float(-lp[np.searchsorted(g, grams(data, ORDER))].mean()) if data else None)
+        return pa.Table.from_arrays([*(texts.column(c) for c in keep), pa.array(nats, pa.float64())], [*keep, "nats"])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, ", ".join([*kinds, "nats double"]))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """For every row of ``docs``: ``id_col, lang, perplexity, threshold, keep``.
 
@@ -262,16 +311,21 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     # labels grow with the corpus: they are merged, never broadcast, so every size has one plan
     trusted = rows.select("id", "text").where(~fold).join(good.hint("merge"), "id", "left_semi").select("text")
-    table = backoff_table(trusted)
-    shard = F.col("g")
-    for s in (8, 16, 24, 32):
-        shard = shard.bitwiseXOR(F.shiftright("g", s))
-    model = written(table.withColumn("shard", F.pmod(shard, F.lit(SHARDS)).cast("int")).repartition("shard"), "model")
-    path = model.inputFiles()[0].rpartition("/")[0] if model.inputFiles() else ""
-    n = model.count()
-    if not n:
-        return rows.select(F.col("id").alias(id_col), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    scored = written(scores(rows, path, n, ["id", "lang"], text_col="text"), "scores")
+    with scratch(docs.sparkSession):
+        model = written(backoff_table(trusted), "model")
+        n = model.count()
+        if not n:
+            return rows.select(F.col("id").alias(id_col), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        if n <= RESIDENT_ROWS:
+            scored = scores(rows, model.inputFiles()[0].rpartition("/")[0], ["id", "lang"], text_col="text")
+        else:
+            scored = scores_by_joins(rows, model, ["id", "lang"], text_col="text")
+        scored = written(scored, "scores", keep=True)
+        return _judged(scored, good, fold, id_col)
+
+
+def _judged(scored: DataFrame, good: DataFrame, fold: Column, id_col: str) -> DataFrame:
+    """Scores against the quantile of each language's held-out trusted documents."""
     held = scored.where(fold & F.col("nats").isNotNull()).join(good, "id", "left_semi").groupBy("lang", F.ceil(F.col("nats") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     held = written(held, "histogram")
     both = held.union(held.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
