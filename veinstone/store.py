@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,13 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made since each open ``scratch`` began, the innermost last.
 _open: list[list[str]] = []
+#: Folders that results of this process may still read; deleted when it ends.
+_left: list[str] = []
+
+
+@atexit.register
+def _tidy() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark = SparkSession.getActiveSession()
+        for path in _left if spark is not None else []:
+            remove(spark, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests, ``local[n]``)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="veinstone-")
+        made = tempfile.mkdtemp(prefix="veinstone-")
+        atexit.register(shutil.rmtree, made, True)
+        named = f"file://{made}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -44,12 +59,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, what: str, *, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, and safe from lost executors.
 
-    Within a ``scratch`` the table is deleted at the end of it, with ``keep`` at the end of the one around it.
+    Within a ``scratch`` the table is deleted at the end of it, with ``keep`` at the end of the one around it;
+    outside of any, when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    owners = _open[:-1] if keep else _open
-    if owners:
-        owners[-1].append(path)
+    owners = [_left, *(_open[:-1] if keep else _open)]
+    owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
