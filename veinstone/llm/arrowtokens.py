@@ -14,6 +14,7 @@ task has left behind is never read.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -36,11 +37,37 @@ MAX_KEPT_WORDS = 600_000
 CLOSING = frozenset(",.;:!?")
 
 
+# The normaliser and the pre-tokenizer of files whose words may be read apart.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def reads_words_apart(tokenizer) -> bool:
+    """Whether the file's rules are those that ``WordEncoder`` rests on."""
+    rules = json.loads(tokenizer.to_str())
+    return all(rules[k] == v for k, v in APART.items()) and all("<" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"]) and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
+
+
+class WholeEncoder:
+    """Ids of whole texts from the tokenizers library, for any other file."""
+
+    def __init__(self, tokenizer, dtype: str):
+        self.tokenizer, self.dtype = tokenizer, dtype
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 class WordEncoder(dict):
     """Ids of a text from the tokenizers library, through a memory of words.
 
-    The tokenizer of the file reads words apart: it drops white space, and neither its normaliser
-    nor its merges look across a space, tab or line end.  It also reads letters apart from the
+    By the rules of ``APART`` words are read apart: white space is dropped, and neither normaliser
+    nor merges look across a space, tab or line end.  Letters are also read apart from the
     mark that closes a word.  The memory has two generations: when the younger is full it becomes
     the older one, and what is used again moves back.
     """
@@ -75,12 +102,13 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str) -> WordEncoder | WholeEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return WordEncoder(tokenizer, "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+    encoder = WordEncoder if reads_words_apart(tokenizer) else WholeEncoder
+    return encoder(tokenizer, "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -234,8 +262,8 @@ def read_files(manifest: DataFrame, id_type: str, id_col: str = "doc_id") -> Dat
 def tokens_to_arrow(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files into the shared folder and read every document's place and digest back.
 
-    Null and empty texts have the end id alone.  No other column is read; an empty table has no
-    file.  Null ids come first; equal ids follow by text.
+    Null and empty texts have the end id alone; a very long text spans sequences and batches.  No
+    other column is read; an empty table has no file.  Null ids come first; equal ids follow by text.
     """
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     manifest = written(write_files(docs, tokenizer_path, end_id, folder, id_col=id_col, text_col=text_col), "manifest")
