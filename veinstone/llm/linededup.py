@@ -93,13 +93,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: s
 
     Lines are compared without white space around them; blank lines stay.  Lines of rows without
     a site count for no site and are removed like others.  Null texts stay null; a document may
-    end up empty.  Rows that repeat an id are treated alike: each keeps the lines whose first
-    document has that id.  A column ``n_removed`` of ``docs`` is replaced.
+    end up empty.  Very long texts are read whole, each within one task.  Rows that repeat an id are
+    treated alike: each keeps the lines whose first document has that id.  Other columns of ``docs``
+    keep their names and values, but a column ``n_removed``, which is replaced.
     """
-    drop = boilerplate(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col).select(F.col("key.id").alias("__id"), F.col("key.h").alias("__h"), F.col("drop").alias("__drop"))
-    joined = docs.drop("n_removed").join(drop, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left")
-    lines = F.split(text_col, "\n", -1)
-    chosen = F.map_from_arrays(F.col("__drop"), F.transform("__drop", lambda x: F.lit(True)))
+    drop = boilerplate(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col).select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "drop")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    of = lambda c: F.col("row").getField(c)
+    joined = rows.join(drop, of(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(of(text_col)) == F.col("h")), "left")
+    lines = F.split(of(text_col), "\n", -1)
+    chosen = F.map_from_arrays(F.col("drop"), F.transform("drop", lambda x: F.lit(True)))
     kept = F.array_join(F.filter(lines, lambda line, i: F.try_element_at(chosen, i).isNull()), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumns({text_col: text, "n_removed": F.coalesce(F.size("__drop").cast("long") * F.col("__drop").isNotNull().cast("long"), F.lit(0).cast("long"))}).drop("__id", "__h", "__drop")
+    text = F.when(F.col("drop").isNull(), of(text_col)).otherwise(kept)
+    n_removed = F.coalesce(F.size("drop").cast("long") * F.col("drop").isNotNull().cast("long"), F.lit(0).cast("long"))
+    return joined.select(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns if c != "n_removed"], n_removed.alias("n_removed"))
