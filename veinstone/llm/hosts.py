@@ -21,7 +21,7 @@ from .common import lower_ascii, written
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Suffixes of two labels; every other suffix is the last label.
+#: Suffixes of two labels, by default; every other suffix is the last label.  A fuller list is a parameter of ``judge``.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk"]
 #: A posterior bound above this share of bad pages blocks.
 THRESHOLD = 0.5
@@ -52,14 +52,14 @@ def rule_for(host: Column, path: Column, rules: list) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule.otherwise(none), verdict.otherwise(none))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _strength(groups: DataFrame, mean: str) -> DataFrame:
@@ -77,7 +77,7 @@ def _shrunk(groups: DataFrame, mean: str, out: str) -> DataFrame:
     return groups.crossJoin(F.broadcast(_strength(groups, mean))).withColumn(out, (F.col("s") * F.col(mean) + F.col("bad")) / (F.col("s") + F.col("n"))).withColumnRenamed("s", f"s_{out}")
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Posterior of every host of ``pages(id, host)``: host, n_pages, n, bad, bound.
 
     ``outcomes(id, bad)`` has 0 or 1 for some pages; of repeated ids the worst counts.  Without
@@ -89,7 +89,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         pages.join(known, "id", "left")
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}),
+        .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}),
         "host-counts",
     )
     seen = hosts.where("n > 0")
@@ -108,15 +108,16 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list = RULES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list = RULES, suffixes: list[str] = TWO_LABEL_SUFFIXES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col, host, path, rule, verdict`` for every row of ``pages``.
 
     Null urls and urls without ``://`` have empty host and path and are judged as the host ''.
-    Repeated ids and rows are all kept; no other column is read.
+    Repeated ids and rows are all kept; very long urls are read whole; no other column is read.
+    ``suffixes`` are the public suffixes of two labels.
     """
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    bound = reputation(rows.select("id", "host"), outcomes)
+    bound = reputation(rows.select("id", "host"), outcomes, suffixes)
     method = F.when(F.round("bound", 9) > THRESHOLD, "block").otherwise("allow")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     hosts = written(bound.crossJoin(F.broadcast(total)).select("host", method.alias("method"), (F.col("n_pages") >= HOT * F.col("total")).alias("hot")), "hosts")
