@@ -224,6 +224,17 @@ def test_word_encoder_equals_whole_texts():
         assert np.frombuffer(ids, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_tokenizer_files_read_whole_texts():
+    arrowtokens.word_encoder.cache_clear()
+    assert isinstance(arrowtokens.word_encoder(public_tokenizers.path("word_bpe_49k.json")), arrowtokens.WordEncoder)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, texts = arrowtokens.word_encoder(path), [*random_texts(10, 3), "", "Two  words\n\tand, more"]
+    assert isinstance(encoder, arrowtokens.WholeEncoder)
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == [w.ids for w in whole]
+    arrowtokens.word_encoder.cache_clear()
+
+
 def plain_kneser_ney(texts, order):
     """Probabilities straight from the definition."""
     counts = {order: Counter()}
@@ -689,6 +700,13 @@ def test_line_dedup(spark):
     assert linededup.remove_boilerplate(empty_docs(spark)).count() == 0
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, f"own {i}\nshared", f"s{i}", i, "d", "r") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id long, drop string, h string")
+    got = linededup.remove_boilerplate(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [(i, f"own {i}" + "\nshared" * (i == 0), f"s{i}", i, "d", "r") for i in range(9)]
+
+
 def test_line_dedup_counts_lines_whose_sites_share_registers(spark):
     """Eight sites on six, five, four and three registers are eight sites; seven are not."""
     from pyspark.sql import functions as F
