@@ -506,3 +506,29 @@ def test_scratch_deletes_what_was_made_in_it(spark):
             kept = store_module.written(spark.range(4), "b", keep=True)
         assert len(set(os.listdir(place)) - before) == 1 and kept.count() == 4
     assert set(os.listdir(place)) == before
+
+
+def test_supersessions_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(oplog, "CHUNK", 7)
+    rng = random.Random(2)
+    lines = [(i, f"{TS} | put | {rng.choice('aab')} -> {i}") for i in range(0, 120, 3)]
+    want, last = [], {}
+    for i, line in lines:
+        path = line.split(" | ")[2][0]
+        want.append((path, i, str(i), last.get(path)))
+        last[path] = str(i)
+    events = oplog.parse(spark.createDataFrame(lines, "seq long, line string"))
+    assert sorted(map(tuple, oplog.supersessions(events).collect())) == sorted(want)
+
+
+def test_log_is_read_in_splits(spark, tmp_path):
+    lines = [f"{TS} | put | path{i} -> {i}" for i in range(5000)]
+    (tmp_path / "log").write_text("\n".join(lines) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = oplog.read(spark, f"{tmp_path}/log")
+        assert found.rdd.getNumPartitions() > 4
+        assert [r["line"] for r in found.orderBy("seq").collect()] == lines
+        assert [r["detail"] for r in oplog.tail(found, 2).collect()] == ["path4998 -> 4998", "path4999 -> 4999"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

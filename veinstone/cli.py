@@ -98,6 +98,8 @@ def run(a: argparse.Namespace, spark: SparkSession) -> tuple[Any, int]:
             moved = w.dag.check_drift(a.path, a.cid)
             return {"drifted": moved}, int(moved and not a.json)
         case "sql", _:
+            if a.query.split(None, 1)[0].upper() in ("INSERT", "UPDATE", "DELETE"):  # a batch, one statement a line
+                return {"version": w.execute([x for x in a.query.split(";\n") if x.strip()])}, 0
             return _rows(w.versions.sql(a.query)), 0
         case "task", "create":
             return {"id": w.create_task(a.title, a.by)}, 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from ..functions.nodes import edge_kind, parse
-from ..store import written
+from ..store import scratch, written
 
 SEARCH_LIMIT = 20
 # The colours of node kinds in graph text.
@@ -44,19 +44,21 @@ def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> D
 
     depth is the least number of steps; a start is reached at 0.  The walk ends when a level is empty.
     """
-    level = written(starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct(), "level")
-    levels, depth = [level], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = level.join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth"))
-        # one hash aggregation both merges paths and leaves out what was reached before
-        first = reduce(DataFrame.union, levels, step).groupBy("start", "cid").agg(F.min("depth").alias("depth"))
-        level = written(first.where(F.col("depth") == depth), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        if len(levels) > MAX_LEVELS:
-            levels = [written(reduce(DataFrame.union, levels), "levels")]
+    with scratch(starts.sparkSession):
+        edges = written(edges.select("src", "dst"), "edges")
+        level = written(starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct(), "level", keep=True)
+        levels, depth = [level], 0
+        while max_depth is None or depth < max_depth:
+            depth += 1
+            step = level.join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth"))
+            # one hash aggregation both merges paths and leaves out what was reached before
+            first = reduce(DataFrame.union, levels, step).groupBy("start", "cid").agg(F.min("depth").alias("depth"))
+            level = written(first.where(F.col("depth") == depth), "level", keep=True)
+            if level.isEmpty():
+                break
+            levels.append(level)
+            if len(levels) > MAX_LEVELS:
+                levels = [written(reduce(DataFrame.union, levels), "levels", keep=True)]
     return reduce(DataFrame.union, levels)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +26,25 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, json, cid``: canonical nodes; every turn derives from the one before it, so
-    its address covers the whole conversation up to it."""
-    turns = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.sha2(F.col("text"), 256).alias("out")))).alias("turns"))
-    kind = "CASE x.role WHEN 'system' THEN 'context' WHEN 'user' THEN 'memory' WHEN 'assistant' THEN 'reasoning' ELSE 'task' END"
-    parents = "CASE WHEN size(acc) = 0 THEN '' ELSE concat('\"', element_at(acc, -1).cid, '\"') END"
-    json = f"""concat('{{"kind":"', {kind}, '","parents":[', {parents}, '],"output_cid":"', x.out, '","agent":"', x.role, '","timestamp":"{TS}","meta":[]}}')"""
-    fold = f"aggregate(turns, cast(array() as array<struct<turn:bigint,cid:string,json:string>>), (acc, x) -> array_append(acc, named_struct('turn', x.turn, 'cid', sha2({json}, 256), 'json', {json})))"
-    return turns.select("conv_id", F.explode(F.expr(fold)).alias("n")).select("conv_id", "n.turn", "n.json", "n.cid")
+    its address covers the whole conversation up to it.
+
+    Turns stream by in order and only the last address is held, so no conversation is gathered."""
+    said = t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sha2(F.col("text"), 256).alias("out"))
+    kinds = {"system": "context", "user": "memory", "assistant": "reasoning"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation = before = None
+        for batch in batches:
+            texts, cids = [], []
+            for conv, role, out in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "out")), strict=True):
+                parents = f'"{before}"' if conv == conversation and before else ""
+                texts.append(f'{{"kind":"{kinds.get(role, "task")}","parents":[{parents}],"output_cid":"{out}","agent":"{role}","timestamp":"{TS}","meta":[]}}')
+                cids.append(hashlib.sha256(texts[-1].encode()).hexdigest())
+                conversation, before = conv, cids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(cids, pa.string())], ["conv_id", "turn", "json", "cid"])
+
+    ordered = said.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "out")
+    return ordered.mapInArrow(run, f"conv_id {said.schema['conv_id'].dataType.simpleString()}, turn {said.schema['turn'].dataType.simpleString()}, json string, cid string")
 
 
 NODES_SQL = f"""WITH RECURSIVE c AS (

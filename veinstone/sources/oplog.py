@@ -33,9 +33,14 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a log in order; blank ones are left out."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(F.trim("line") != "")
+    """``seq, line`` of a log, which may be read in splits; blank lines are left out.
+
+    ``seq`` ascends with the place in the file: it is the byte at which a line's split starts, and the
+    number of lines of the split before it, which is less than the split's bytes.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("start"))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return lines.select((F.col("start") + row).alias("seq"), F.col("value").alias("line")).where(F.trim("line") != "")
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
@@ -54,6 +59,19 @@ def heads(events: DataFrame) -> DataFrame:
     return puts(events).groupBy("path").agg(F.max_by("cid", "seq").alias("cid"))
 
 
+#: Width in ``seq`` of what is put in order by one task.
+CHUNK = 1 << 20
+
+
 def supersessions(events: DataFrame) -> DataFrame:
-    """``path, seq, cid, superseded``: every put and the address that it replaced."""
-    return puts(events).withColumn("superseded", F.lag("cid").over(W.partitionBy("path").orderBy("seq")))
+    """``path, seq, cid, superseded``: every put and the address that it replaced.
+
+    A path's puts are put in order chunk by chunk, so no path has to fit into a task; what the first
+    put of a chunk replaced comes from the last ones of the chunks, one row each.
+    """
+    each = puts(events).withColumn("chunk", F.floor(F.col("seq") / CHUNK))
+    inside = W.partitionBy("path", "chunk").orderBy("seq")
+    each = each.withColumns({"before": F.lag("cid").over(inside), "n": F.row_number().over(inside)})
+    ends = each.groupBy("path", "chunk").agg(F.max_by("cid", "seq").alias("last"))
+    ends = ends.withColumn("entering", F.lag("last").over(W.partitionBy("path").orderBy("chunk"))).drop("last")
+    return each.join(ends, ["path", "chunk"]).select("path", "seq", "cid", F.when(F.col("n") == 1, F.col("entering")).otherwise(F.col("before")).alias("superseded"))
