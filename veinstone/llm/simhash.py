@@ -17,11 +17,11 @@ of the links it found, never all pairs.
 many bits for any block to agree.  There the top levels of the trie are replaced by min-hash keys
 (a pair of similarity s shares one of n keys with probability 1 - (1 - s)**n) and tries are joined
 under each key with the budget that the similarity implies.  What that connects is a loose group;
-within each loose group all pairs are compared exactly, by counting common shingles over an
-inverted index, and a spanning forest of the pairs that are near is returned.
+within each loose group all pairs that share a key are compared exactly, by counting common shingles
+over an inverted index, and a spanning forest of the pairs that are near is returned.
 
-**Large buckets.**  A bucket or loose group that is too large for a task is dealt as pairs of
-blocks, so every two of its rows still meet in one task.  Blocks are cut by size first: rows whose
+**Large buckets.**  A loose group that is too large for a task is dealt by key.  A bucket of a key
+that is too large is dealt as pairs of blocks, so every two of its rows still meet in one task.  Blocks are cut by size first: rows whose
 sizes alone rule the similarity out need not meet.  Tasks read sorted rows and hold one bucket.
 """
 
@@ -421,8 +421,9 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all of the sets (sorted, without repeats) that pairs of at least that Jaccard similarity connect.
+def spanning_links(sets: list[np.ndarray], similarity: float, keys: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all of the sets (sorted, without repeats) that pairs of at least that Jaccard
+    similarity and with one of their ``keys`` (set, key) in common connect.
 
     A search from set to set: an inverted index counts what the set at hand has in common with
     every set that isn't reached yet, exactly; what is near is reached and searched from later.
@@ -458,6 +459,7 @@ def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
             a, k = edges[t], edges[t + 1] - edges[t]
             common = np.bincount(owner[np.repeat(a, k) + _counted(k)], minlength=len(sets)) if k.any() else np.zeros(len(sets), "i8")
             found = np.flatnonzero(open_ & (common > 0) & (common * (1 + similarity) >= similarity * (sizes + sizes[x]) - 1e-9))
+            found = found[(keys[found] == keys[x]).any(1)]
             open_[found] = False
             left -= len(found)
             out += [(x, int(y)) for y in found]
@@ -466,20 +468,21 @@ def spanning_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _no_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows without those whose class and task, the last two columns, repeat: rows may share id and text."""
+    """Sorted rows without those whose class and task repeat: rows may share id and text."""
     last = None
     for batch in batches:
         if batch.num_rows:
-            at = np.stack([batch.column(i).to_numpy() for i in (1, 2)])
+            at = np.stack([batch.column(c).to_numpy() for c in ("class", "task")])
             new = np.concatenate([[last is None or (at[:, 0] != last).any()], (at[:, 1:] != at[:, :-1]).any(0)])
             last = at[:, -1].copy()
             yield batch if new.all() else batch.filter(pa.array(new))
 
 
 def _verified(members: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``a, b``: spanning links of the pairs within each bucket that have that similarity.
+    """``a, b``: spanning links of the pairs within each bucket that have that similarity and share a key.
 
-    members(bucket, class, n, id, h): classes and, for each, a row of ``rows(id, h, text)`` that has its text.
+    members(bucket, class, n, keys, id, h): classes and, for each, a row of ``rows(id, h, text)`` that has its text.
+    A bucket that is too large for a task is dealt by key first, as only pairs that share one are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,19 +491,24 @@ def _verified(members: DataFrame, rows: DataFrame, size: int, similarity: float)
             edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             a, b = [], []
             texts = t.column("text")
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                found = spanning_links([np.unique(shingle_hashes(texts[i].as_py(), size)) for i in range(lo, hi)], similarity)
+                found = spanning_links([np.unique(shingle_hashes(texts[i].as_py(), size)) for i in range(lo, hi)], similarity, keys[lo:hi])
                 a += [int(ids[lo + x]) for x, _ in found]
                 b += [int(ids[lo + y]) for _, y in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     weight = F.greatest(F.lit(1 / BLOCK), F.col("n") / F.lit(float(BLOCK_SHINGLES)))
+    large = written(members.groupBy("bucket").agg(F.sum(weight).alias("w")).where("w > 1").select("bucket"), "large-groups")
+    if not large.isEmpty():
+        by_key = members.join(large, "bucket", "left_semi").select("*", F.posexplode("keys").alias("i", "key")).withColumn("bucket", F.xxhash64("bucket", "i", "key"))
+        members = members.join(large, "bucket", "left_anti").unionByName(by_key.drop("i", "key"))
     dealt = written(_dealt(members, weight, _band(similarity)), "dealt")
-    wanted = dealt.select("class", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
+    wanted = dealt.select("class", "keys", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
     if dealt.count() <= BROADCAST_ROWS:  # the texts of the others then aren't shuffled at all
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id")))
-    return texts.select("text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
+    return texts.select("keys", "text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -520,7 +528,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         classes = made.groupBy("class").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
         classes = written(classes, "classes")
         loose = components(_candidates(classes, similarity))
-        members = loose.join(classes, F.col("node") == F.col("class")).select(F.col("root").alias("bucket"), "class", "n", "first.id", "first.h")
+        members = loose.join(classes, F.col("node") == F.col("class")).select(F.col("root").alias("bucket"), "class", "n", "keys", "first.id", "first.h")
         linked = components(_verified(members, rows, size, similarity))
         of = written(classes.select("class", "first").join(linked, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group"), "first"), "groups")
         of = of.join(of.groupBy("group").agg(F.min("first").alias("head")), "group").select("class", "head")
