@@ -54,11 +54,12 @@ def blob_verify(spark, d):
     return B.verify(A.damaged_blobs(spark, d))
 
 
-@query("SELECT sha256(text) AS cid, octet_length(encode(text))::BIGINT AS size FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 3")
+@query("SELECT sha256(text) AS cid, octet_length(encode(text))::BIGINT AS size FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL)")
 def blob_get(spark, d):
-    """Contents by their address."""
-    wanted = t(spark, d, "documents").where("text IS NOT NULL AND doc_id % 50 = 3").select(F.sha2("text", 256).alias("cid"))
-    return wanted.join(B.blob_sizes(B.blobs_of(t(spark, d, "documents"), F.col("text"))), "cid")
+    """The content of one address, and its size."""
+    docs = t(spark, d, "documents")
+    address = docs.where("text IS NOT NULL").agg(F.min_by(F.sha2("text", 256), "doc_id")).first()[0]
+    return B.blob_sizes(B.get(B.blobs_of(docs, F.col("text")), address or ""))
 
 
 @query("SELECT DISTINCT sha256(x) AS cid, strlen(x) AS size FROM (SELECT text AS x FROM conversations UNION ALL SELECT html FROM pages) WHERE sha256(x) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)")
@@ -367,6 +368,26 @@ def dot_edges(spark, d):
 # Scores
 
 
+_SCORE_ID = "sha256(concat_ws(chr(31), {node}, {agent}, {scorer}, {dimension}, ({value})::FLOAT::VARCHAR, {evidence}, lpad({at}::VARCHAR, 12, '0')))"
+
+
+@query(f"SELECT {_SCORE_ID.format(node="'doc:' || doc_id", agent='source', scorer="'label'", dimension="'correctness'", value='quality', evidence="'q' || quality", at='doc_id')} AS id, 'doc:' || doc_id AS node_cid, source AS agent, 'correctness' AS dimension, quality::DOUBLE AS value FROM labels JOIN documents USING (doc_id)")
+def score_records(spark, d):
+    """Scores as they are stored: checked, and named by a digest."""
+    both = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    rows = both.select(F.concat(F.lit("doc:"), "doc_id").alias("node_cid"), F.col("source").alias("agent"), F.lit("label").alias("scorer"), F.lit("Correctness").alias("dimension"), F.col("quality").alias("value"), F.concat(F.lit("q"), "quality").alias("evidence"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("created_at"))
+    return scores.record(rows).select("id", "node_cid", "agent", "dimension", F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'correctness' WHEN 'view' THEN 'completeness' ELSE 'style' END AS dimension, CASE WHEN event_id % 2 = 0 THEN 1.0 WHEN event_type = 'error' THEN 0.3::FLOAT::DOUBLE ELSE 0.0 END::DOUBLE AS value, CASE WHEN event_id % 2 = 0 THEN CASE event_type WHEN 'click' THEN 'build' WHEN 'view' THEN 'test' ELSE 'lint' END || ' passed' ELSE '1; 2; 3; 4; 5' END AS evidence FROM events WHERE event_type IN ('click', 'view', 'error')")
+def auto_scores(spark, d):
+    """Scores from what builds, tests and lint runs returned."""
+    kind = F.col("event_type")
+    step = F.when(kind == "click", "build").when(kind == "view", "test").when(kind == "error", "lint").otherwise("deploy")
+    e = t(spark, d, "events").select(F.col("event_id").cast("string").alias("node_cid"), F.lit("a").alias("agent"), step.alias("step"), (F.col("event_id") % 2).alias("exit_code"), F.lit("1\n2\n3\n4\n5\n6").alias("stderr"), F.lit(A.TS).alias("created_at"))
+    return scores.auto_scores(e).select(F.col("node_cid").cast("long").alias("event_id"), "dimension", F.col("value").cast("double").alias("value"), "evidence")
+
+
 @query(A.SCORES_SQL + "SELECT agent, dimension, round(avg(value), 3) AS avg_score, count(*) AS n FROM s GROUP BY 1, 2")
 def score_profile(spark, d):
     return scores.profile(A.document_scores(spark, d))
@@ -574,6 +595,31 @@ def agents_upsert(spark, d):
     return tasks.register_agents(rows.select("name", F.array_join("capabilities", ",").alias("capabilities"), "updated_at").limit(0), rows).select("name", "capabilities")
 
 
+@query("SELECT sha256(o_orderpriority || chr(31) || o_custkey || chr(31) || o_orderkey) AS id, o_orderpriority AS title, o_orderstatus AS status, o_custkey::VARCHAR AS created_by, o_orderkey::VARCHAR AS created_at FROM orders")
+def task_list(spark, d):
+    by, at = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    rows = t(spark, d, "orders").select(tasks.task_id(F.col("o_orderpriority"), by, at).alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("assigned_to"), by.alias("created_by"), at.alias("created_at"))
+    return tasks.list_tasks(rows).drop("assigned_to")
+
+
+@query("SELECT 's' || s_suppkey AS name, '' AS capabilities FROM supplier UNION ALL SELECT * FROM (VALUES ('codex', 'x,y'), ('copilot', 'code,suggestion')) WHERE (SELECT count(*) FROM supplier) > 0 AND col0 IS NOT NULL")
+def agent_list(spark, d):
+    """Presets of which one is registered anew, and an agent for each supplier."""
+    known = tasks.presets(spark, "1").where("name IN ('codex', 'copilot')")
+    row = lambda name, said: (F.col(name) if name == "name" else F.lit(said)).alias(name)
+    fresh = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name")).union(spark.createDataFrame([("codex",)], "name string"))
+    rows = fresh.select("name", F.lit("").alias("cli_command"), F.lit(False).alias("mcp_capable"), F.when(F.col("name") == "codex", F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>")).alias("capabilities"), row("model", ""), row("updated_at", "2"))
+    return tasks.list_agents(tasks.register_agents(known, rows)).select("name", "capabilities")
+
+
+@query(_LINKS_SQL + "SELECT from_cid, to_cid, relation FROM l UNION ALL SELECT to_cid, from_cid, 'copied' FROM l")
+def soft_links_insert(spark, d):
+    """Links that are added to others; a repeated key would fail."""
+    links = _links(spark, d)
+    more = links.select(F.col("to_cid").alias("from_cid"), F.col("from_cid").alias("to_cid"), F.lit("copied").alias("relation"), "created_at")
+    return projection.insert(links, more, ["from_cid", "to_cid", "relation"]).select("from_cid", "to_cid", "relation")
+
+
 @query("SELECT source AS path, arg_max(sha256(text), doc_id) AS cid FROM documents GROUP BY 1")
 def context_files(spark, d):
     rows = t(spark, d, "documents").select(F.col("source").alias("path"), F.sha2("text", 256).alias("cid"), F.col("doc_id").alias("tracked_at"))
