@@ -464,7 +464,7 @@ def plain_groups(docs, size=5, similarity=0.8):
     return sorted(((i, root(i)) for i in sets if root(i) != i), key=str)
 
 
-@pytest.mark.parametrize("block, shingles", [(10_000, 4_000_000), (4, 4_000_000), (10_000, 300), (3, 100)])
+@pytest.mark.parametrize("block, shingles", [(10_000, 4_000_000), (4, 4_000_000), (10_000, 300), (3, 100), (11, 100)])
 def test_near_groups_around_the_threshold(spark, monkeypatch, block, shingles):
     """Texts of 50 to 100 words with 1 to 4 changes lie on both sides of 0.8; buckets that are dealt in blocks lose no link."""
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -506,8 +506,9 @@ def test_near_groups_writes_few_links_for_a_dense_group_below_the_threshold(spar
         places = rng.sample(range(200), 3)
         rows.append((i, " ".join(word() if j in places else w for j, w in enumerate(base))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    made = simhash.sketches(docs.selectExpr("doc_id id", "xxhash64(text) h", "text"), 5).withColumnRenamed("id", "class")
-    assert simhash._candidates(made, 0.8).count() <= 8 * len(rows)
+    plain = docs.selectExpr("doc_id id", "xxhash64(text) h", "text")
+    made = simhash.sketches(plain, 5).selectExpr("*", "id class")
+    assert simhash._candidates(made, plain, 5, 0.8).count() <= 8 * len(rows)
     assert heads(docs) == plain_groups(rows)
 
 
@@ -530,6 +531,28 @@ def test_near_groups_equal_brute_force_under_a_hot_key(spark, monkeypatch):
     assert got == want  # measured: nothing is lost
 
 
+def test_a_key_of_texts_with_a_common_passage_is_cut_without_losing_links(spark, monkeypatch):
+    """400 texts in one bucket that share a passage: cut by rare shingles, and every near pair still meets."""
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    passage, rows = [word() for _ in range(40)], []
+    for i in range(400):
+        w = rows[-1][1].split() if i % 8 == 1 else passage + [word() for _ in range(40)]
+        if i % 8 == 1:
+            w[rng.randrange(40, 80)] = word()
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id id", "xxhash64(text) h", "text")
+    made = simhash.sketches(docs, 5).selectExpr("*", "id class", "7L bucket").drop("fp", "keys")
+    cut = simhash._by_rare_shingles(made, docs, 5, 0.8).select("bucket", "class").collect()
+    at = defaultdict(set)
+    for r in cut:
+        at[r["bucket"]].add(r["class"])
+    assert sum(len(v) ** 2 for v in at.values()) < 400**2 / 20
+    near = plain_groups(rows)
+    assert len(near) == 50 and all(any({a, b} <= v for v in at.values()) for a, b in near)
+
+
 def test_near_groups_leave_no_folder(spark):
     place = shared_dir(spark).removeprefix("file://")
     before = set(os.listdir(place))

@@ -20,8 +20,9 @@ under each key with the budget that the similarity implies.  What that connects
 within each loose group all pairs that share a key are compared exactly, by counting common shingles
 over an inverted index, and a spanning forest of the pairs that are near is returned.
 
-**Large buckets.**  A loose group that is too large for a task is dealt by key.  A bucket of a key
-that is too large is dealt as pairs of blocks, so every two of its rows still meet in one task.  Blocks are cut by size first: rows whose
+**Large buckets.**  A loose group that is too large for a task is dealt by key.  A key that too many
+texts share, say by a common passage, is cut by their rarest shingles, a prefix filter that loses no
+link.  What is still too large is dealt as pairs of blocks, so every two of its rows meet in one task.  Blocks are cut by size first: rows whose
 sizes alone rule the similarity out need not meet.  Tasks read sorted rows and hold one bucket.
 """
 
@@ -405,8 +406,48 @@ def _loose_links(group: np.ndarray, ids: np.ndarray, n: np.ndarray, fp: np.ndarr
     return [(int(names[i]), int(names[j])) for i, j in out]
 
 
-def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: spanning links, bucket by bucket, of classes(class, n, fp, keys) that share a key and may be near."""
+def _at_rows(docs: DataFrame, wanted: DataFrame) -> Column:
+    """Whether a row of ``docs(id, h, text)`` is the one of ``wanted(w_id, w_h)``."""
+    return (docs["h"] == wanted["w_h"]) & docs["id"].eqNullSafe(wanted["w_id"])
+
+
+def _by_rare_shingles(rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``rows(bucket, class, n, id, h, ...)`` where large buckets are cut by shingles, if that lessens the pairs.
+
+    Within a bucket, shingles are ordered by how many of its classes have them.  Sets of that similarity
+    have one of the first ``n - ceil(similarity * n) + 1`` in common, so no link is lost, and what only
+    shares a common passage is parted.  Shingles of a single class are counted, not dealt.  A bucket of
+    near copies, which shares nearly all shingles, is left as it is.
+    """
+    large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "hot-keys")
+    if large.isEmpty():
+        return rows
+    hot = written(rows.join(large.select("bucket"), "bucket", "left_semi"), "hot-rows")
+    wanted = hot.select("bucket", "class", "n", F.col("id").alias("w_id"), F.col("h").alias("w_h"))
+    texts = docs.join(wanted, _at_rows(docs, wanted)).groupBy("bucket", "class", "n").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.unique(shingle_hashes(batch.column(3)[i].as_py(), size)).view("i8")
+                same = [pa.array(np.full(len(h), batch.column(c)[i].as_py()), pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(h)], ["bucket", "class", "n", "shingle"])
+
+    has = written(texts.mapInArrow(run, "bucket long, class long, n long, shingle long"), "hot-shingles")
+    counts = has.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = has.join(counts, ["bucket", "shingle"]).groupBy("bucket", "class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("by"))
+    dealt = shared.select("bucket", "class", F.explode(F.slice("by", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("bucket", "class", "x.shingle")
+    dealt = written(dealt, "rare-shingles")
+    pairs = dealt.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("bucket").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    less = large.join(pairs, "bucket", "left").where(F.coalesce("pairs", F.lit(0.0)) < F.col("m").cast("double") * F.col("m")).select("bucket")
+    less = written(less, "cut-buckets")
+    cut = dealt.join(less, "bucket", "left_semi").join(hot, ["bucket", "class"]).withColumn("bucket", F.xxhash64("bucket", "shingle")).select(*rows.columns)
+    return rows.join(less, "bucket", "left_anti").select(*rows.columns).unionByName(cut)
+
+
+def _candidates(classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: spanning links, bucket by bucket, of classes(class, n, fp, keys, id, h) that share a key and may be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_task(batches, TASK_ROWS):
@@ -415,9 +456,9 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
             found = _loose_links(group, ids, n, fp, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    keyed = classes.select("class", "n", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], F.posexplode("keys").alias("i", "key"))
-    rows = keyed.withColumn("bucket", F.xxhash64("i", "key")).drop("i", "key")
-    dealt = _dealt(rows, F.lit(1 / BLOCK), _band(similarity))
+    keyed = classes.select("class", "n", "id", "h", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], F.posexplode("keys").alias("i", "key"))
+    rows = _by_rare_shingles(keyed.withColumn("bucket", F.xxhash64("i", "key")).drop("i", "key"), docs, size, similarity)
+    dealt = _dealt(rows.drop("id", "h"), F.lit(1 / BLOCK), _band(similarity))
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
@@ -507,7 +548,7 @@ def _verified(members: DataFrame, rows: DataFrame, size: int, similarity: float)
     wanted = dealt.select("class", "keys", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
     if dealt.count() <= BROADCAST_ROWS:  # the texts of the others then aren't shuffled at all
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id")))
+    texts = rows.join(wanted, _at_rows(rows, wanted))
     return texts.select("keys", "text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
 
 
@@ -527,8 +568,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         rank = F.struct(F.col("id").isNull().alias("last"), "id", "h")
         classes = made.groupBy("class").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
         classes = written(classes, "classes")
-        loose = components(_candidates(classes, similarity))
-        members = loose.join(classes, F.col("node") == F.col("class")).select(F.col("root").alias("bucket"), "class", "n", "keys", "first.id", "first.h")
+        placed = classes.select("class", "n", "fp", "keys", "first.id", "first.h")
+        loose = components(_candidates(placed, rows, size, similarity))
+        members = loose.join(placed, F.col("node") == F.col("class")).select(F.col("root").alias("bucket"), "class", "n", "keys", "id", "h")
         linked = components(_verified(members, rows, size, similarity))
         of = written(classes.select("class", "first").join(linked, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group"), "first"), "groups")
         of = of.join(of.groupBy("group").agg(F.min("first").alias("head")), "group").select("class", "head")
