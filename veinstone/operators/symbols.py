@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from ..functions.address import cid
+
 Symbol = tuple[str, str, int, int, str | None]
 
 SKIPPED_DIRS = ("target", "node_modules", "__pycache__")
@@ -233,12 +235,12 @@ def query(found: DataFrame, text: str) -> DataFrame:
     return found.where(F.contains(F.lower("name"), F.lower(F.lit(text))))
 
 
-def scan_dir(spark, path: str) -> DataFrame:
-    """Source files under a folder, as ``file_path, file_cid, source``; hidden, build and package
+def scan_dir(spark, path: str, method: str = "sha256") -> DataFrame:
+    """Source files at or under a path, as ``file_path, file_cid, source``; hidden, build and package
     folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,rs}").load(path)
     inner = F.replace("path", F.lit(path), F.lit(""))
     skipped = F.lit(False)
     for d in SKIPPED_DIRS:
         skipped = skipped | F.contains(inner, F.lit(f"/{d}/"))
-    return files.where(~skipped & ~inner.rlike(r"/\.[^/]+/")).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_cid"), F.col("content").cast("string").alias("source"))
+    return files.where(~skipped & ~inner.rlike(r"/\.[^/]+/")).select(F.col("path").alias("file_path"), cid(F.col("content"), method).alias("file_cid"), F.col("content").cast("string").alias("source"))

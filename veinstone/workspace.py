@@ -338,19 +338,31 @@ class Workspace:
         return [r.asDict() for r in found.orderBy("path").collect()]
 
     def scan(self, path: str) -> int:
-        """Symbols of a file or folder into the projection; scanned files are tracked."""
-        files = [path] if os.path.isfile(path) else [r["file_path"].removeprefix("file:") for r in symbols.scan_dir(self.spark, path).select("file_path").collect()]
-        found = []
-        for file in files:
-            address = self.track(file, "cdom")
-            with open(file, encoding="utf-8", errors="replace") as f:
-                source = f.read()
-            got = list(symbols.symbols(source, symbols.detect_language(file)))
-            self.store.put(json.dumps({"file_path": file, "language": symbols.detect_language(file), "content_cid": address, "symbols": [dict(zip(("name", "kind", "start_line", "end_line", "parent"), s, strict=True)) for s in got]}))
-            found += [(int(hash_bytes(f"{file}:{i}".encode())[:15], 16), file, address, *s[:4], s[4] or "", now()) for i, s in enumerate(got)]
-        if found:
-            self.versions.commit({"cdom_symbols": projection.sync_symbols(self.table("cdom_symbols"), self.rows("cdom_symbols", found))}, f"scan {path}")
-        return len(found)
+        """Symbols of a file or folder into the projection; scanned files are tracked.
+
+        Files are read, addressed and taken apart by tasks; contents and a snapshot of each file's
+        symbols are stored.
+        """
+        at, method = now(), self.store.method
+        with scratch(self.spark):
+            files = symbols.scan_dir(self.spark, os.path.abspath(path), method)
+            files = written(files.withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "/")), "files")
+            found = written(symbols.extract(files), "symbols")
+            one = F.struct("start_line", F.negative("end_line").alias("last"), "name", "kind", "end_line", F.col("parent_symbol").alias("parent"))
+            of = found.groupBy("file_path").agg(F.array_sort(F.collect_list(one)).alias("symbols"))
+            language = symbols.language_of(F.col("file_path")).alias("language")
+            shown = F.transform("symbols", lambda x: F.struct(*[x[c].alias(c) for c in ("name", "kind", "start_line", "end_line", "parent")]))
+            kept = files.join(of, "file_path", "left").select(F.to_json(F.struct("file_path", language, F.col("file_cid").alias("content_cid"), F.coalesce(shown, F.array().cast(S.SYMBOL)).alias("symbols"))).alias("data"))
+            both = files.select(F.col("source").alias("data")).union(kept)
+            self.store.add(blobs.blobs_of(both, F.col("data"), method))
+            tracked = files.select(F.col("file_path").alias("path"), F.col("file_cid").alias("cid"), F.lit(at).alias("tracked_at"), F.lit("cdom").alias("agent"))
+            place = F.conv(F.substring(F.sha2(F.concat_ws(":", "file_path", "start_line", "end_line", "name", "kind"), 256), 1, 15), 16, 10).cast("long")
+            rows = found.select(place.alias("id"), "file_path", "file_cid", "name", "kind", "start_line", "end_line", F.coalesce("parent_symbol", F.lit("")).alias("parent_symbol"), F.lit(at).alias("scanned_at"))
+            tables = {"context_files": projection.replace_into(self.table("context_files"), tracked, ["path"], ["tracked_at"]), "cdom_symbols": projection.sync_symbols(self.table("cdom_symbols"), rows)}
+            self.versions.commit(tables, f"scan {path}")
+            n, seen = found.count(), files.count()
+        self.log("put", f"{path} -> {seen} files")
+        return n
 
     # scores, links, tasks, agents
     def score(self, node: str, agent: str, scorer: str, dimension: str, value: float, evidence: str = "") -> None:
