@@ -37,7 +37,9 @@ ORDER = 5
 #: Rows of a back-off table that a worker holds (some 130 MB).
 RESIDENT_ROWS = 4_000_000
 #: Text of a block of documents.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+#: n-grams that a worker gathers before it leaves out repeats.
+HELD_GRAMS = 4_000_000
 #: Share of held-out trusted documents that pass, and the width of the histogram it is read from.
 QUANTILE, BIN = 0.98, 0.005
 #: What stands before a text.
@@ -260,21 +262,28 @@ def scores_by_joins(docs: DataFrame, table: DataFrame, keep: list[str], *, text_
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        at, size = None, 0
+        at, size, most = None, 0, HELD_GRAMS
+
+        def distinct() -> np.ndarray:
+            return np.unique(np.concatenate(held))
 
         def out() -> pa.RecordBatch:
-            g = np.unique(np.concatenate(held))
+            g = distinct()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), at), pa.int64()), pa.array(g)], ["block", "g"])
 
         for batch in batches:
             for b, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held and (b != at or size > 2 * BLOCK_BYTES):
+                if held and b != at:
                     yield out()
-                    held, size = [], 0
+                    held, size, most = [], 0, HELD_GRAMS
                 at = b
                 if t.is_valid:
                     held.append(np.unique(grams(t.as_py().encode("utf-8", "replace"), ORDER)))
                     size += len(held[-1])
+                    if size > most:
+                        held = [distinct()]
+                        size = len(held[0])
+                        most = max(HELD_GRAMS, 2 * size)
         if held:
             yield out()
 
@@ -304,7 +313,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     labels contradict each other the worst counts.  Four fifths of them, by their id, train the
     model; the rest give each language's threshold.  A language without such documents takes the
     threshold of all of them, and without any trusted document everything is kept.  Null and empty
-    texts have no perplexity and are kept; a null language is 'und'.
+    texts have no perplexity and are kept; a null language is 'und'.  Very long texts are read whole,
+    each within one task; repeated rows are judged alike, and rows with a null id are not trusted.
+    Other columns are not read.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 AND x = 0").select(F.col("doc_id").alias("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
