@@ -338,6 +338,7 @@ def test_quality_by_joins_equals_resident(spark, monkeypatch):
     one = sorted(map(str, quality.classify(docs, labels).collect()))
     monkeypatch.setattr(quality, "RESIDENT_ROWS", 0)
     monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(quality, "HELD_GRAMS", 100)
     assert sorted(map(str, quality.classify(docs, labels).collect())) == one
 
 
@@ -789,6 +790,29 @@ def test_decontamination(spark, monkeypatch, limit):
     assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_by_shuffle_is_linear_in_words(spark, monkeypatch):
+    """Places of words travel without the words of their document, and each document is shuffled once."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(20)], "key long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(12)))], "item_id long, text string")
+    plan = decontam.hits(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    # what goes into the join by word: a row for each place, without the array of words
+    assert len(re.findall(r"Project \[key#\d+L, size\(all#\d+, false\) AS n_words#\d+, at#\d+, word#\d+\]", plan)) == 1
+    assert plan.count("split(translate(text") == 3 and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination_of_rows_without_an_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, f"x {item}"), (None, f"x {item}"), (None, "clean"), (1, f"{item} {item}"), (1, None), (None, None)]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        got = sorted(((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.decontaminate(docs, items).collect()))
+        assert got == sorted([("None", 13, 12, 1, True)] * 2 + [("None", 1, 0, 0, False), ("1", 24, 24, 1, True), ("1", 0, 0, 0, False), ("None", 0, 0, 0, False)])
+
+
 def test_language_gradients():
     net = langid.Network(["a", "b", "c"], 3)
     net.p = {k: v.astype("f8") for k, v in net.p.items()}

@@ -80,7 +80,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFra
     start = F.col("at") - F.col("offset")
     if not fits:
         n_words = F.size("all")
-        places = split.select("key", n_words.alias("n_words"), F.posexplode("all").alias("at", "word"))
+        # outer, as Spark would otherwise infer a filter on the size and split every text twice
+        places = split.select("key", n_words.alias("n_words"), F.posexplode_outer("all").alias("at", "word"))
         likely = places.join(keyed, "word").where((start >= 0) & (start + F.col("size") <= F.col("n_words"))).select("key", start.alias("start"), "size", "words", "items")
         # a key's rows have one text, so candidates are found once for each row and met with each
         likely = likely.distinct()
@@ -88,7 +89,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFra
         none = F.lit(None)
         rows = split.select("key", n_words.alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("size"), none.cast(keyed.schema["items"].dataType).alias("items"))
         return rows.union(there.select("key", n_words.alias("n_words"), "start", "size", "items"))
-    # the row's own entry stands first; outer, as Spark would otherwise infer a filter on the size and split every text twice
+    # the row's own entry stands first; outer for the same reason
     entries = F.concat(F.array(F.lit(None).cast("string")), F.col("all"))
     spread = split.select("key", "all", F.posexplode_outer(entries).alias("entry", "word")).withColumn("at", F.col("entry") - 1)
     found = (start >= 0) & (start + F.col("size") <= F.size("all")) & (F.expr("slice(all, at - offset + 1, size)") == F.col("words"))
