@@ -701,6 +701,19 @@ def test_pii_query_and_long_inputs(spark):
     assert pii.digest(pii.find_pii(empty_docs(spark))).count() == 0
 
 
+def plain_lines(rows, min_sites=8):
+    """Texts of (id, text, site) rows without the lines that spread over so many sites, but in the first document that has them."""
+    sites, first = defaultdict(set), {}
+    for i, t, site in rows:
+        for line in (t or "").split("\n"):
+            k = line.strip(" \t\r")
+            if k and site is not None:
+                sites[k].add(site)
+            if k and i is not None:
+                first[k] = min(first.get(k, i), i)
+    return [None if t is None else "\n".join(x for x in t.split("\n") if not ((k := x.strip(" \t\r")) and len(sites[k]) >= min_sites and i != first.get(k))) for i, t, _ in rows]
+
+
 def test_line_dedup(spark):
     hot = "All rights reserved."
     rows = [(i, f"own line {i}\n {hot}\n\nnear {i % 3}", "en", f"s{i % 20}" if i % 7 else None, 0, "", "", "") for i in range(60)]
@@ -917,6 +930,27 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_pipeline_equals_plain_stages(spark):
+    """Five plain stages over all documents of sf0.01; the trained network is the only thing that both share."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labeller = langid.Labeller(langid.train(langid.sample(docs, id_col="doc_id", text_col="text", lang_col="lang")))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    rows = [r for r in rows if r[1] and any(map(str.isalpha, r[1])) and labeller.pooled([r[1]])[0].max() >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    rows = [(r[0], t) for r, t in zip(rows, plain_lines(rows), strict=True)]
+    gone = {i for i, _ in plain_groups(rows)}
+    rows = [r for r in rows if r[0] not in gone]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    dirty = {r[0] for r in plain_decontaminate(rows, items) if r[-1]}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(rank_file()), special_tokens={})
+    want = sorted((i, np.array(reference.encode_ordinary(t), "<u4").tobytes()) for i, t in rows if str(i) not in dirty)
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect())
+    assert gone and dirty and len(want) > 700
+    assert got == want
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_queries_equal_sql(spark, scale):
     import duckdb
