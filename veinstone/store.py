@@ -27,9 +27,11 @@ def _tidy() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests, ``local[n]``)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
         made = tempfile.mkdtemp(prefix="veinstone-")
         atexit.register(shutil.rmtree, made, True)
         named = f"file://{made}"
