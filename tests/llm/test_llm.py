@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veinstone.llm import arrowtokens, bpe, components, decontam, hosts, langid, linededup, media, pii, quality, simhash
@@ -368,7 +369,10 @@ def plain_fingerprint(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_simhash_components_equal_brute_force(spark):
+@pytest.mark.parametrize("block, pivots", [(10_000, 64), (2, 0), (3, 1)])
+def test_simhash_components_equal_brute_force(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     texts = random_texts(80, 3) + ["a b c", "A B c", "one", "one two"]
     docs, rows = odd_docs(spark, texts)
     for budget in (2, 5):
@@ -465,10 +469,11 @@ def plain_groups(docs, size=5, similarity=0.8):
     return sorted(((i, root(i)) for i in sets if root(i) != i), key=str)
 
 
-@pytest.mark.parametrize("block, shingles", [(10_000, 4_000_000), (4, 4_000_000), (10_000, 300), (3, 100), (11, 100)])
-def test_near_groups_around_the_threshold(spark, monkeypatch, block, shingles):
+@pytest.mark.parametrize("block, shingles, pivots", [(10_000, 4_000_000, 64), (4, 4_000_000, 1), (10_000, 300, 2), (3, 100, 0), (11, 100, 1)])
+def test_near_groups_around_the_threshold(spark, monkeypatch, block, shingles, pivots):
     """Texts of 50 to 100 words with 1 to 4 changes lie on both sides of 0.8; buckets that are dealt in blocks lose no link."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
     rng = random.Random(16)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
@@ -532,6 +537,27 @@ def test_near_groups_equal_brute_force_under_a_hot_key(spark, monkeypatch):
     assert got == want  # measured: nothing is lost
 
 
+@pytest.mark.parametrize("apart", [0, 30])
+def test_a_large_bucket_of_copies_costs_its_blocks(spark, monkeypatch, apart):
+    """600 rows in one bucket, all alike but some: tasks grow with the blocks, and what is connected is what all pairs connect."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    monkeypatch.setattr(simhash, "PIVOTS", 5)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 1)
+    far = lambda i: 600 - apart <= i
+    rows = spark.createDataFrame([(i, 10 + i % 7, 1000 * i if far(i) else i % 2, 5) for i in range(600)], "class long, n int, x long, bucket long")
+    dealt = []
+
+    def find(df):
+        dealt.append(df.groupBy("task").count().collect())
+        pairs = df.select(F.col("class").alias("a"), F.col("x").alias("p"), "task").join(df.select(F.col("class").alias("b"), F.col("x").alias("q"), "task"), "task")
+        return pairs.where("a > b AND abs(p - q) <= 1").select("a", "b")
+
+    band = F.col("n") % 1
+    got = {r["node"]: r["root"] for r in components.components(simhash._links(rows, F.lit(1 / 20), band, find)).collect()}
+    assert got == {i: 0 for i in range(600 - apart)}
+    assert len(dealt) == (2 if apart else 1) and sum(len(x) for x in dealt) <= 30 + 3 * 30 and sum(r["count"] for x in dealt for r in x) < 600 * 8
+
+
 def test_a_key_of_texts_with_a_common_passage_is_cut_without_losing_links(spark, monkeypatch):
     """400 texts in one bucket that share a passage: cut by rare shingles, and every near pair still meets."""
     monkeypatch.setattr(simhash, "BLOCK", 50)
@@ -746,7 +772,6 @@ def test_line_dedup_keeps_clashing_columns(spark):
 
 def test_line_dedup_counts_lines_whose_sites_share_registers(spark):
     """Eight sites on six, five, four and three registers are eight sites; seven are not."""
-    from pyspark.sql import functions as F
 
     sites = spark.range(20_000).select(F.concat(F.lit("site"), "id").alias("site")).withColumn("h", F.lit(1))
     register = F.xxhash64("site", F.lit("site")).bitwiseAND((1 << linededup.PRECISION) - 1)
@@ -760,8 +785,6 @@ def test_line_dedup_counts_lines_whose_sites_share_registers(spark):
 
 
 def test_hyperloglog_estimates(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 5, 300, 40_000):
         occ = spark.range(n).select(F.lit(1).alias("h"), F.col("id").cast("string").alias("site"))
         (r,) = linededup.estimates(linededup.registers(occ.union(occ))).collect()

@@ -22,7 +22,7 @@ over an inverted index, and a spanning forest of the pairs that are near is retu
 
 **Large buckets.**  A loose group that is too large for a task is dealt by key.  A key that too many
 texts share, say by a common passage, is cut by their rarest shingles, a prefix filter that loses no
-link.  What is still too large is dealt as pairs of blocks, so every two of its rows meet in one task.  Blocks are cut by size first: rows whose
+link.  What is still too large is cut into blocks, and every two rows that aren't connected yet meet in a task.  Blocks are cut by size first: rows whose
 sizes alone rule the similarity out need not meet.  Tasks read sorted rows and hold one bucket.
 """
 
@@ -43,11 +43,13 @@ from .components import components
 
 SEED = 42
 #: Node pairs that a trie walk holds at once; beyond it the walk goes on in halves.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 #: Rows of a bucket that one task compares with each other; a larger bucket is dealt as pairs of blocks.
 BLOCK = 10_000
+#: Rows of a large bucket, about, that meet all its blocks at first.
+PIVOTS = 64
 #: Rows that a worker gathers from small buckets before it compares them.
-TASK_ROWS = 200_000
+TASK_ROWS = 100_000
 
 _digest = xxhash.xxh64_intdigest
 
@@ -177,28 +179,52 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _dealt(rows: DataFrame, weight: Column, band: Column) -> DataFrame:
-    """``rows(bucket, ...)`` with ``task`` instead of ``bucket``.
+def _links(rows: DataFrame, weight: Column, band: Column, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b``: links that connect the classes that pairs within a bucket of ``rows(bucket, class, ...)`` connect.
 
-    A bucket whose weights sum to one at most is a task.  A larger one is cut into blocks, by
-    ``band`` and then by a hash of the row, and every pair of blocks of the same or of neighbouring
-    bands is a task; rows two or more bands apart need not meet.  Pairs of blocks are quadratic in the
-    size of the bucket divided by that of a block.
+    ``find`` gives such links for rows whose ``task`` takes the place of the bucket.  A bucket whose
+    weights sum to one at most is a task.  A larger one is cut into blocks, by ``band`` and then by a hash;
+    rows two or more bands apart need not meet.  First every block meets itself and a few pivots, which
+    connects most of a bucket of copies.  Of the largest component that comes out no two rows have to
+    meet any more; every block of it meets the blocks of the rest, and those meet each other.  So a
+    bucket of copies costs its blocks; only one in which nothing is connected costs their pairs.
     """
-    large = written(rows.groupBy("bucket").agg(F.sum(weight).alias("w")).where("w > 1").select("bucket"), "large-buckets")
+    columns = [c for c in rows.columns if c != "bucket"]
+    large = written(rows.groupBy("bucket").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("size")).where("w > 1").select("bucket", "size"), "large-buckets")
     if large.isEmpty():
-        return rows.withColumnRenamed("bucket", "task")
+        return find(rows.withColumnRenamed("bucket", "task"))
+    block = F.pmod(F.xxhash64("class"), F.col("own")).cast("int")
     marked = rows.withColumns({"band": band, "weight": weight})
-    cut = marked.join(large, "bucket", "left_semi").groupBy("bucket", "band").agg(F.ceil(F.sum("weight")).cast("int").alias("own"))
-    beside = lambda d, c: cut.select("bucket", (F.col("band") + d).alias("band"), F.col("own").alias(c))
-    cut = written(cut.join(beside(1, "below"), ["bucket", "band"], "left").join(beside(-1, "above"), ["bucket", "band"], "left"), "blocks")
-    at = marked.join(cut, ["bucket", "band"], "left").withColumn("at", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.col("own")).cast("int"))
-    cells = F.expr("""concat(
-        transform(sequence(0, own - 1), k -> xxhash64(bucket, band, least(k, at), band, greatest(k, at))),
-        if(below IS NULL, array(), transform(sequence(0, below - 1), k -> xxhash64(bucket, band - 1, k, band, at))),
-        if(above IS NULL, array(), transform(sequence(0, above - 1), k -> xxhash64(bucket, band, at, band + 1, k))))""")
-    whole = F.when(F.col("own").isNull(), F.array("bucket")).otherwise(cells)
-    return at.select(*[c for c in rows.columns if c != "bucket"], F.explode(whole).alias("task"))
+    big = written(marked.join(large, "bucket"), "large-rows")
+    blocks = big.groupBy("bucket", "band").agg(F.ceil(F.sum("weight")).cast("int").alias("own"))
+    placed = big.join(blocks, ["bucket", "band"]).withColumn("at", block)
+    alone = placed.select(*columns, F.xxhash64("bucket", "band", "at").alias("task"))
+    pivots = placed.where(F.pmod(F.xxhash64("class", F.lit("pivot")), F.col("size")) < PIVOTS).drop("own", "size", "weight")
+    others = blocks.select("bucket", F.col("band").alias("to"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("k"))
+    beside = pivots.join(others, "bucket").where("abs(band - to) <= 1 AND NOT (band = to AND at = k)").select(*columns, F.xxhash64("bucket", "to", "k").alias("task"))
+    whole = rows.join(large, "bucket", "left_anti").select(*columns, F.col("bucket").alias("task"))
+    first = written(find(whole.unionByName(alone).unionByName(beside)), "first-links")
+
+    joined = big.join(components(first).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    main = joined.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    joined = written(joined.join(main, "bucket").withColumn("rest", F.col("root") != F.col("main")), "joined-rows")
+    if joined.where("rest").isEmpty():
+        return first
+    sums = lambda x: F.coalesce(F.ceil(F.sum(F.when(x, F.col("weight")))), F.lit(0)).cast("int")
+    cut = written(joined.groupBy("bucket", "band").agg(sums(F.col("rest")).alias("r0"), sums(~F.col("rest")).alias("m0")), "blocks")
+    near = cut
+    for d, name in ((-1, "below"), (1, "above")):
+        moved = cut.select("bucket", (F.col("band") - d).alias("band"), F.col("r0").alias(f"r_{name}"), F.col("m0").alias(f"m_{name}"))
+        near = near.join(moved, ["bucket", "band"], "left")
+    near = near.fillna(0).withColumnsRenamed({"r0": "r_same", "m0": "m_same"})
+    dealt = joined.join(near, ["bucket", "band"]).withColumn("own", F.when(F.col("rest"), F.col("r_same")).otherwise(F.col("m_same"))).withColumn("at", block)
+    each = lambda n, cell: f"transform(if({n} > 0, sequence(0, {n} - 1), array()), k -> xxhash64(bucket, {cell}))"
+    of_rest = ", ".join([
+        each("m_below", "'m', band, at, band - 1, k"), each("m_same", "'m', band, at, band, k"), each("m_above", "'m', band, at, band + 1, k"),
+        each("r_below", "'r', band - 1, k, band, at"), each("r_same", "'r', band, least(k, at), band, greatest(k, at)"), each("r_above", "'r', band, at, band + 1, k"),
+    ])
+    of_main = ", ".join([each("r_below", "'m', band - 1, k, band, at"), each("r_same", "'m', band, k, band, at"), each("r_above", "'m', band + 1, k, band, at")])
+    return first.union(find(dealt.select(*columns, F.explode(F.expr(f"if(rest, concat({of_rest}), concat({of_main}))")).alias("task"))))
 
 
 def _by_task(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -251,9 +277,9 @@ def links(fps: DataFrame, budget: int) -> DataFrame:
 
     if budget == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.block", "x.value", F.xxhash64("x.block", "x.top").alias("bucket"))
-    dealt = _dealt(rows, F.lit(1 / BLOCK), F.lit(0))
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    rows = fps.select(F.col("fp").alias("class"), F.explode(F.array(*turned)).alias("x")).select("class", "x.block", "x.value", F.xxhash64("x.block", "x.top").alias("bucket"))
+    find = lambda dealt: dealt.select("block", "value", "task").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return _links(rows, F.lit(1 / BLOCK), F.lit(0), find)
 
 
 def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,8 +484,8 @@ def _candidates(classes: DataFrame, docs: DataFrame, size: int, similarity: floa
 
     keyed = classes.select("class", "n", "id", "h", *[F.col("fp")[i].alias(f"f{i}") for i in range(WIDTH)], F.posexplode("keys").alias("i", "key"))
     rows = _by_rare_shingles(keyed.withColumn("bucket", F.xxhash64("i", "key")).drop("i", "key"), docs, size, similarity)
-    dealt = _dealt(rows.drop("id", "h"), F.lit(1 / BLOCK), _band(similarity))
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    find = lambda dealt: dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return _links(rows.drop("id", "h"), F.lit(1 / BLOCK), _band(similarity), find)
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float, keys: np.ndarray) -> list[tuple[int, int]]:
@@ -544,12 +570,16 @@ def _verified(members: DataFrame, rows: DataFrame, size: int, similarity: float)
     if not large.isEmpty():
         by_key = members.join(large, "bucket", "left_semi").select("*", F.posexplode("keys").alias("i", "key")).withColumn("bucket", F.xxhash64("bucket", "i", "key"))
         members = members.join(large, "bucket", "left_anti").unionByName(by_key.drop("i", "key"))
-    dealt = written(_dealt(members, weight, _band(similarity)), "dealt")
-    wanted = dealt.select("class", "keys", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
-    if dealt.count() <= BROADCAST_ROWS:  # the texts of the others then aren't shuffled at all
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, _at_rows(rows, wanted))
-    return texts.select("keys", "text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
+
+    def find(dealt: DataFrame) -> DataFrame:
+        dealt = written(dealt, "dealt")
+        wanted = dealt.select("class", "keys", F.col("id").alias("w_id"), F.col("h").alias("w_h"), "task")
+        if dealt.count() <= BROADCAST_ROWS:  # the texts of the others then aren't shuffled at all
+            wanted = F.broadcast(wanted)
+        texts = rows.join(wanted, _at_rows(rows, wanted))
+        return texts.select("keys", "text", "class", "task").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a long, b long")
+
+    return _links(members, weight, _band(similarity), find)
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
