@@ -221,6 +221,8 @@ def test_word_encoder_equals_whole_texts():
     tokenizer, rng = Tokenizer.from_file(path), random.Random(8)
     encoder = arrowtokens.word_encoder(path)
     texts = ["".join(rng.choice("aB's 1é\u0301\n\t\r\u00a0\u2003\x1c!<|endoftext|>Σς中") for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["x <|endoftext|> y", "ΑΣ ΑΣ."]
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)]]
+    texts += [rng.choice(letters) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + letters
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,13 @@ APART = {
 }
 
 
+#: The characters that stand for the bytes of a piece: printable ones themselves, the others in order from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_STANDS_FOR = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Lower-case words that are one piece and that the normaliser leaves as they are.
+_ONE_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
 def reads_words_apart(tokenizer) -> bool:
     """Whether the file's rules are those that ``WordEncoder`` rests on."""
     rules = json.loads(tokenizer.to_str())
@@ -74,7 +82,7 @@ class WordEncoder(dict):
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -94,6 +102,9 @@ class WordEncoder(dict):
         return ids
 
     def _ids(self, word: str) -> bytes:
+        if _ONE_PIECE(word):  # the file's merges, without the steps that would leave it as it is
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(_STANDS_FOR)
+            return np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
