@@ -218,7 +218,7 @@ def scores(docs: DataFrame, path: str, keep: list[str], *, text_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
             nats: list[float | None] = [None] * len(texts)
             lo = 0
