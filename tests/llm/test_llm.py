@@ -6,6 +6,7 @@ import os
 import random
 import re
 import string
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,6 +228,34 @@ def test_word_encoder_equals_whole_texts():
         assert np.frombuffer(ids, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_encoder_beside_every_closing_sign():
+    """Code points before and after every closing sign, so also letters that become letter and mark.
+
+    Of the large blocks of ideographs, syllables and signs that are all alike every 50th is taken; once all passed.
+    """
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), arrowtokens.word_encoder(path)
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs") and (c < 0x3000 or 0xA640 <= c < 0xAC00 or 0xF900 <= c < 0x12000 or c % 50 == 0)]
+    signs = sorted(arrowtokens.CLOSING)
+    texts = ["".join(f"{c}{s} {s}{c} x{c}{s} " for c in points[at : at + 200]) for s in signs for at in range(0, len(points), 200)]
+    whole = tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, ids, want in zip(texts, encoder.encode(texts), whole, strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == want.ids, repr(text[:60])
+    hindi = ["\u092a\u095d, \u0932\u095c.", "\u0130stanbul\u0130, \u0130!"]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(hindi)] == [x.ids for x in tokenizer.encode_batch(hindi, add_special_tokens=False)]
+
+
+def test_arrow_tokens_of_one_id_are_dealt_over_tasks(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 5} " * 20) for i in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = arrowtokens.write_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, f"{shared_dir(spark)}/one-id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(m["n_docs"] for m in manifest) == 400
+    assert max(m["n_docs"] for m in manifest) < 300
+
+
 def test_other_tokenizer_files_read_whole_texts():
     arrowtokens.word_encoder.cache_clear()
     assert isinstance(arrowtokens.word_encoder(public_tokenizers.path("word_bpe_49k.json")), arrowtokens.WordEncoder)

@@ -34,8 +34,12 @@ from .common import shared_dir, written
 
 LENGTH, ROWS = 2048, 256
 MAX_KEPT_WORDS = 600_000
+#: Characters of a text that order rows with equal ids.
+TIE_CHARS = 32
 #: Marks that may close a word of letters.
 CLOSING = frozenset(",.;:!?")
+#: Letters that the normaliser turns into one letter; after others a mark may stand, which joins the closing one.
+_STAYS_LETTER = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]").fullmatch
 
 
 # The normaliser and the pre-tokenizer of files whose words may be read apart.
@@ -58,7 +62,7 @@ _ONE_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 def reads_words_apart(tokenizer) -> bool:
     """Whether the file's rules are those that ``WordEncoder`` rests on."""
     rules = json.loads(tokenizer.to_str())
-    return all(rules[k] == v for k, v in APART.items()) and all("<" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"]) and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
+    return all(rules[k] == v for k, v in APART.items()) and all("<" in t["content"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"]) and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
 
 
 class WholeEncoder:
@@ -75,8 +79,8 @@ class WordEncoder(dict):
     """Ids of a text from the tokenizers library, through a memory of words.
 
     By the rules of ``APART`` words are read apart: white space is dropped, and neither normaliser
-    nor merges look across a space, tab or line end.  Letters are also read apart from the
-    mark that closes a word.  The memory has two generations: when the younger is full it becomes
+    nor merges look across a space, tab or line end.  Letters are also read apart from the mark that
+    closes a word, where the last letter stays one letter when it is normalised.  The memory has two generations: when the younger is full it becomes
     the older one, and what is used again moves back.
     """
 
@@ -90,7 +94,7 @@ class WordEncoder(dict):
         if ids is None:
             if word.isascii() and not word.islower() and "<" not in word:
                 ids = self[word.lower()] if word.lower() != word else self._ids(word)
-            elif word[-1:] in CLOSING and word[:-1].isalpha():
+            elif word[-1:] in CLOSING and _STAYS_LETTER(word[-2:-1]) and word[:-1].isalpha():
                 ids = self[word[:-1]] + self[word[-1]]
             else:
                 ids = self._ids(word)
@@ -169,7 +173,8 @@ class SequenceWriter:
 def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents in ascending order of ids; the manifest ``part, path, n_docs, n_tokens``.
 
-    Null and empty texts are the end id alone; rows with equal ids follow by text, nulls first.
+    Null and empty texts are the end id alone; rows with equal ids follow by the first ``TIE_CHARS``
+    characters of their texts, nulls first, then by a hash.  Rows of one id may be dealt over many tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +205,10 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             index.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([writer.n_tokens], pa.int64())})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "part long, path string, n_docs long, n_tokens long")
+    ties = [F.left(F.col(text_col), F.lit(TIE_CHARS)).alias("head"), F.xxhash64(text_col).alias("h")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *ties, F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("id", "head", "h", "row").sortWithinPartitions("id", "head", "h")
+    return ordered.select("id", "text").mapInArrow(run, "part long, path string, n_docs long, n_tokens long")
 
 
 class SequenceFile:
@@ -274,7 +281,7 @@ def tokens_to_arrow(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col
     """Write the files into the shared folder and read every document's place and digest back.
 
     Null and empty texts have the end id alone; a very long text spans sequences and batches.  No
-    other column is read; an empty table has no file.  Null ids come first; equal ids follow by text.
+    other column is read; an empty table has no file.  Null ids come first; for equal ids see ``write_files``.
     """
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     manifest = written(write_files(docs, tokenizer_path, end_id, folder, id_col=id_col, text_col=text_col), "manifest")
