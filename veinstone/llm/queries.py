@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowtokens, bpe, decontam, fim, hosts, langid, linededup, media, pii, quality, simhash
+from . import arrowtokens, bpe, chat, decontam, fim, hosts, langid, linededup, media, pii, quality, resample, simhash
 from .common import table
 
 
@@ -62,7 +62,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_media_jpeg, op3_arrow_tokens, op4_quality, op5_host_reputation, op6_simhash, op7_pii, op8_line_dedup, op9_decontaminate, op10_language_id, op11_fill_in_middle)}
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+#: What both turns of the conversation say that is added: markers of this template and of others.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more with control strings in its texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.windows(turns.union(more)))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_media_jpeg, op3_arrow_tokens, op4_quality, op5_host_reputation, op6_simhash, op7_pii, op8_line_dedup, op9_decontaminate, op10_language_id, op11_fill_in_middle, op12_resample, op13_chat_format)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -115,4 +130,27 @@ r AS (SELECT doc_id, text, w, len(w)::BIGINT AS n, {", ".join(f"('0x' || substr(
 c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {100 - fim.PLAIN_PERCENT} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM r),
 x AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM x""",
+    "op12_resample": f"""WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
+d AS (SELECT doc_id AS id, 1 AS side, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents UNION ALL SELECT item_id, 2, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+o AS (SELECT id, side, unnest(w) AS word FROM d),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM o)),
+b AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % {resample.BUCKETS} AS bucket FROM v, crc),
+n AS (SELECT id, side, bucket FROM o JOIN b USING (word)),
+g AS (SELECT bucket, count(*) FILTER (side = 1) AS s, count(*) FILTER (side = 2) AS t FROM n GROUP BY 1),
+k AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM g) + {resample.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM g) + {resample.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM g),
+w AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM n JOIN k USING (bucket) WHERE side = 1 GROUP BY 1),
+h AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w ON id = doc_id),
+s AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_features >= {resample.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT {resample.PERCENT} * count(*) // 100 FROM r) THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)""",
+    "op13_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_TOKENS} AS tokens, length(text) + len(regexp_extract_all(text, '</?turn')) + length(role) + {len("<turn >") + 1 + len(chat.LAST)} AS chars FROM c),
+h AS (SELECT conv_id, tokens AS system_tokens, chars AS system_chars FROM o WHERE pos = 1 AND role = 'system'),
+a AS (SELECT o.*, coalesce(system_tokens, 0) AS sys, coalesce(system_chars, 0) AS sys_chars, sum(tokens) OVER (PARTITION BY o.conv_id ORDER BY pos) - coalesce(system_tokens, 0) AS after FROM o LEFT JOIN h USING (conv_id)),
+b AS (SELECT *, greatest(after - tokens, 0) AS before, greatest(after - 1, 0) // {chat.FRESH} AS span FROM a),
+s AS (SELECT *, before < span * {chat.FRESH} AND max(after) OVER w - min(before) OVER w > {chat.FRESH} AS alone FROM b WINDOW w AS (PARTITION BY conv_id, span)),
+w AS (SELECT conv_id, span, alone, min(pos) AS start, min(before) AS f, max(after) AS t, any_value(sys) AS sys, any_value(sys_chars) AS sys_chars, sum(chars) AS chars FROM s GROUP BY 1, 2, 3),
+e AS (SELECT w.conv_id, w.start, sum(s.chars) AS chars FROM w JOIN s ON s.conv_id = w.conv_id AND s.after > 0 AND s.after <= w.f AND s.before >= w.f - least({chat.HISTORY}, greatest({chat.BUDGET} - w.sys - (w.t - w.f), 0)) GROUP BY 1, 2),
+z AS (SELECT w.conv_id, sum(w.chars + coalesce(e.chars, 0) + CASE WHEN w.start > 1 THEN w.sys_chars ELSE 0 END)::BIGINT AS formatted_chars FROM w LEFT JOIN e USING (conv_id, start) GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars FROM c JOIN z USING (conv_id) GROUP BY 1""",
 }
