@@ -1,8 +1,8 @@
 """The provenance graph: ancestry, neighbours, trees, text of the graph, bundles.
 
-Walks are loops over frontiers: every level is one join of the frontier with the edges and one
-aggregation with what was visited, by start and node, written to the shared folder.  Paths that meet
-are merged level by level, so diamonds don't multiply and cycles end.
+Walks take a few levels as one plan of joins, in which paths that meet are merged level by level, so that
+diamonds don't multiply.  Deeper ones go along chains: disjoint paths that cover the graph, labelled in
+logarithmic rounds by doubling pointers, where a range of places answers what is reached.  Cycles end.
 """
 
 from __future__ import annotations
@@ -35,31 +35,91 @@ def edges_of(nodes: DataFrame) -> DataFrame:
     return links.groupBy("parent_cid", "child_cid").agg(first.alias("x")).select("parent_cid", "child_cid", "x.ordinal", "x.edge_kind")
 
 
-#: Levels of a walk that are kept apart before they are written as one table.
-MAX_LEVELS = 16
+#: Levels that a walk takes one by one; what goes on beyond them goes along chains.
+NEAR = 4
 
 
 def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, cid, depth``: what can be reached from ``starts(start)`` over edges(src, dst).
 
-    depth is the least number of steps; a start is reached at 0.  The walk ends when a level is empty.
+    depth is the least number of steps; a start is reached at 0.  The first ``NEAR`` levels are one plan,
+    in which the shuffled edges are used again for every level.  Where the last of them isn't empty, the
+    rest goes along chains, in rounds that follow the chains a path changes between, not its length.
     """
+    levels = [starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct()]
+    for depth in range(1, 1 + (NEAR if max_depth is None else min(NEAR, max_depth))):
+        step = levels[-1].join(edges.select("src", "dst"), F.col("cid") == F.col("src"))
+        levels.append(step.select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth")).distinct())
+    near = _nearest(reduce(DataFrame.union, levels))
+    if max_depth is not None and max_depth <= NEAR:
+        return near
+    near = written(near, "near")
     with scratch(starts.sparkSession):
-        edges = written(edges.select("src", "dst"), "edges")
-        level = written(starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct(), "level", keep=True)
-        levels, depth = [level], 0
-        while max_depth is None or depth < max_depth:
-            depth += 1
-            step = level.join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth"))
-            # one hash aggregation both merges paths and leaves out what was reached before
-            first = reduce(DataFrame.union, levels, step).groupBy("start", "cid").agg(F.min("depth").alias("depth"))
-            level = written(first.where(F.col("depth") == depth), "level", keep=True)
-            if level.isEmpty():
-                break
-            levels.append(level)
-            if len(levels) > MAX_LEVELS:
-                levels = [written(reduce(DataFrame.union, levels), "levels", keep=True)]
-    return reduce(DataFrame.union, levels)
+        front = near.where(F.col("depth") == NEAR)
+        if front.isEmpty():
+            return near
+        return written(_nearest(near.union(along_chains(front, written(edges.select("src", "dst").distinct(), "edges"), max_depth))), "reached", keep=True)
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    return found.groupBy("start", "cid").agg(F.min("depth").alias("depth"))
+
+
+def chains(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``cid, chain, place`` of every node of edges(src, dst), and in how many rounds they were found.
+
+    Chains are paths of edges that share no node and cover all: a node goes on to its smallest target, if
+    it is that target's smallest source among those that do.  ``chain`` is the node where the path ends,
+    ``place`` the steps to it.  Pointers are doubled, so rounds are the logarithm of the longest chain.
+    Nodes on a cycle never find an end; each is a chain by itself.
+    """
+    goes_on = edges.groupBy("src").agg(F.min("dst").alias("dst")).groupBy("dst").agg(F.min("src").alias("src"))
+    links = written(goes_on.select(F.col("src").alias("cid"), F.col("dst").alias("up"), F.lit(1).cast("long").alias("place")), "links")
+    most, rounds, open_ = links.count().bit_length() + 1, 0, True
+    while open_ and rounds < most:
+        ahead = links.select(F.col("cid").alias("up"), F.col("up").alias("further"), F.col("place").alias("more"))
+        jumped = links.join(ahead, "up", "left")
+        known = F.col("further").isNotNull()
+        links = written(jumped.select("cid", F.coalesce("further", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), known.alias("moved")), "links")
+        open_, links, rounds = not links.where("moved").isEmpty(), links.drop("moved"), rounds + 1
+    if open_:  # what still moves after so many rounds goes round
+        ends = links.select(F.col("cid").alias("up"))
+        links = links.join(ends, "up", "left_anti")
+    nodes = edges.select(F.col("src").alias("cid")).union(edges.select("dst")).distinct()
+    return nodes.join(links, "cid", "left").select("cid", F.coalesce("up", "cid").alias("chain"), F.coalesce("place", F.lit(0)).cast("long").alias("place")), rounds
+
+
+def along_chains(front: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``start, cid, depth``: what is reached from front(start, cid, depth) over distinct edges(src, dst), with the least depth in some row.
+
+    Who enters a chain at a place reaches all places below it, so an entry is a place and the depth at the
+    chain's end, and a range join with the edges that leave the chain finds all next entries at once.
+    An entry is dropped if another one of the same start and chain is as far up and no deeper.
+    """
+    labels = written(chains(edges)[0], "labels")
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("chain").alias(f"{c}_chain"), F.col("place").alias(f"{c}_place"))
+    both = edges.join(of("src"), "src").join(of("dst"), "dst")
+    link = (F.col("src_chain") == F.col("dst_chain")) & (F.col("src_place") == F.col("dst_place") + 1)
+    leaving = written(both.where(~link).select(F.col("src_chain").alias("chain"), "src_place", "dst_chain", "dst_place"), "leaving")
+    entered = front.join(labels, "cid").select("start", "chain", "place", (F.col("depth") + F.col("place")).alias("end"))
+    known, new = None, entered
+    while True:
+        rows = new.select("*", F.lit(True).alias("new"))
+        if known is not None:
+            rows = rows.union(known.select("*", F.lit(False)))
+        before = F.min("end").over(W.partitionBy("start", "chain").orderBy(F.desc("place"), "end", "new").rowsBetween(W.unboundedPreceding, -1))
+        new = written(rows.withColumn("best", before).where("new AND (best IS NULL OR end < best)").drop("new", "best"), "entries")
+        if new.isEmpty():
+            break
+        known = new if known is None else written(known.union(new), "known")
+        step = new.join(leaving, "chain").where(F.col("src_place") <= F.col("place"))
+        depth = F.col("end") - F.col("src_place") + 1
+        if max_depth is not None:
+            step = step.where(depth <= max_depth)
+        new = step.select("start", F.col("dst_chain").alias("chain"), F.col("dst_place").alias("place"), (depth + F.col("dst_place")).alias("end"))
+    found = known.join(labels.select("chain", "cid", F.col("place").alias("at")), "chain").where(F.col("at") <= F.col("place"))
+    found = found.select("start", "cid", (F.col("end") - F.col("at")).cast("int").alias("depth"))
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
 def lineage(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -67,7 +127,7 @@ def lineage(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None) -
 
     Addresses without a node are skipped, and nothing is found behind them.
     """
-    up = nodes.select(F.col("cid").alias("src"), F.explode("parents").alias("dst")).distinct()
+    up = nodes.select(F.col("cid").alias("src"), F.explode(F.array_distinct("parents")).alias("dst"))
     return walk(starts, up, max_depth).join(nodes, "cid")
 
 
@@ -82,11 +142,11 @@ def parents_of(edges: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFrame:
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an edge from a parent, whether that parent is stored or not."""
-    return nodes.join(edges.select(F.col("child_cid").alias("cid")), "cid", "left_anti")
+    return nodes.join(edges.select(F.col("child_cid").alias("cid")).distinct(), "cid", "left_anti")
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("parent_cid").alias("cid")), "cid", "left_anti")
+    return nodes.join(edges.select(F.col("parent_cid").alias("cid")).distinct(), "cid", "left_anti")
 
 
 def schema_stats(nodes: DataFrame) -> DataFrame:

@@ -103,15 +103,17 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_edges(spark: SparkSession, sf_dir: str, *, once: bool = True) -> DataFrame:
+    """Edges of the star; an order that has a part in several lines has its edge once, or with each line."""
     def pair(df: DataFrame, parent: str, p: str, child: str, c: str, ordinal: int, kind: str) -> DataFrame:
         return df.select(F.concat(F.lit(f"{p}:"), F.col(parent).cast("string")).alias("parent_cid"), F.concat(F.lit(f"{c}:"), F.col(child).cast("string")).alias("child_cid"), F.lit(ordinal).alias("ordinal"), F.lit(kind).alias("edge_kind"))
 
+    lines = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
     return (
         pair(t(spark, sf_dir, "nation"), "n_regionkey", "r", "n_nationkey", "n", 0, "derives")
         .union(pair(t(spark, sf_dir, "customer"), "c_nationkey", "n", "c_custkey", "c", 0, "derives"))
         .union(pair(t(spark, sf_dir, "orders"), "o_custkey", "c", "o_orderkey", "o", 0, "derives"))
-        .union(pair(t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct(), "l_partkey", "p", "l_orderkey", "o", 1, "grounds"))
+        .union(pair(lines.distinct() if once else lines, "l_partkey", "p", "l_orderkey", "o", 1, "grounds"))
     )
 
 

@@ -133,7 +133,7 @@ _WALK_SQL = A.STAR_SQL + ", w AS (SELECT cid AS start, cid, 0 AS depth FROM node
 
 def _ancestors(spark, d, bound=None):
     nodes = A.star_nodes(spark, d)
-    up = A.star_edges(spark, d).select(F.col("child_cid").alias("src"), F.col("parent_cid").alias("dst"))
+    up = A.star_edges(spark, d, once=False).select(F.col("child_cid").alias("src"), F.col("parent_cid").alias("dst"))
     return graph.walk(nodes.where("kind = 'orders'").select(F.col("cid").alias("start")), up, bound)
 
 
@@ -167,12 +167,12 @@ def parents(spark, d):
 
 @query(A.STAR_SQL + "SELECT cid, kind FROM nodes WHERE cid NOT IN (SELECT child_cid FROM edges)")
 def roots(spark, d):
-    return graph.roots(A.star_nodes(spark, d), A.star_edges(spark, d)).select("cid", "kind")
+    return graph.roots(A.star_nodes(spark, d), A.star_edges(spark, d, once=False)).select("cid", "kind")
 
 
 @query(A.STAR_SQL + "SELECT cid, kind FROM nodes WHERE cid NOT IN (SELECT parent_cid FROM edges)")
 def leaves(spark, d):
-    return graph.leaves(A.star_nodes(spark, d), A.star_edges(spark, d)).select("cid", "kind")
+    return graph.leaves(A.star_nodes(spark, d), A.star_edges(spark, d, once=False)).select("cid", "kind")
 
 
 @query(A.STAR_SQL + "SELECT kind, count(*) AS n FROM nodes GROUP BY 1")
