@@ -984,6 +984,24 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
+@pytest.mark.parametrize("name", ["n_removed", "N_Removed"])
+def test_pipeline_stages_keep_clashing_columns(spark, name):
+    """Extra columns with the names that stages use themselves, unchanged through every stage but the last."""
+    import corpus_pipeline
+
+    extra = [name, "id", "h", "row", "lang_pred", "score", "drop", "key", "head_id", "rows"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.select("*", *[(-7 - F.col("doc_id")).cast("string").alias(c) for c in extra])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        with scratch(spark):
+            after = stage(spark, docs, "/root/testdata/sf0.001")
+            assert after.columns == docs.columns
+            kept = after.select("doc_id", *extra).collect()
+        assert kept and all(set(r[1:]) == {str(-7 - r["doc_id"])} for r in kept)
+    with scratch(spark):
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == docs.count()
+
+
 def test_pipeline_equals_plain_stages(spark):
     """Five plain stages over all documents of sf0.01; the trained network is the only thing that both share."""
     import corpus_pipeline

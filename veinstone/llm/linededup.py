@@ -88,14 +88,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: str = "d
     return seen.join(first, "h").where(~F.col("key.id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("at").alias("drop"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text_col``, and the column ``n_removed``.
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """``row, n_removed``: every row of ``docs`` as a struct, without boilerplate lines in ``text_col``, and how many it lost.
 
     Lines are compared without white space around them; blank lines stay.  Lines of rows without
     a site count for no site and are removed like others.  Null texts stay null; a document may
     end up empty.  Very long texts are read whole, each within one task.  Rows that repeat an id are
-    treated alike: each keeps the lines whose first document has that id.  Other columns of ``docs``
-    keep their names and values, but a column ``n_removed``, which is replaced.
+    treated alike: each keeps the lines whose first document has that id.  Columns of ``docs``, whatever
+    their names, stay as they are.
     """
     drop = boilerplate(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col).select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "drop")
     rows = docs.select(F.struct(*docs.columns).alias("row"))
@@ -106,4 +106,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: s
     kept = F.array_join(F.filter(lines, lambda line, i: F.try_element_at(chosen, i).isNull()), "\n")
     text = F.when(F.col("drop").isNull(), of(text_col)).otherwise(kept)
     n_removed = F.coalesce(F.size("drop").cast("long") * F.col("drop").isNotNull().cast("long"), F.lit(0).cast("long"))
-    return joined.select(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns if c != "n_removed"], n_removed.alias("n_removed"))
+    return joined.select(F.struct(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns]).alias("row"), n_removed.alias("n_removed"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """The rows of ``cleaned`` with all their columns, and the column ``n_removed``, which replaces one of that name in any case."""
+    found = cleaned(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "n_removed"], "n_removed")
