@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     judged = langid.identify(docs, whole=True)
     kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select("row.*").select(*docs.columns)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row is dropped.  A null text stays null with a null ``n_chars``; rows that repeat an id keep a
     line where its first document has that id.
     """
-    columns = docs.columns
-    cleaned = linededup.remove_boilerplate(docs)
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*columns)
+    row = F.col("row")
+    n_chars = lambda c: F.length(row.getField("text")).cast(docs.schema[c].dataType)
+    return linededup.cleaned(docs).select(*[(n_chars(c) if c == "n_chars" else row.getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import json
 import os
 import random
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -508,6 +509,54 @@ def test_scratch_deletes_what_was_made_in_it(spark):
     assert set(os.listdir(place)) == before
 
 
+def test_scratches_of_two_threads_are_apart(spark):
+    """One opens first and closes while the other still reads."""
+    opened, closed, failed = [threading.Event(), threading.Event()], threading.Event(), []
+
+    def first():
+        with store_module.scratch(spark):
+            store_module.written(spark.range(3), "first")
+            opened[0].set()
+            opened[1].wait(60)
+        closed.set()
+
+    def second():
+        try:
+            opened[0].wait(60)
+            with store_module.scratch(spark):
+                table = store_module.written(spark.range(5), "second")
+                opened[1].set()
+                closed.wait(60)
+                assert table.count() == 5
+        except Exception as e:
+            failed.append(e)
+            opened[1].set()
+
+    place = store_module.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place))
+    threads = [threading.Thread(target=f) for f in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert not failed and set(os.listdir(place)) == before
+
+
+def test_results_belong_to_an_owner_that_can_be_closed(spark):
+    place = store_module.shared_dir(spark).removeprefix("file://")
+    before, owner = set(os.listdir(place)), store_module.Owner(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int")
+    with owner.collecting():
+        found = graph.walk(spark.createDataFrame([(0,)], "start int"), edges)
+    assert found.count() == 10 and set(os.listdir(place)) > before
+    owner.close()
+    assert set(os.listdir(place)) == before
+    with owner.collecting():
+        store_module.written(spark.range(1), "again")
+    owner.close()
+    assert set(os.listdir(place)) == before
+
+
 def test_supersessions_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(oplog, "CHUNK", 7)
     rng = random.Random(2)

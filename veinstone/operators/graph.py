@@ -42,15 +42,18 @@ NEAR = 4
 def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, cid, depth``: what can be reached from ``starts(start)`` over edges(src, dst).
 
-    depth is the least number of steps; a start is reached at 0.  The first ``NEAR`` levels are one plan,
+    depth is the least number of steps; a start is reached at 0; nulls are no nodes.  The first ``NEAR`` levels are one plan,
     in which the shuffled edges are used again for every level.  Where the last of them isn't empty, the
     rest goes along chains, in rounds that follow the chains a path changes between, not its length.
     """
-    levels = [starts.select("start", F.col("start").alias("cid"), F.lit(0).alias("depth")).distinct()]
+    # stated for both, as Spark would otherwise infer it for some levels only and shuffle the edges twice
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    levels = [starts.select("start", F.col("start").alias("cid")).where("start IS NOT NULL")]
     for depth in range(1, 1 + (NEAR if max_depth is None else min(NEAR, max_depth))):
-        step = levels[-1].join(edges.select("src", "dst"), F.col("cid") == F.col("src"))
-        levels.append(step.select("start", F.col("dst").alias("cid"), F.lit(depth).alias("depth")).distinct())
-    near = _nearest(reduce(DataFrame.union, levels))
+        # a merge join, so that one shuffle of the edges serves every level; paths can't meet in the first
+        step = levels[-1].hint("merge").join(edges, F.col("cid") == F.col("src")).select("start", F.col("dst").alias("cid"))
+        levels.append(step if depth == 1 else step.distinct())
+    near = _nearest(reduce(DataFrame.union, [level.withColumn("depth", F.lit(depth)) for depth, level in enumerate(levels)]))
     if max_depth is not None and max_depth <= NEAR:
         return near
     near = written(near, "near")
@@ -58,7 +61,7 @@ def walk(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> D
         front = near.where(F.col("depth") == NEAR)
         if front.isEmpty():
             return near
-        return written(_nearest(near.union(along_chains(front, written(edges.select("src", "dst").distinct(), "edges"), max_depth))), "reached", keep=True)
+        return written(_nearest(near.union(along_chains(front, written(edges.distinct(), "edges"), max_depth))), "reached", keep=True)
 
 
 def _nearest(found: DataFrame) -> DataFrame:

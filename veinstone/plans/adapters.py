@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import blobs as B
 from ..operators import graph
@@ -15,8 +16,15 @@ from ..operators import graph
 TS = "2026-01-01T00:00:00+00:00"
 
 
+#: Columns of the tables by their path, so that a table's footers are asked for them once in a process.
+_columns: dict[str, StructType] = {}
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _columns:
+        _columns[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_columns[path]).parquet(path)
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:

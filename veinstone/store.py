@@ -9,21 +9,42 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders made since each open ``scratch`` began, the innermost last.
-_open: list[list[str]] = []
-#: Folders that results of this process may still read; deleted when it ends.
-_left: list[str] = []
+
+class Owner:
+    """The folders of some results; they are deleted when it is closed.  A closed one may be used again."""
+
+    def __init__(self, spark: SparkSession | None = None):
+        self.spark, self.paths = spark, []
+
+    @contextmanager
+    def collecting(self) -> Iterator[Owner]:
+        """Makes it the owner of what this thread writes in the block, and leaves it open."""
+        token = _owners.set((*_owners.get(), self))
+        try:
+            yield self
+        finally:
+            _owners.reset(token)
+
+    def close(self) -> None:
+        spark = self.spark or SparkSession.getActiveSession()
+        while spark is not None and self.paths:
+            remove(spark, self.paths.pop())
+
+
+#: The owners that are open around the code that runs, the innermost last: each thread has its own.
+_owners: ContextVar[tuple[Owner, ...]] = ContextVar("owners", default=())
+#: Owns what is written outside of any other, until the process ends or it is closed.
+unowned = Owner()
 
 
 @atexit.register
 def _tidy() -> None:
     with contextlib.suppress(Exception):  # the session may be gone
-        spark = SparkSession.getActiveSession()
-        for path in _left if spark is not None else []:
-            remove(spark, path)
+        unowned.close()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,28 +66,29 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[Owner]:
     """Deletes, at its end, the tables that ``written`` made in it, but those to be kept.
 
-    What is kept belongs to the scratch around it, if there is one.
+    What is kept belongs to the owner around it, if there is one.
     """
-    _open.append([])
+    owner = Owner(spark)
     try:
-        yield
+        with owner.collecting():
+            yield owner
     finally:
-        for path in _open.pop():
-            remove(spark, path)
+        owner.close()
 
 
 def written(df: DataFrame, what: str, *, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, and safe from lost executors.
 
-    Within a ``scratch`` the table is deleted at the end of it, with ``keep`` at the end of the one around it;
-    outside of any, when the process ends.
+    The table belongs to the innermost ``scratch`` or ``Owner`` of this thread, with ``keep`` to the one
+    around it, and goes when that ends or is closed; without any, when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    owners = [_left, *(_open[:-1] if keep else _open)]
-    owners[-1].append(path)
+    open_ = _owners.get()
+    owners = (unowned, *(open_[:-1] if keep else open_))
+    owners[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
