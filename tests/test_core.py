@@ -2,11 +2,13 @@
 
 import io
 import json
+import math
 import os
 import random
 import threading
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,7 +242,7 @@ def test_allocation_by_bisection(spark):
 
 
 def test_allocation_by_search_equals_plain_trials(spark, monkeypatch):
-    """Every price is the least on its grid of halvings that keeps its limit, by trying on all nodes; the driver and the jobs agree."""
+    """Every price is the least on its grid of halvings that keeps its limit, by trying on all nodes, however far jobs look ahead."""
     monkeypatch.setattr(allocate, "STEPS", 4)
     rows = [(f"{i}", i % 6, ((i * 7919) % 100) / (40 if i % 6 > 3 else 10), None) for i in range(60)]
     tree = spark.createDataFrame(rows, tree_chain(spark, 1).schema)
@@ -265,24 +267,38 @@ def test_allocation_by_search_equals_plain_trials(spark, monkeypatch):
 
     c, d, t = prices(tried(10.0, lambda c: plain(*prices(c))[1] <= 60))
     gain, cost, deep, depth = plain(c, d, t)
-    for most in (allocate.DRIVER_PAIRS, 0):
-        monkeypatch.setattr(allocate, "DRIVER_PAIRS", most)
+    for ahead in (1, 3, 5):
+        monkeypatch.setattr(allocate, "AHEAD", ahead)
         found, tiers = allocate.optimise(tree, limits)
         assert (found.lambda_cost, found.lambda_depth, found.lambda_tier3) == (c, d, t) and found.feasible
-        assert abs(found.total_gain - gain) < 1e-9 and (found.total_cost, found.tier3) == (cost, deep) and depth <= 3
+        assert abs(found.total_gain - gain) < 1e-9 and (found.total_cost, found.tier3) == (cost, deep) and depth <= 3 and found.iterations == 4**3
         assert abs(totals(tiers)[0] - gain) < 1e-9 and totals(tiers)[1:3] == (cost, deep)
 
 
+def test_gains_are_summed_alike_however_they_are_dealt(spark):
+    rng = random.Random(3)
+    rows = [(rng.random() * 10 ** rng.randint(-6, 3), rng.randrange(9), rng.randrange(1, 10**6)) for _ in range(500)]
+    prices = [(0.01, 0.001, 0.05), (0.3, 0.0, 0.0), (0.0, 0.0, 9.0)]
+    tables = [spark.createDataFrame(rng.sample(rows, len(rows)), "p double, depth int, n long").repartition(n) for n in (1, 3, 7)]
+    sums = [sorted(map(tuple, allocate.sums_by_price(t, prices).collect())) for t in tables]
+    assert sums[0] == sums[1] == sums[2]
+    for (_, gain, _, _), x in zip(sums[0], prices, strict=True):
+        p, depth, n = (np.array(c) for c in zip(*rows, strict=True))
+        want = math.fsum(p * np.array([0, 0.3, 0.7, 1.0])[allocate.tiers_of(p, depth, x)[0]] * n)
+        assert abs(gain - want) <= 1e-12 * want + 1e-3
+
+
 def test_allocation_by_grid(spark):
     rows = [(f"{i}", i % 3, 0.5 + 0.1 * (i % 5), float(10 ** (i % 4))) for i in range(20)]
     tree = spark.createDataFrame(rows, tree_chain(spark, 1).schema)
     assert allocate.heterogeneous(tree).first()[0] and not allocate.heterogeneous(tree_chain(spark, 5)).first()[0]
     found, tiers = allocate.optimise(tree, Constraints(30, 9, 4))
-    h, best = allocate.Histogram([(r[2], r[1], 1) for r in rows]), (-1.0,)
+    p, depth, best = np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), (-1.0,)
     for i in range(11):
         for j in range(11):
             for k in range(11):
-                g, c, deep, _ = h.sums(10.0 * i / 10, k / 10, 10.0 * j / 10)
+                tier, _ = allocate.tiers_of(p, depth, (10.0 * i / 10, k / 10, 10.0 * j / 10))
+                g, c, deep = (p * np.array([0, 0.3, 0.7, 1.0])[tier]).sum(), np.array([0, 1, 2, 4])[tier].sum(), (tier == 3).sum()
                 if c <= 30 and deep <= 4 and g > best[0] + 1e-12:
                     best = (g, c, i, j, k)
     assert abs(found.total_gain - best[0]) < 1e-9 and found.heterogeneous and found.iterations == 1331

@@ -1,9 +1,10 @@
 """Budgeted allocation of effort: which nodes of a tree get which tier.
 
 What a tier is worth to a node depends on its potential and depth alone, so the search for the
-multipliers runs on a histogram of (potential, depth), the number of nodes for each distinct pair.
-A small histogram is summed up on the driver, a large one by a job for each trial; both sum up all
-pairs.  The tiers themselves are one projection over the nodes.
+multipliers runs on a histogram of (potential, depth), the number of nodes for each distinct pair.  It
+stays a table at every size: a job sums it up under all prices that the next halvings can come to,
+and only these sums reach the driver.  Gains are added as whole numbers, so that no order of the
+tasks changes a sum.  The tiers themselves are one projection over the nodes.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from ..store import scratch, written
 STEPS, GRID = 20, 10
 #: Largest price of cost, of depth and of a node in the deep tier.
 TOP_COST, TOP_DEPTH, TOP_TIER3 = 10.0, 1.0, 10.0
-#: Distinct pairs of potential and depth that the driver takes; more of them stay in their table.
-DRIVER_PAIRS = 200_000
+#: Halvings of a price that a job looks ahead; it tries ``2 ** AHEAD - 1`` prices, for a pair of prices the square.
+AHEAD = 5
 
 
 @dataclass
@@ -92,44 +93,69 @@ def heterogeneous(tree: DataFrame) -> DataFrame:
     return tree.agg(F.coalesce((F.count(fine) >= 2) & (F.stddev_pop(fine) / F.avg(fine) > 0.5), F.lit(False)).alias("heterogeneous"))
 
 
-class Histogram:
-    """Sums over nodes under given multipliers, from (potential, depth, number) rows."""
+_COST, _SHARE = (np.array([TIERS[t][i] for t in TIERS]) for i in (0, 1))
+#: Prices of cost, of depth and of a node in the deep tier.
+Prices = tuple[float, float, float]
 
-    def __init__(self, rows: list[tuple[float, int, int]] | np.ndarray):
-        data = np.array(rows if len(rows) else np.empty((0, 3)), "f8").reshape(-1, 3)
-        self.p, self.depth, self.n = data[:, 0], data[:, 1], data[:, 2]
-        self.cost, self.share = (np.array([TIERS[t][i] for t in TIERS]) for i in (0, 1))
 
-    def tiers(self, l_cost: float, l_depth: float, l_tier3: float) -> np.ndarray:
-        gains = self.p[None, :] * self.share[:, None] - (l_cost * self.cost)[:, None] - (l_depth * self.depth)[None, :]
-        gains[3] -= l_tier3
-        gains[0] = 0
-        return gains.argmax(0)  # the first of equal ones
+def tiers_of(p: np.ndarray, depth: np.ndarray, prices: Prices) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the best tiers, the first of equal ones, and their net gains; arrays may be broadcast."""
+    l_cost, l_depth, l_tier3 = prices
+    gains = np.stack([np.broadcast_to(p * share - l_cost * cost - l_depth * depth, np.broadcast_shapes(np.shape(p), np.shape(l_cost), np.shape(l_depth))) for cost, share in zip(_COST, _SHARE, strict=True)])
+    gains[3] -= l_tier3
+    gains[0] = 0
+    return gains.argmax(0), gains.max(0)
 
-    def sums(self, l_cost: float, l_depth: float, l_tier3: float) -> tuple[float, float, int, int]:
-        """gain, cost, nodes in the deep tier, largest depth of a node that isn't skipped."""
-        t = self.tiers(l_cost, l_depth, l_tier3)
-        used = t > 0
-        return float((self.p * self.share[t] * self.n).sum()), float((self.cost[t] * self.n).sum()), int(self.n[t == 3].sum()), int(self.depth[used].max()) if used.any() else 0
 
-
-def sums_by_price(hist: DataFrame, prices: list[tuple[float, float, float]]) -> DataFrame:
+def sums_by_price(hist: DataFrame, prices: list[Prices]) -> DataFrame:
     """``price, gain, cost, tier3`` for each of ``prices`` (of cost, depth and deep nodes) over hist(p, depth, n).
 
-    Tasks sum up their pairs for every price, so what is shuffled is a row for each task and price.
+    Tasks sum up their pairs for every price, so what is shuffled is a row for each task and price.  A
+    gain is cut into a whole part and two of 20 bits, whose sums are exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(prices), 5), "i8")
+        for batch in batches:
+            p, depth, n = (c.to_numpy() for c in batch.columns)
+            for i, x in enumerate(prices):
+                tier, _ = tiers_of(p, depth, x)
+                gain = p * _SHARE[tier]
+                whole = np.floor(gain)
+                bits = np.rint((gain - whole) * 2.0**40).astype("i8")
+                parts = whole.astype("i8"), bits >> 20, bits & 0xFFFFF, _COST[tier].astype("i8"), (tier == 3).astype("i8")
+                total[i] += [int((x * n).sum()) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(prices)), pa.int32()), *map(pa.array, total.T)], ["price", "whole", "high", "low", "cost", "tier3"])
+
+    each = hist.select(F.col("p").cast("double"), F.col("depth").cast("double"), F.col("n").cast("long"))
+    sums = each.mapInArrow(run, "price int, whole long, high long, low long, cost long, tier3 long").groupBy("price").agg(*[F.sum(c).alias(c) for c in ("whole", "high", "low", "cost", "tier3")])
+    gain = F.col("whole") + (F.col("high") * float(1 << 20) + F.col("low")) / float(1 << 40)
+    return sums.select("price", gain.alias("gain"), F.col("cost").cast("double").alias("cost"), "tier3")
+
+
+def depth_prices(tops: DataFrame, pairs: list[tuple[float, float]]) -> list[tuple[float, bool]]:
+    """For each pair of prices (of cost and deep nodes) the least price of depth under which no row of tops(p, depth) is used, and whether it is one.
+
+    Each depth has its own least price, which tasks find for all pairs at once; the largest of them holds for all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(prices), 3))
+        cost, deep = np.array(pairs).T
+        most, kept = np.full(len(pairs), TOP_DEPTH / 2**STEPS), np.ones(len(pairs), bool)
         for batch in batches:
-            h = Histogram(np.stack([c.to_numpy().astype("f8") for c in batch.columns], 1))
-            total += np.array([h.sums(*x)[:3] for x in prices])
-        columns = [pa.array(range(len(prices)), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(total[:, 2].astype("i8"))]
-        yield pa.RecordBatch.from_arrays(columns, ["price", "gain", "cost", "tier3"])
+            for p, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                used = lambda at: tiers_of(p, depth, (cost, at, deep))[1] > 0  # noqa: B023, E731
+                fails, held = np.zeros(len(pairs)), np.full(len(pairs), TOP_DEPTH)
+                for _ in range(STEPS):
+                    trial = fails + (held - fails) / 2
+                    is_used = used(trial)
+                    fails, held = np.where(is_used, trial, fails), np.where(is_used, held, trial)
+                most, kept = np.maximum(most, held), kept & ~used(held)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), pa.array(most), pa.array(kept)], ["pair", "price", "kept"])
 
-    each = hist.select(F.col("p").cast("double"), F.col("depth").cast("double"), F.col("n").cast("double"))
-    sums = each.mapInArrow(run, "price int, gain double, cost double, tier3 long").groupBy("price")
-    return sums.agg(F.sum("gain").alias("gain"), F.sum("cost").alias("cost"), F.sum("tier3").alias("tier3"))
+    found = tops.select(F.col("p").cast("double"), F.col("depth").cast("double")).mapInArrow(run, "pair int, price double, kept boolean")
+    rows = found.groupBy("pair").agg(F.max("price").alias("price"), F.bool_and("kept").alias("kept")).collect()
+    return [(r["price"], r["kept"]) for r in sorted(rows, key=lambda r: r["pair"])] or [(TOP_DEPTH / 2**STEPS, True)] * len(pairs)
 
 
 def pairs_of(tree: DataFrame) -> DataFrame:
@@ -137,46 +163,84 @@ def pairs_of(tree: DataFrame) -> DataFrame:
     return tree.groupBy(F.col("info_potential").cast("double").alias("p"), "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def least_price(top: float, holds: Callable[[float], bool]) -> float:
-    """The least price below ``top`` that holds, to ``STEPS`` halvings; ``top`` where no price that was tried does."""
-    fails, held = 0.0, top
-    for _ in range(STEPS):
-        trial = fails + (held - fails) / 2
-        if holds(trial):
-            held = trial
-        else:
-            fails = trial
-    return held
-
-
-Sums = Callable[[float, float, float], tuple[float, float, int]]
+@dataclass
+class Halving:
+    """The search for the least price below ``top`` that holds: ``STEPS`` halvings, ``held`` is ``top`` where none does."""
+
+    top: float
+    fails: float = 0.0
+    held: float = field(init=False)
+    steps: int = 0
+
+    def __post_init__(self) -> None:
+        self.held = self.top
+
+    def ahead(self) -> list[float]:
+        """All prices that the next ``AHEAD`` halvings can try."""
+        ranges, found = [(self.fails, self.held)], []
+        for _ in range(min(AHEAD, STEPS - self.steps)):
+            middles = [low + (high - low) / 2 for low, high in ranges]
+            found += middles
+            ranges = [r for (low, high), m in zip(ranges, middles, strict=True) for r in ((low, m), (m, high))]
+        return found
+
+    def go(self, holds: Callable[[float], bool]) -> None:
+        """The next ``AHEAD`` halvings."""
+        for _ in range(min(AHEAD, STEPS - self.steps)):
+            trial = self.fails + (self.held - self.fails) / 2
+            if holds(trial):
+                self.held = trial
+            else:
+                self.fails = trial
+            self.steps += 1
 
 
-def search(sums: Sums, tops: Histogram, limits: Constraints) -> Calibration:
+def search(hist: DataFrame, tops: DataFrame, limits: Constraints) -> Calibration:
     """The best prices that keep the limits: each price is the least that keeps its own, given those outside it.
 
     For a price of cost, the deep price is the least that keeps the number of deep nodes, and for
     both the depth price is the least that keeps the depth.  Of the trials for the cost price that
-    keep the cost, the one with the largest gain is taken.  ``sums`` gives gain, cost and deep nodes;
-    whether a depth is used depends on its largest potential alone, so ``tops`` has one pair a depth.
+    keep the cost, the one with the largest gain is taken.  Whether a depth is used depends on its largest
+    potential alone, so ``tops`` has a row for each depth beyond the limit.  ``iterations`` counts the
+    trials of all three prices that lead to the result.
     """
-    found = Calibration(skip_all=True, iterations=STEPS**3)
-
-    def depth_price(c: float, t: float) -> float:
-        return least_price(TOP_DEPTH, lambda d: tops.sums(c, d, t)[3] <= limits.max_depth)
-
-    def keeps_cost(c: float) -> bool:
-        nonlocal found
-        t = least_price(TOP_TIER3, lambda t: sums(c, depth_price(c, t), t)[2] <= limits.max_tier3)
-        d = depth_price(c, t)
-        gain, cost, deep = sums(c, d, t)
-        kept = cost <= limits.max_cost
-        if kept and gain > found.total_gain:
-            fits = deep <= limits.max_tier3 and tops.sums(c, d, t)[3] <= limits.max_depth
-            found = replace(found, lambda_cost=c, lambda_depth=d, lambda_tier3=t, total_gain=gain, total_cost=cost, tier3=deep, feasible=fits, skip_all=False)
-        return kept
-
-    least_price(TOP_COST, keeps_cost)
+    found, too_deep = Calibration(skip_all=True), not tops.isEmpty()
+
+    def below(pairs: list[tuple[float, float]]) -> list[tuple[float, bool]]:
+        return depth_prices(tops, pairs) if too_deep and pairs else [(TOP_DEPTH / 2**STEPS, True)] * len(pairs)
+
+    def summed(prices: list[Prices]) -> list[tuple[float, float, int]]:
+        rows = sorted(sums_by_price(hist, prices).collect(), key=lambda r: r["price"])
+        return [(r["gain"], r["cost"], r["tier3"]) for r in rows] or [(0.0, 0.0, 0)] * len(prices)
+
+    def inner(costs: list[float]) -> tuple[dict[float, tuple[float, float, bool]], dict[float, int]]:
+        """For each price of cost the other two, and whether the depth is kept; and the trials of them."""
+        deep, known = {c: Halving(TOP_TIER3) for c in costs}, {}
+        while any(x.steps < STEPS for x in deep.values()):
+            pairs = [(c, t) for c, x in deep.items() for t in x.ahead()]
+            known |= dict(zip(pairs, below(pairs), strict=True))
+            counts = dict(zip(pairs, summed([(c, known[c, t][0], t) for c, t in pairs]), strict=True))
+            for c, x in deep.items():
+                x.go(lambda t: counts[c, t][2] <= limits.max_tier3)  # noqa: B023
+        last = [(c, x.held) for c, x in deep.items() if (c, x.held) not in known]
+        known |= dict(zip(last, below(last), strict=True))
+        return {c: (known[c, x.held][0], x.held, known[c, x.held][1]) for c, x in deep.items()}, {c: x.steps * STEPS for c, x in deep.items()}
+
+    outer = Halving(TOP_COST)
+    while outer.steps < STEPS:
+        costs = outer.ahead()
+        others, trials = inner(costs)
+        sums = dict(zip(costs, summed([(c, *others[c][:2]) for c in costs]), strict=True))
+
+        def keeps_cost(c: float) -> bool:
+            nonlocal found
+            (d, t, shallow), (gain, cost, deep) = others[c], sums[c]  # noqa: B023
+            found.iterations += trials[c]  # noqa: B023
+            if cost <= limits.max_cost and gain > found.total_gain:
+                found = replace(found, lambda_cost=c, lambda_depth=d, lambda_tier3=t, total_gain=gain, total_cost=cost, tier3=deep, feasible=deep <= limits.max_tier3 and shallow, skip_all=False)
+            return cost <= limits.max_cost
+
+        outer.go(keeps_cost)
     return found
 
 
@@ -205,12 +269,8 @@ def optimise(tree: DataFrame, limits: Constraints | None = None) -> tuple[Calibr
     else:
         with scratch(tree.sparkSession):
             hist = written(pairs_of(tree), "histogram")
-            tops = Histogram([tuple(r) for r in hist.groupBy("depth").agg(F.max("p").alias("p")).select("p", "depth", F.lit(1)).collect()])
-            if hist.count() <= DRIVER_PAIRS:
-                whole = Histogram([tuple(r) for r in hist.collect()])
-                found = search(lambda *x: whole.sums(*x)[:3], tops, limits)
-            else:
-                found = search(lambda *x: tuple(sums_by_price(hist, [x]).first())[1:], tops, limits)
+            tops = written(hist.where(F.col("depth") > limits.max_depth).groupBy("depth").agg(F.max("p").alias("p")), "depths")
+            found = search(hist, tops, limits)
     if found.skip_all:
         tiers = tree.withColumns({"tier": F.lit("skip"), "gain": F.lit(0.0), "cost": F.lit(0.0)})
     else:

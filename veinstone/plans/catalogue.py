@@ -481,10 +481,40 @@ def lambda_grid(spark, d):
     return found.select("i", "j", "k", F.round("gain", 4).alias("gain"), "cost", "tier3")
 
 
-@query(None)
+def _calibrate_sql(limits: allocate.Constraints) -> str:
+    """Plain trials by halvings, nested: a price is a number of steps, found bit by bit; the histogram is one list."""
+    halvings = f"{[0] + [1 << k for k in reversed(range(allocate.STEPS))]}::BIGINT[]"
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    price = lambda top, k: f"({top}::DOUBLE * ({k}) / {1 << allocate.STEPS}::DOUBLE)"
+    least = lambda k, step, holds: f"(list_reduce({halvings}, lambda {k}, {step}: {k} + CASE WHEN {holds} THEN 0 ELSE {step} END) + 1)"
+    net = lambda x, c, d, t: [f"({x}.p * 0.3 - {c} * 1.0 - {d} * {x}.d)", f"({x}.p * 0.7 - {c} * 2.0 - {d} * {x}.d)", f"({x}.p * 1.0 - {c} * 4.0 - {d} * {x}.d - {t})"]
+    by_tier = lambda x, c, d, t, of: "CASE WHEN greatest(0.0, {0}, {1}, {2}) <= 0 THEN 0 WHEN {0} >= greatest({1}, {2}) THEN {3} WHEN {1} >= {2} THEN {4} ELSE {5} END".format(*net(x, c, d, t), *of)
+    total = lambda c, d, t, of: f"coalesce(list_sum(list_transform(h, lambda x: x.n * {by_tier('x', c, d, t, of)})), 0)"
+    unused = lambda c, d, t: "len(list_filter(tops, lambda z: greatest({}, {}, {}) > 0)) = 0".format(*net("z", c, d, t))
+    depth = lambda c, t: price(allocate.TOP_DEPTH, least("i", "si", let("ld", price(allocate.TOP_DEPTH, "i + si"), unused(c, "ld", t))))
+    deep_kept = let("ot", depth("lc", "lt"), total("lc", "ot", "lt", (0, 0, 1)) + f" <= {limits.max_tier3}")
+    deep = lambda c: price(allocate.TOP_TIER3, least("j", "sj", let("lt", price(allocate.TOP_TIER3, "j + sj"), deep_kept)))
+    both = lambda c, body: let("lc", c, let("bt", deep("lc"), let("bd", depth("lc", "bt"), body)))
+    cost_kept = both(price(allocate.TOP_COST, "k + sk"), total("lc", "bd", "bt", (1, 2, 4)) + f" <= {limits.max_cost}")
+    tried = f"[((steps - 1) >> (s + 1) << (s + 1)) + (1 << s) for s in range({allocate.STEPS - 1}, -1, -1) if ((steps - 1) >> s) & 1 = 0]"
+    gain = both("c", "{'c': lc, 'd': bd, 't': bt, 'gain': " + total("lc", "bd", "bt", ("x.p * 0.3", "x.p * 0.7", "x.p * 1.0")) + "}")
+    solved = f"CASE WHEN best IS NULL THEN 'skip' ELSE {_tier_sql('best.c', 'best.d', 'best.t')} END"
+    return (
+        A.EVENT_TREE_SQL + f", hist AS (SELECT p, d, count(*) AS n FROM tree GROUP BY 1, 2), lists AS (SELECT (SELECT list({{'p': p, 'd': d, 'n': n}}) FROM hist) AS h, coalesce((SELECT list({{'p': p, 'd': d}}) FROM (SELECT d, max(p) AS p FROM hist WHERE d > {limits.max_depth} GROUP BY 1)), []) AS tops)"
+        f", found AS (SELECT h, tops, {least('k', 'sk', cost_kept)} AS steps FROM lists), kept AS (SELECT h, tops, unnest({tried}) AS k FROM found), priced AS (SELECT list_transform([{price(allocate.TOP_COST, 'k')}], lambda c: {gain})[1] AS x FROM kept)"
+        f", best AS (SELECT arg_max(x, (round(x.gain, 6), x.c)) FILTER (x.gain > 0) AS best FROM priced), s AS (SELECT cid, p, {solved} AS tier FROM tree, best)"
+        f" SELECT cid, tier, round(p * {_GAIN.format(t='tier')}, 9) AS gain, ({_COST.format(t='tier')})::DOUBLE AS cost FROM s"
+    )
+
+
+_EVENT_LIMITS = allocate.Constraints(10000, 3, 2000)
+
+
+@query(_calibrate_sql(_EVENT_LIMITS))
 def wqs_calibrate(spark, d):
     """Tiers of the events under prices found by bisection; all half-lives are taken as one."""
-    return allocate.optimise(A.event_tree(spark, d).withColumn("half_life_secs", F.lit(3600.0)), allocate.Constraints(10000, 3, 2000))[1].select("cid", "tier", "gain", "cost")
+    tree = A.event_tree(spark, d).withColumn("half_life_secs", F.lit(3600.0))
+    return allocate.optimise(tree, _EVENT_LIMITS)[1].select("cid", "tier", F.round("gain", 9).alias("gain"), "cost")
 
 
 @query("SELECT 'c' || doc_id AS cid, 'r3' AS root_cid, lpad(doc_id::VARCHAR, 12, '0') AS ts, n_chars::DOUBLE AS total_gain FROM documents WHERE doc_id % 7 = 3")
