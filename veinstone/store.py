@@ -79,16 +79,20 @@ def scratch(spark: SparkSession) -> Iterator[Owner]:
         owner.close()
 
 
+def folder(spark: SparkSession, what: str, *, keep: bool = False) -> str:
+    """A new folder's name in the shared one, for what isn't one table; it goes as ``written`` says."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    open_ = _owners.get()
+    (unowned, *(open_[:-1] if keep else open_))[-1].paths.append(path)
+    return path
+
+
 def written(df: DataFrame, what: str, *, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, and safe from lost executors.
 
     The table belongs to the innermost ``scratch`` or ``Owner`` of this thread, with ``keep`` to the one
     around it, and goes when that ends or is closed; without any, when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    open_ = _owners.get()
-    owners = (unowned, *(open_[:-1] if keep else open_))
-    owners[-1].paths.append(path)
+    path = folder(df.sparkSession, what, keep=keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
