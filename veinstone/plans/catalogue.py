@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nodes as N
-from ..operators import allocate, audit, digests, graph, projection, scores, symbols, tasks
+from ..operators import allocate, audit, digests, graph, ngrams, projection, scores, symbols, tasks
 from ..operators import blobs as B
 from ..sources import oplog
-from ..store import folder
+from ..store import folder, written
 from ..streaming import supersede
 from ..versions import changed, diff
 from . import adapters as A
@@ -355,6 +355,23 @@ def search_lines(spark, d):
     return graph.search_lines(B.blobs_of(t(spark, d, "documents"), F.col("text")), "Rights Reserved", None)
 
 
+def _indexed(spark, blobs):
+    blobs, path = written(blobs, "blobs"), folder(spark, "trigrams")
+    ngrams.build(blobs, path)
+    return blobs, path
+
+
+@query(A.BLOBS_SQL + "SELECT cid, left(data, 200) AS snippet FROM blobs WHERE contains(lower(data), 'thou')")
+def search_indexed(spark, d):
+    """All blobs with a text, by an index of all blobs."""
+    return ngrams.search(*_indexed(spark, A.all_blobs(spark, d)), "Thou", None)
+
+
+@query(ORACLES["search_lines"])
+def search_lines_indexed(spark, d):
+    return ngrams.search_lines(*_indexed(spark, B.blobs_of(t(spark, d, "documents"), F.col("text"))), "Rights Reserved", None)
+
+
 @query(A.NODES_SQL + "SELECT DISTINCT n.cid, c.text AS content FROM n JOIN conversations c USING (conv_id, turn)")
 def reasoning_text(spark, d):
     blobs = A.all_blobs(spark, d)
