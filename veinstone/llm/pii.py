@@ -6,8 +6,13 @@ replaces single characters (full-width, Cyrillic and Greek look-alikes, digits o
 characters without width), the second at and dot in words or brackets, the third spelled digits and
 plus.  Each emits edits, (source span, output, core of the source span), and copies the rest, so an
 offset of its output is mapped back by a search among its edits.  The same detectors run over the
-rewritten text, and what they find is mapped back through all three; a span is added where no plain
-span of its kind overlaps it.  A text in which no transducer has an edit is not read again.
+rewritten text, and what they find is mapped back through all three.  A span is added where no plain
+span of its kind overlaps it, or where it holds those that do and reaches beyond them by a replaced
+character or a bracketed word, as in an address of which a look-alike hides the head.  A text in which
+no transducer has an edit is not read again.
+
+Words that are also prose need more than words in brackets: a bare at is rewritten only where spelled dots
+follow that end, with a known top-level domain, at the end of a clause.
 
 Every pass is linear in the text.  Offsets are code points, ends exclusive.
 """
@@ -93,8 +98,10 @@ LOOK_ALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u2024": ".", "\u3002": ".", "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
-# What a spelled-out domain may end in, besides two letters.
-TOP_LEVEL = frozenset(["com", "org", "net", "edu", "gov", "info", "biz", "name", "dev", "app"])
+# What a spelled-out domain may end in: generic names, and country codes.
+TOP_LEVEL = frozenset(["com", "org", "net", "edu", "gov", "info", "biz", "name", "dev", "app"]) | frozenset(
+    "ae ar at au be bg br ca ch ci cl cn co cy cz de dk ee eg es eu fi fr gb gr hk hr hu id ie il in io ir is it jp ke kr lt lu lv ma me mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tr tv tw ua uk us uy vn za".split()
+)
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _FOLDED = str.maketrans("\u0131\u017f", "is")  # letters that patterns without case take for i and s
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
@@ -125,6 +132,9 @@ _NUMERAL = "|".join(DIGIT_WORDS)
 _BRACKETED = "|".join(rf"{re.escape(a)}\s*(?:{{0}})\s*{re.escape(b)}" for a, b in ("()", "[]", "{}", "<>"))
 # a run of white space is tried from its start only
 _CONNECTOR = re.compile(rf"(?:(?<!\s)\s++)?(?:{_BRACKETED.replace('{0}', 'at|dot')})\s*|(?<!\s)\s++(?:at|dot)\s+", re.I)
+_IN_BRACKETS = re.compile(_BRACKETED.replace("{0}", "at|dot"), re.I)
+#: What may stand behind a domain that ends a clause.
+_CLAUSE_ENDS = re.compile(r"[^\S\n]*(?:[\n.,;:!?)\]}>\"'\u2019\u201d]|\Z)").match
 _CORE = re.compile(r"\S(?:.*\S)?", re.S).search
 _LABELS = re.compile(r"[a-z0-9-]++(?:\.[a-z0-9-]++)*+", re.I)
 _NUMBER = re.compile(rf"(?:{_NUMERAL}|[0-9]+)\b", re.I)
@@ -145,12 +155,12 @@ def connectors(text: str) -> list[Edit]:
 
     In brackets they are always rewritten.  A bare dot is rewritten where labels and dots lead on to
     a top-level domain, or between numbers; a bare at where a label, a spelled dot and such a domain
-    follow.  The text is read from right to left: whether a domain follows a connector depends on
-    the labels behind it and, if they end at another connector, on that one.
+    follow, with which the clause ends.  The text is read from right to left: whether a domain follows a
+    connector depends on the labels behind it and, if they end at another connector, on that one.
     """
     found = [m.span() for m in _CONNECTOR.finditer(text)]
     out: list[Edit] = []
-    next_start, next_dot, next_leads = -1, False, False
+    next_start, next_dot, next_leads, next_closes = -1, False, False, False
     for a, b in reversed(found):
         core = _CORE(text, a, b)
         said = core.group()
@@ -158,17 +168,18 @@ def connectors(text: str) -> list[Edit]:
         labels = _LABELS.match(text, b)
         end = labels.end() if labels else b
         on = labels is not None and end == next_start and next_dot
-        ends = labels is not None and any(x in TOP_LEVEL or len(x) == 2 and x.isalpha() for x in labels.group().lower().split("."))
-        leads = ends or on and next_leads
+        names = labels.group().lower().split(".") if labels else [""]
+        leads = any(x in TOP_LEVEL for x in names) or on and next_leads
+        closes = next_closes if on else names[-1] in TOP_LEVEL and _CLAUSE_ENDS(text, end) is not None
         if not bare:
             take = True
         elif dot:
             take = leads or _NUMBER.match(text, b) is not None and _ENDS_IN_NUMBER.search(text, max(0, a - 8), a) is not None
         else:
-            take = on and next_leads and "." not in labels.group()
+            take = on and closes and len(names) == 1
         if take:
             out.append((a, b, "." if dot else "@", core.start(), core.end()))
-        next_start, next_dot, next_leads = a, dot, leads
+        next_start, next_dot, next_leads, next_closes = a, dot, leads, closes
     return out[::-1]
 
 
@@ -231,16 +242,22 @@ def disguised(text: str) -> list[Span]:
     return found
 
 
+def _reaches_beyond(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> bool:
+    """Whether a disguised span adds something to plain spans of its kind, which don't overlap each other."""
+    first, last = bisect_right(ends, a), bisect_right(starts, b - 1) - 1
+    if first > last:
+        return True
+    if starts[first] < a or ends[last] > b:
+        return False
+    beyond = text[a : starts[first]], text[ends[last] : b]
+    return any(_ODD.search(x) or _IN_BRACKETS.search(x) for x in beyond)
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and all spans: the plain ones and disguised ones that overlap none of their kind."""
+    """Plain spans, and all spans: the plain ones and disguised ones that overlap none of their kind or hold them and more."""
     base = plain(text)
-    more = []
     places = {k: ([s for kind, s, _ in base if kind == k], [e for kind, _, e in base if kind == k]) for k in KINDS}
-    for kind, a, b in disguised(text):
-        starts, ends = places[kind]  # spans of a kind don't overlap: only the last one that starts before b can reach a
-        i = bisect_right(starts, b - 1) - 1
-        if i < 0 or ends[i] <= a:
-            more.append((kind, a, b))
+    more = [(kind, a, b) for kind, a, b in disguised(text) if _reaches_beyond(text, a, b, *places[kind])]
     return base, sorted({*base, *more}, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
 
