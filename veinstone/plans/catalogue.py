@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nodes as N
-from ..operators import allocate, audit, digests, graph, ngrams, projection, scores, symbols, tasks
+from ..operators import allocate, audit, bloom, digests, graph, ngrams, projection, scores, symbols, tasks
 from ..operators import blobs as B
 from ..sources import oplog
 from ..store import folder, written
@@ -201,6 +201,16 @@ def gc_orphans(spark, d):
     return B.orphans(blobs, graph.nodes_of(blobs)).select("cid", "size")
 
 
+@query(_ORPHANS + "SELECT cid, size FROM blobs WHERE cid NOT IN (SELECT cid FROM refs)")
+def gc_orphans_by_filter(spark, d):
+    """The same with the filters of two halves of the nodes, which are merged; only what may be referred to is joined."""
+    blobs = written(A.all_blobs(spark, d), "blobs")
+    nodes = graph.nodes_of(blobs)
+    halves = [nodes.where(F.pmod(F.xxhash64("cid"), F.lit(2)) == i) for i in (0, 1)]
+    words = bloom.merged([bloom.build(B.referenced(h), "cid") for h in halves])
+    return bloom.orphans(blobs, nodes, words).select("cid", "size")
+
+
 @query(_ORPHANS + "SELECT count(*) AS orphans, coalesce(sum(size), 0)::BIGINT AS orphan_bytes FROM blobs WHERE cid NOT IN (SELECT cid FROM refs)")
 def gc_report(spark, d):
     blobs = A.all_blobs(spark, d)
