@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import nodes as N
 from ..operators import allocate, audit, bloom, digests, graph, ngrams, projection, scores, symbols, tasks
 from ..operators import blobs as B
-from ..sources import oplog
+from ..sources import files, oplog
 from ..store import folder, written
 from ..streaming import supersede
 from ..versions import changed, diff
@@ -75,6 +75,17 @@ def blob_delete(spark, d):
     return B.delete(A.all_blobs(spark, d), B.blobs_of(t(spark, d, "documents"), F.col("text"))).select("cid")
 
 
+@query("SELECT doc_id // 100 AS part, sum(octet_length(encode(text)) + 1)::BIGINT AS length, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS cid FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def file_addresses(spark, d):
+    """Addresses of files, one for each hundred documents, that tasks stream."""
+    place = folder(spark, "files")
+    docs = t(spark, d, "documents").where("text IS NOT NULL").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", "text")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(place)
+    listed = files.listing(spark, place)
+    found = files.addresses(listed).join(listed, "path")
+    return found.select(F.regexp_extract("path", r"part=(-?\d+)", 1).cast("long").alias("part"), "length", "cid")
+
+
 @query("SELECT sha256(html) AS cid, sha256(html) IN (SELECT sha256(text) FROM conversations) AS stored FROM pages")
 def blob_exists(spark, d):
     return B.exists(t(spark, d, "pages").select(F.sha2("html", 256).alias("cid")), B.blobs_of(t(spark, d, "conversations"), F.col("text")))

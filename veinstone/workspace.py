@@ -17,7 +17,7 @@ from . import schema as S
 from .functions import nodes as N
 from .functions.address import cid, hash_bytes, hash_file
 from .operators import allocate, audit, blobs, graph, projection, scores, symbols, tasks
-from .sources import oplog
+from .sources import files, oplog
 from .store import remove, scratch, written
 from .versions import Versions
 
@@ -331,10 +331,10 @@ class Workspace:
         self.versions.commit({"context_files": self.table("context_files").where(F.col("path") != path)}, f"untrack {path}")
 
     def drift(self) -> list[dict]:
-        """Tracked files as they are on this machine now."""
+        """Tracked files as they are now; tasks read them."""
         tracked = self.table("context_files").select("path", "cid")
-        here = [(r["path"], hash_file(r["path"], self.store.method)) for r in tracked.collect() if os.path.isfile(r["path"])]
-        found = audit.drift(tracked, self.spark.createDataFrame(here, "path string, current_cid string"))
+        here = files.addresses(files.sized(tracked), self.store.method).withColumnRenamed("cid", "current_cid")
+        found = audit.drift(tracked, here)
         return [r.asDict() for r in found.orderBy("path").collect()]
 
     def scan(self, path: str) -> int:
