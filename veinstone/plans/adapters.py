@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import blobs as B
 from ..operators import graph
+from ..schema import DIMENSIONS
 
 TS = "2026-01-01T00:00:00+00:00"
 
@@ -148,6 +149,16 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = "WITH s AS (SELECT 'doc:' || doc_id AS node_cid, source AS agent, 'correctness' AS dimension, quality::DOUBLE AS value FROM labels JOIN documents USING (doc_id) UNION ALL SELECT 'doc:' || doc_id, source, 'style', 1 - toxic FROM labels JOIN documents USING (doc_id))\n"
 
 
+def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scores of all dimensions: the agent from the user, the value from the event's, at its time."""
+    dimension = F.element_at(F.array(*[F.lit(d) for d in DIMENSIONS]), (F.col("event_id") % len(DIMENSIONS) + 1).cast("int"))
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double")
+    return t(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("agent"), dimension.alias("dimension"), F.least(F.col("value") / 500, F.lit(1.0)).cast("float").alias("value"), at.alias("at"), "event_id")
+
+
+EVENT_SCORES_SQL = f"WITH s AS (SELECT 'u' || user_id % 50 AS agent, {list(DIMENSIONS)}[event_id % {len(DIMENSIONS)} + 1] AS dimension, least(value / 500, 1.0)::FLOAT::DOUBLE AS value, epoch_us(ts) / 1000000.0 AS sec FROM events)\n"
+
+
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows like ``dag_nodes`` with a saturation that follows from the length of the text."""
     r = F.col("n_chars") % 5

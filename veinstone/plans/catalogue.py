@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nodes as N
-from ..operators import allocate, audit, bloom, digests, graph, ngrams, projection, scores, symbols, tasks
+from ..operators import allocate, audit, bloom, digests, graph, ngrams, projection, rollups, scores, symbols, tasks
 from ..operators import blobs as B
+from ..schema import DIMENSIONS
 from ..sources import files, oplog
 from ..store import folder, written
 from ..streaming import supersede
@@ -456,6 +457,32 @@ def agent_pivot(spark, d):
     return scores.agent_profile(A.document_scores(spark, d))
 
 
+def _kept_up(spark, scores, by):
+    """Rollups after three appends of different sizes."""
+    path = folder(spark, "rollups")
+    for low, high in ((0, 1), (1, 4), (4, 16)):
+        rollups.append(path, scores.where(F.pmod(F.xxhash64(by), F.lit(16)).between(low, high - 1)))
+    return rollups.read(spark, path)
+
+
+@query(ORACLES["score_profile"])
+def rollup_profile(spark, d):
+    scored = A.document_scores(spark, d).withColumn("at", F.lit(None).cast("double"))
+    return rollups.profile(_kept_up(spark, scored, "node_cid")).drop("recent")
+
+
+@query(ORACLES["best_agent"])
+def rollup_routes(spark, d):
+    scored = A.document_scores(spark, d).withColumn("at", F.lit(None).cast("double"))
+    return rollups.best_agents(_kept_up(spark, scored, "node_cid"))
+
+
+@query(A.EVENT_SCORES_SQL + f", w AS (SELECT *, pow(2.0, (sec - max(sec) OVER ()) / {rollups.HALF_LIFE}) AS weight FROM s) SELECT agent, " + ", ".join(f"round(avg(value) FILTER (dimension = '{x}'), 3) AS {x}" for x in DIMENSIONS) + ", count(*) AS total, round(sum(value * weight) / sum(weight), 6) AS recent FROM w GROUP BY 1")
+def rollup_agents(spark, d):
+    """Profiles of all dimensions from rollups of events, with the mean in which recent scores count more."""
+    return rollups.agent_profile(_kept_up(spark, A.event_scores(spark, d), "event_id"))
+
+
 @query(A.SCORES_SQL + "SELECT dimension, value, CASE WHEN value >= 0.8 THEN 'PASS' WHEN value >= 0.3 THEN 'WARN' ELSE 'FAIL' END AS icon FROM s WHERE node_cid = 'doc:4'")
 def scores_for_node(spark, d):
     found = scores.for_node(A.document_scores(spark, d), "doc:4")
@@ -777,10 +804,11 @@ def sync_symbols(spark, d):
     return projection.sync_symbols(old, again)
 
 
-@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'rust' END AS language, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr') GROUP BY 1")
+@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'rust' END AS language, count(*) AS n FROM documents GROUP BY 1")
 def detected_languages(spark, d):
-    tail = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "de", "rs").otherwise("txt")
-    paths = t(spark, d, "documents").where("lang IN ('en', 'de', 'fr')").select(F.concat(F.lit("a.b/c."), tail).alias("path"))
+    """By the ending of a path for every document; most endings have no language."""
+    tail = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "de", "rs").otherwise(F.coalesce("lang", F.lit("")))
+    paths = t(spark, d, "documents").select(F.concat(F.lit("a.b/c."), tail).alias("path"))
     return paths.groupBy(symbols.language_of(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
