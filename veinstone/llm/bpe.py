@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast vocabularies may have at most so many bytes; larger rank files are refused.
 MAX_RANK_BYTES = 64 << 20
+#: Pre-tokens and states that a worker remembers, by default.
+MAX_PIECES, MAX_STATES = 300_000, 80_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -42,7 +44,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """``encode(piece)`` gives the ids of one pre-token as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
         self.ranks = ranks
@@ -194,9 +196,9 @@ class Encoder(dict):
     use; of a first use only one byte of a hash table is kept.  What isn't remembered is made
     again by the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
         super().__init__()
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, max_states)
         self.pieces = regex.compile(pattern).findall
         self.max_pieces = max_pieces
         self.older: dict[str, bytes] = {}
@@ -305,17 +307,18 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def coders(ranks: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+def coders(ranks: bytes, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> tuple[Encoder, Decoder]:
     """One pair for each Python worker; later tasks find its states and pieces."""
     vocabulary = parse_ranks(ranks)
-    return Encoder(vocabulary, pattern), Decoder(vocabulary)
+    return Encoder(vocabulary, pattern, max_pieces, max_states), Decoder(vocabulary)
 
 
-def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """Encode each whole text, decode the ids again, and digest both.
 
     Returns ``id_col, n_tokens, ids_sha256, decoded_sha256, well_formed`` and, ``with_ids``,
-    ``ids`` (binary, unsigned 32-bit little-endian).  A map over partitions: no shuffle, memory
+    ``ids`` (binary, unsigned 32-bit little-endian).  ``max_pieces`` and ``max_states`` bound what a worker
+    remembers, not what it gives.  A map over partitions: no shuffle, memory
     bounded by one record batch and the memory limits above.  Null and empty texts have no ids
     and the digests of the empty string; repeated rows and null ids stay as they are; other
     columns of ``docs``, whatever their names, are not read.
@@ -327,7 +330,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str =
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coders(sent.value, pattern)
+        encoder, decoder = coders(sent.value, pattern, max_pieces, max_states)
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             counts, id_hashes, byte_hashes, clean, kept = [], [], [], [], []
             for text in batch.column(1):
