@@ -20,6 +20,8 @@ from veinstone.store import remove, scratch, shared_dir
 
 #: Documents whose best language has a smaller share of the positions are rejected.
 MIN_LANGUAGE_SCORE = 0.35
+#: What a worker of the last stage remembers: it stays beside what workers of other stages hold.
+MAX_PIECES, MAX_STATES = 100_000, 40_000
 
 
 def _same(docs: DataFrame, rows: DataFrame) -> Column:
@@ -77,7 +79,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row for every row of ``docs``.
     """
-    return bpe.encode_decode(docs, rank_file(), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.encode_decode(docs, rank_file(), public_tokenizers.PATTERN, with_ids=True, max_pieces=MAX_PIECES, max_states=MAX_STATES)
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("byte-level BPE", encode)]
