@@ -78,3 +78,16 @@ def test_a_path_of_10000_nodes_takes_logarithmic_rounds(spark):
     got = {r["start"]: (r["n"], r["deepest"], r["sum"]) for r in found.groupBy("start").agg(F.count("cid").alias("n"), F.max("depth").alias("deepest"), F.sum(F.col("depth") + F.substring("cid", 2, 5).cast("int")).alias("sum")).collect()}
     assert got["n09990"] == (11, 10, sum(range(9990, 10_001)) + sum(range(11)))
     assert got["n00000"] == (10_001, 10_000, 2 * sum(range(10_001)))
+
+
+def test_many_roots_take_the_rounds_of_one(spark, monkeypatch):
+    """All roots go along in one frontier, so jobs don't follow their number."""
+    edges = spark.createDataFrame([(f"n{i:04}", f"n{i // 3:04}") for i in range(1, 1200)] + [(f"n{i:04}", f"n{i - 7:04}") for i in range(7, 1200, 11)], "src string, dst string")
+    tables, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, what, **more: (tables.append(what), real(df, what, **more))[1])
+    rounds, found = [], {}
+    for starts in (["n1199"], [f"n{i:04}" for i in range(200, 1200)]):
+        tables.clear()
+        found = graph.walk(spark.createDataFrame([(s,) for s in starts], "start string"), edges)
+        rounds.append(len(tables))
+    assert rounds[1] < 2 * rounds[0] and found.select("start").distinct().count() == 1000

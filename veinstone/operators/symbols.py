@@ -213,7 +213,7 @@ def symbols(source: str | None, language: str | None) -> Iterator[Symbol]:
         yield from {"python": python_symbols, "rust": rust_symbols}.get(language or "", lambda _: iter(()))(source)
 
 
-@udtf(returnType=T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("parent", T.StringType())]))
+@udtf(returnType=T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("parent", T.StringType())]), useArrow=True)
 class Symbols:
     """``LATERAL symbols(source, language)``."""
 
