@@ -73,7 +73,7 @@ def table(seed=13):
     return rows
 
 
-@pytest.mark.parametrize("budget, fresh, history", [(chat.BUDGET, chat.FRESH, chat.HISTORY), (60, 30, 20), (40, 40, 40), (20, 10, 0), (9, 5, 3)])
+@pytest.mark.parametrize("budget, fresh, history", [(chat.BUDGET, chat.FRESH, chat.HISTORY), (60, 30, 20), (20, 10, 0)])
 def test_windows_equal_plain_code(spark, monkeypatch, budget, fresh, history):
     monkeypatch.setattr(chat, "BLOCK", 4 if budget < 100 else chat.BLOCK)
     rows = table()

@@ -45,7 +45,7 @@ def rows():
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (5, texts[5]), (5, texts[6]), (5, texts[5])], [" ".join(rng.choice(vocabulary[:40]) for _ in range(30)) for _ in range(9)] + [None, ""]
 
 
-@pytest.mark.parametrize("options", [{}, {"longest": 3, "buckets": 50, "percent": 33, "min_words": 5}, {"percent": 100, "min_words": 0}])
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "buckets": 50, "percent": 33, "min_words": 5}])
 def test_resample_equals_plain_code(spark, options):
     docs, items = rows()
     table = spark.createDataFrame([(i, t, "k", "s", "r", 1, "i") for i, t in docs], SCHEMA)
