@@ -35,16 +35,19 @@ def parse(data: Column) -> Column:
     that the schema doesn't have are ignored.
     """
     text = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
-    v = F.try_parse_json(text)
-    node = F.from_json(text, NODE)
-    typed = F.lit(True)
-    for name in ("kind", "output_cid", "agent", "timestamp"):
-        typed = typed & (F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING")
-    fine = F.lit(True)
-    for name in REQUIRED:
-        fine = fine & node[name].isNotNull()
-    fine = fine & node["kind"].isin(NODE_KINDS) & F.forall(node["parents"], lambda p: p.isNotNull())
-    return F.when(F.coalesce(fine & typed, F.lit(False)), node)
+
+    def checked(read: Column) -> Column:
+        node, fine = read["node"], F.lit(True)
+        for name in REQUIRED:
+            fine = fine & node[name].isNotNull()
+        fine = fine & node["kind"].isin(NODE_KINDS) & F.forall(node["parents"], lambda p: p.isNotNull())
+        for name in ("kind", "output_cid", "agent", "timestamp"):
+            fine = fine & (F.schema_of_variant(F.try_variant_get(read["v"], f"$.{name}", "variant")) == "STRING")
+        return F.when(F.coalesce(fine, F.lit(False)), node)
+
+    # Bound to a name of a lambda, so that a text is parsed once however often its node is asked for.
+    read = F.struct(F.from_json(text, NODE).alias("node"), F.try_parse_json(text).alias("v"))
+    return F.get(F.transform(F.array(read), checked), F.lit(0))
 
 
 def meta_get(meta: Column, name: str) -> Column:

@@ -24,15 +24,24 @@ COLOURS = {"memory": "#E8F5E9", "code": "#E3F2FD", "reasoning": "#FFF3E0", "task
 
 def nodes_of(blobs: DataFrame) -> DataFrame:
     """``cid`` and the node fields of every blob that is a node."""
-    return blobs.select("cid", parse(F.col("data")).alias("node")).where("node IS NOT NULL").select("cid", "node.*")
+    one = F.explode(F.array(parse(F.col("data"))))  # a filter isn't moved below it, where it would parse again
+    return blobs.select("cid", one.alias("node")).where("node IS NOT NULL").select("cid", "node.*")
+
+
+def links_of(nodes: DataFrame, *more: str) -> DataFrame:
+    """``parent_cid, child_cid, ordinal, edge_kind`` and columns ``more`` of the node, row by row of ``nodes``; of a repeated parent the first place counts."""
+    link = lambda p, i: F.struct(i.alias("ordinal"), p.alias("parent_cid"))
+    # Repeated parents stand side by side when sorted; the sorted array is bound to a name, so that it is sorted once.
+    placed = F.array(F.array_sort(F.transform("parents", lambda p, i: F.struct(p.alias("parent_cid"), i.alias("ordinal")))))
+    first = F.get(F.transform(placed, lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["parent_cid"].eqNullSafe(x["parent_cid"]))), F.lit(0))
+    own = F.when(F.size(F.array_distinct("parents")) == F.size("parents"), F.transform("parents", link)).otherwise(F.transform(first, lambda x: link(x["parent_cid"], x["ordinal"])))
+    links = nodes.select(F.col("cid").alias("child_cid"), F.explode(own).alias("x"), "parent_kinds", *more)
+    return links.select("x.parent_cid", "child_cid", "x.ordinal", edge_kind(F.get("parent_kinds", F.col("x.ordinal"))).alias("edge_kind"), *more)
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
-    """``parent_cid, child_cid, ordinal, edge_kind``; of a repeated parent the first place counts."""
-    links = nodes.select(F.col("cid").alias("child_cid"), F.posexplode("parents").alias("ordinal", "parent_cid"), "parent_kinds")
-    kind = edge_kind(F.get("parent_kinds", F.col("ordinal")))
-    first = F.min(F.struct("ordinal", kind.alias("edge_kind")))
-    return links.groupBy("parent_cid", "child_cid").agg(first.alias("x")).select("parent_cid", "child_cid", "x.ordinal", "x.edge_kind")
+    """``parent_cid, child_cid, ordinal, edge_kind``, each edge once: an address stands for one node, however often it is there."""
+    return links_of(nodes.select("cid", "parents", "parent_kinds").repartition("cid").dropDuplicates(["cid"]))
 
 
 #: Levels that a walk takes one by one; what goes on beyond them goes along chains.

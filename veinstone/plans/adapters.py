@@ -86,11 +86,12 @@ def order_node_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("part:"), "l_partkey"))).alias("parts"))
     o = t(spark, sf_dir, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    parents = F.concat(F.array(F.concat(F.lit("customer:"), "o_custkey")), F.coalesce("parts", F.array().cast("array<string>")))
-    kinds = F.transform(parents, lambda _, i: F.when(i == 0, "derives").otherwise("grounds"))
+    # One step after the other, so that no array is built again for each of its uses.
+    o = o.select("o_orderkey", "o_orderpriority", F.concat(F.array(F.concat(F.lit("customer:"), "o_custkey")), F.coalesce("parts", F.array().cast("array<string>"))).alias("parents"))
+    o = o.withColumn("kinds", F.transform("parents", lambda _, i: F.when(i == 0, "derives").otherwise("grounds")))
     none = F.lit(None).cast("string")
     node = F.struct(
-        F.lit("task").alias("kind"), parents.alias("parents"), canonical_kinds(parents, kinds).alias("parent_kinds"), F.sha2(F.concat(F.lit("order:"), "o_orderkey"), 256).alias("output_cid"),
+        F.lit("task").alias("kind"), F.col("parents"), canonical_kinds(F.col("parents"), F.col("kinds")).alias("parent_kinds"), F.sha2(F.concat(F.lit("order:"), "o_orderkey"), 256).alias("output_cid"),
         F.col("o_orderpriority").alias("agent"), F.lit(TS).alias("timestamp"), F.array().cast("array<array<string>>").alias("meta"), none.alias("schema_cid"), F.lit(None).cast("double").alias("activation"), F.lit(None).cast(DECAY).alias("decay_config"),
     )
     return o.select(to_json(node).cast("binary").alias("data")).select(F.sha2("data", 256).alias("cid"), "data")
