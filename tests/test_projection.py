@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from veinstone.operators import graph
+from veinstone.operators import graph, projection
 from veinstone.plans import adapters as A
 
 DATA = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_a_blob_is_parsed_once(spark):
     assert parses(graph.edges_of(graph.nodes_of(blobs))) == 1
 
 
-@pytest.mark.parametrize("name, times", [("projection_rebuild", 1)])
+@pytest.mark.parametrize("name, times", [("projection_rebuild", 1), ("projection_verify", 2)])
 def test_queries_parse_no_more_than_they_must(spark, name, times):
     assert parses(entry.queries()[name](spark, DATA)) == times
 
@@ -38,6 +38,13 @@ def test_links_of_nodes_with_repeated_parents_and_none(spark):
     assert got == sorted([(*e, None if e[1] == "e" else "o") for e in [*once, once[-1]]], key=str)
 
 
+def test_verify_hands_columns_of_the_node_on(spark):
+    nodes = spark.createDataFrame([("c", ["p", "q", "r"], None, "o")], NODES)
+    table = spark.createDataFrame([("q", "c", 1, "grounds"), ("r", "c", 2, "derives"), ("x", "c", 0, "derives")], "parent_cid string, child_cid string, ordinal int, edge_kind string")
+    assert {tuple(r) for r in projection.verify(nodes, table, "output_cid").collect()} == {("p", "c", "missing", "o"), ("q", "c", "mismatched", "o"), ("x", "c", "extra", None)}
+    assert projection.verify(nodes, table).columns == ["parent_cid", "child_cid", "status"]
+
+
 def test_texts_that_are_no_nodes(spark):
     good = '{"kind":"task","parents":["p"],"output_cid":"o","agent":"a","timestamp":"t","meta":[]}'
     bad = [good.replace('"a"', "1"), good.replace('"o"', "null"), good.replace("task", "other"), good.replace('["p"]', "[null]"), good.replace('"meta":[]', '"agent":"b","meta":[]'), good[:-1], "", "[]", "1", "null"]

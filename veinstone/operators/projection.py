@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import edge_kind, is_claim, is_query, saturation
-from .graph import edges_of, keep_first, keep_last
+from .graph import edges_of, keep_first, keep_last, links_of
 
 EDGE_KEY = ["parent_cid", "child_cid"]
 
@@ -16,16 +16,18 @@ def dag_nodes_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("cid", "kind", "agent", F.col("timestamp").alias("created_at"), "output_cid", F.lit("").alias("meta"), F.coalesce("schema_cid", F.lit("")).alias("schema_cid"), saturation(F.col("meta")).alias("saturation"))
 
 
-def diff_edges(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """``parent_cid, child_cid, status`` of edges that are missing, extra or mismatched."""
-    e = expected.select(*EDGE_KEY, F.struct("ordinal", "edge_kind").alias("e"))
+def diff_edges(expected: DataFrame, actual: DataFrame, *more: str) -> DataFrame:
+    """``parent_cid, child_cid, status`` of edges that are missing, extra or mismatched; ``more``: columns of ``expected`` that go along, null for extra ones."""
+    e = expected.select(*EDGE_KEY, F.struct("ordinal", "edge_kind").alias("e"), *more)
     a = actual.select(*EDGE_KEY, F.struct("ordinal", "edge_kind").alias("a"))
     status = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(F.col("a") != F.col("e"), "mismatched")
-    return e.join(a, EDGE_KEY, "full").select(*EDGE_KEY, status.alias("status")).where("status IS NOT NULL")
+    # The child comes first: addresses differ in their first bytes, which is what a sort looks at first.
+    return e.join(a, EDGE_KEY[::-1], "full").select(*EDGE_KEY, status.alias("status"), *more).where("status IS NOT NULL")
 
 
-def verify(nodes: DataFrame, dag_edges: DataFrame) -> DataFrame:
-    return diff_edges(edges_of(nodes), dag_edges)
+def verify(nodes: DataFrame, dag_edges: DataFrame, *more: str) -> DataFrame:
+    """Edges of ``nodes``, row by row, against a table of edges; columns ``more`` of the node go along, null for extra edges."""
+    return diff_edges(links_of(nodes, *more), dag_edges, *more)
 
 
 def rebuild(nodes: DataFrame, dag_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -295,8 +295,7 @@ def projection_verify(spark, d):
     """Edges of stored nodes against a table without their first ones, with the second ones changed."""
     nodes = graph.nodes_of(A.order_node_blobs(spark, d))
     kept = graph.edges_of(nodes).where("ordinal > 0").withColumn("edge_kind", F.when(F.col("ordinal") == 1, "proposes").otherwise(F.col("edge_kind")))
-    found = projection.verify(nodes, kept)
-    return found.join(nodes.select(F.col("cid").alias("child_cid"), "output_cid"), "child_cid").select("output_cid", "parent_cid", "status")
+    return projection.verify(nodes, kept, "output_cid").select("output_cid", "parent_cid", "status")
 
 
 @query(A.EDGES_SQL + "SELECT parent_cid, child_cid, ordinal, CASE WHEN parent_cid LIKE 'c:%' THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges")
