@@ -24,11 +24,15 @@ def test_a_blob_is_parsed_once(spark):
     assert parses(graph.edges_of(graph.nodes_of(blobs))) == 1
 
 
-@pytest.mark.parametrize("name, times", [("projection_rebuild", 1), ("projection_verify", 2)])
+@pytest.mark.parametrize("name, times", [("projection_rebuild", 1), ("projection_verify", 2), ("edges_from_nodes", 1)])
 def test_queries_parse_no_more_than_they_must(spark, name, times):
     assert parses(entry.queries()[name](spark, DATA)) == times
 
 
+def test_edges_from_nodes_shuffles_the_given_tables_only(spark):
+    assert plan(entry.queries()["edges_from_nodes"](spark, DATA)).count("Exchange ") == 2
+
+
 def test_links_of_nodes_with_repeated_parents_and_none(spark):
     rows = [("c", ["p", "q", "p", "q", "a"], ["grounds", "x", "proposes", None, None], "o"), ("d", [], None, "o"), ("e", ["p"], None, None), ("f", None, None, "o"), ("g", ["q", "q"], None, "o"), ("g", ["q", "q"], None, "o")]
     nodes = spark.createDataFrame(rows, NODES)

@@ -114,7 +114,7 @@ def nodes_parsed(spark, d):
 @query(A.ORDER_EDGES_SQL + "SELECT output_cid, ps[ordinal + 1] AS parent_cid, ordinal::INT AS ordinal, CASE WHEN ordinal = 0 THEN 'derives' ELSE 'grounds' END AS edge_kind FROM i")
 def edges_from_nodes(spark, d):
     nodes = graph.nodes_of(A.order_node_blobs(spark, d))
-    return graph.edges_of(nodes).join(nodes.select(F.col("cid").alias("child_cid"), "output_cid"), "child_cid").select("output_cid", "parent_cid", "ordinal", "edge_kind")
+    return graph.links_of(nodes, "output_cid").select("output_cid", "parent_cid", "ordinal", "edge_kind")
 
 
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 WHEN 3 THEN 1.0 END::DOUBLE AS saturation, doc_id % 6 IN (1, 3) AS claim, doc_id % 6 IN (0, 4, 5) AS query, CASE WHEN doc_id % 2 = 0 THEN 's' || doc_id % 5 END AS schema_cid, CASE WHEN doc_id % 2 = 0 THEN ['derives', 'grounds'] ELSE ['derives', 'derives'] END AS kinds, round(CASE WHEN doc_id % 4 = 0 THEN greatest(0.8 * exp(-7200.0 * ln(2.0) / 3600), 0.1) ELSE 1.0 END, 9) AS activation FROM documents")
