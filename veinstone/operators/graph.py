@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -28,17 +28,26 @@ def nodes_of(blobs: DataFrame) -> DataFrame:
     return blobs.select("cid", one.alias("node")).where("node IS NOT NULL").select("cid", "node.*")
 
 
-def links_of(nodes: DataFrame, *more: str) -> DataFrame:
-    """``parent_cid, child_cid, ordinal, edge_kind`` and columns ``more`` of the node, row by row of ``nodes``; of a repeated parent the first place counts."""
+def places(parents: Column) -> Column:
+    """``ordinal, parent_cid`` of every parent; of a repeated one the first place counts."""
     link = lambda p, i: F.struct(i.alias("ordinal"), p.alias("parent_cid"))
     # Repeated parents stand side by side when sorted; the sorted array is bound to a name, so that it is sorted once.
-    placed = F.array(F.array_sort(F.transform("parents", lambda p, i: F.struct(p.alias("parent_cid"), i.alias("ordinal")))))
+    placed = F.array(F.array_sort(F.transform(parents, lambda p, i: F.struct(p.alias("parent_cid"), i.alias("ordinal")))))
     first = F.get(F.transform(placed, lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["parent_cid"].eqNullSafe(x["parent_cid"]))), F.lit(0))
-    own = F.when(F.size(F.array_distinct("parents")) == F.size("parents"), F.transform("parents", link)).otherwise(F.transform(first, lambda x: link(x["parent_cid"], x["ordinal"])))
-    links = nodes.select(F.col("cid").alias("child_cid"), F.explode(own).alias("x"), "parent_kinds", *more)
+    return F.when(F.size(F.array_distinct(parents)) == F.size(parents), F.transform(parents, link)).otherwise(F.transform(first, lambda x: link(x["parent_cid"], x["ordinal"])))
+
+
+def links_of(nodes: DataFrame, *more: str) -> DataFrame:
+    """``parent_cid, child_cid, ordinal, edge_kind`` and columns ``more`` of the node, row by row of ``nodes``; of a repeated parent the first place counts."""
+    links = nodes.select(F.col("cid").alias("child_cid"), F.explode(places(F.col("parents"))).alias("x"), "parent_kinds", *more)
     return links.select("x.parent_cid", "child_cid", "x.ordinal", edge_kind(F.get("parent_kinds", F.col("x.ordinal"))).alias("edge_kind"), *more)
 
 
+def gathered(nodes: DataFrame, *more: str) -> DataFrame:
+    """``cid, node``: nodes shuffled by address.  ``parents``, ``parent_kinds`` and ``more`` are one value, of which nothing is pruned, so that all who read it share the shuffle."""
+    return nodes.select("cid", F.struct("parents", "parent_kinds", *more).alias("node")).repartition("cid")
+
+
 def edges_of(nodes: DataFrame) -> DataFrame:
     """``parent_cid, child_cid, ordinal, edge_kind``, each edge once: an address stands for one node, however often it is there."""
     return links_of(nodes.select("cid", "parents", "parent_kinds").repartition("cid").dropDuplicates(["cid"]))

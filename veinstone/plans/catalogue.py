@@ -293,9 +293,10 @@ def projection_audit(spark, d):
 @query(A.ORDER_EDGES_SQL + "SELECT output_cid, ps[ordinal + 1] AS parent_cid, CASE WHEN ordinal = 0 THEN 'missing' ELSE 'mismatched' END AS status FROM i WHERE ordinal < 2")
 def projection_verify(spark, d):
     """Edges of stored nodes against a table without their first ones, with the second ones changed."""
-    nodes = graph.nodes_of(A.order_node_blobs(spark, d))
-    kept = graph.edges_of(nodes).where("ordinal > 0").withColumn("edge_kind", F.when(F.col("ordinal") == 1, "proposes").otherwise(F.col("edge_kind")))
-    return projection.verify(nodes, kept, "output_cid").select("output_cid", "parent_cid", "status")
+    # One shuffle serves the nodes and the table that is made from them.
+    stored = graph.gathered(graph.nodes_of(A.order_node_blobs(spark, d)), "output_cid")
+    kept = graph.links_of(stored.dropDuplicates(["cid"]).select("cid", "node.*")).where("ordinal > 0").withColumn("edge_kind", F.when(F.col("ordinal") == 1, "proposes").otherwise(F.col("edge_kind")))
+    return projection.verify(stored.select("cid", "node.*"), kept, "output_cid").select("output_cid", "parent_cid", "status")
 
 
 @query(A.EDGES_SQL + "SELECT parent_cid, child_cid, ordinal, CASE WHEN parent_cid LIKE 'c:%' THEN 'proposes' ELSE edge_kind END AS edge_kind FROM edges")
